@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from corpusloom.functions.bind import bind
 from corpusloom.operators.ordered import hash_int
 
 PEAK_LIMIT = 0.95
@@ -33,41 +34,46 @@ def mono_mix(channels: Column) -> Column:
     """Mean over channels of an array of equally long channels."""
     summed = F.aggregate(
         F.slice(channels, F.lit(2), F.size(channels)),
-        F.transform(channels[0], lambda v: v.cast("double")),
+        channels[0].cast("array<double>"),
         lambda acc, ch: F.zip_with(acc, ch, lambda a, b: a + b.cast("double")),
     )
-    return F.transform(summed, lambda v: v / F.size(channels))
+    return bind(F.size(channels), lambda n: F.transform(summed, lambda v: v / n))
 
 
 def peak_normalise(x: Column) -> Column:
     """Divide by the peak only when it is over 1."""
-    top = peak(x)
-    return F.when(top > 1, F.transform(x, lambda v: v.cast("double") / top)).otherwise(
-        x.cast("array<double>")
-    )
 
+    def levelled(top: Column) -> Column:
+        return F.when(top > 1, F.transform(x, lambda v: v.cast("double") / top))
+
+    same = x.cast("array<double>")
+    return F.coalesce(bind(peak(x), levelled), same)
+
+
+def _with_gain(x: Column, gain: Column) -> Column:
+    """Apply a gain, then bring the peak down to the limit if it is over it."""
+
+    def limited(top: Column, by: Column) -> Column:
+        loud = F.transform(x, lambda v: v.cast("double") * by / top * PEAK_LIMIT)
+        return F.when(top > PEAK_LIMIT, loud).otherwise(scale(x, by))
 
-def _limit_peak(x: Column, top: Column) -> Column:
-    limited = F.transform(x, lambda v: v / top * PEAK_LIMIT)
-    return F.when(top > PEAK_LIMIT, limited).otherwise(x)
+    return bind(gain, lambda by: bind(peak(x) * by, lambda top: limited(top, by)))
 
 
 def rms_normalise(x: Column, target: float = 0.1) -> Column:
     """Gain to a target RMS, peak limited; silent or empty arrays are returned as they are."""
-    rms = F.sqrt(energy(x) / F.size(x))
-    gain = F.lit(target) / rms
-    return F.when((F.size(x) == 0) | (rms == 0), x.cast("array<double>")).otherwise(
-        _limit_peak(scale(x, gain), peak(x) * gain)
-    )
+
+    def levelled(rms: Column) -> Column:
+        return F.when(rms > 0, _with_gain(x, F.lit(target) / rms))
+
+    return F.coalesce(bind(F.sqrt(energy(x) / F.size(x)), levelled), x.cast("array<double>"))
 
 
 def loudness_gain(x: Column, loudness: Column, target: float = -23.0) -> Column:
     """Gain to a target loudness given as a column; falls back to RMS when it is not finite."""
     gain = F.pow(F.lit(10.0), (F.lit(target) - loudness) / 20.0)
     unknown = loudness.isNull() | F.isnan(loudness) | (loudness == F.lit(float("-inf")))
-    return F.when(unknown, rms_normalise(x)).otherwise(
-        _limit_peak(scale(x, gain), peak(x) * gain)
-    )
+    return F.when(unknown, rms_normalise(x)).otherwise(_with_gain(x, gain))
 
 
 def crop_or_pad(x: Column, length: int, *key: Column | str, seed: int = 42) -> Column:
@@ -101,7 +107,7 @@ def l2_norm(x: Column) -> Column:
 
 def l2_normalise(x: Column, floor: float = 1e-12) -> Column:
     norm = F.greatest(l2_norm(x), F.lit(floor))
-    return F.transform(x, lambda v: v.cast("double") / norm)
+    return bind(norm, lambda n: F.transform(x, lambda v: v.cast("double") / n))
 
 
 def pad_to(x: Column, length: Column, value) -> Column:
@@ -156,31 +162,39 @@ def expand_durations(durations: Column) -> Column:
 def duration_path(durations: Column, frames: Column) -> Column:
     """Monotone 0/1 path, one row per source position, cut at ``frames`` output positions."""
     owners = F.slice(expand_durations(durations), F.lit(1), frames)
-    owners = pad_to(owners, frames, None)
-    return F.transform(
-        durations,
-        lambda n, i: F.transform(owners, lambda o: F.coalesce((o == i).cast("int"), F.lit(0))),
-    )
+
+    def rows(owner: Column) -> Column:
+        return F.transform(
+            durations,
+            lambda n, i: F.transform(owner, lambda o: F.coalesce((o == i).cast("int"), F.lit(0))),
+        )
+
+    return bind(pad_to(owners, frames, None), rows)
 
 
 def time_stretch(x: Column, speed: Column) -> Column:
     """Linear resampling to ``max(1, int(n / speed))`` samples (pixel centres aligned)."""
-    n = F.size(x)
     bad = F.raise_error(F.lit("speed must be positive")).cast("int")
-    length = F.when(speed <= 0, bad).otherwise(
-        F.greatest(F.lit(1), F.floor(n / speed).cast("int"))
+    wanted = F.when(speed <= 0, bad).otherwise(
+        F.greatest(F.lit(1), F.floor(F.size(x) / speed).cast("int"))
     )
 
-    def at(i: Column) -> Column:
-        pos = F.greatest((i + 0.5) * n / length - 0.5, F.lit(0.0))
-        low = F.least(F.floor(pos).cast("int"), n - 1)
-        a = F.get(x, low).cast("double")
-        b = F.get(x, F.least(low + 1, n - 1)).cast("double")
-        return a + (b - a) * (pos - low)
+    def stretched(length: Column) -> Column:
+        n = F.size(x)
+
+        def at(pos: Column) -> Column:
+            low = F.least(F.floor(pos).cast("int"), n - 1)
+            a = F.get(x, low).cast("double")
+            b = F.get(x, F.least(low + 1, n - 1)).cast("double")
+            return a + (b - a) * (pos - low)
+
+        def value(i: Column) -> Column:
+            return bind(F.greatest((i + 0.5) * n / length - 0.5, F.lit(0.0)), at)
+
+        return F.transform(F.sequence(F.lit(0), length - 1), value)
 
     same = x.cast("array<double>")
-    stretched = F.transform(F.sequence(F.lit(0), length - 1), at)
-    return F.when((speed == 1.0) | (n == 0), same).otherwise(stretched)
+    return F.when((speed == 1.0) | (F.size(x) == 0), same).otherwise(bind(wanted, stretched))
 
 
 def log_compress(x: Column, c: float = 1.0, clip: float = 1e-5) -> Column:
@@ -191,17 +205,24 @@ def log_decompress(x: Column, c: float = 1.0) -> Column:
     return F.transform(x, lambda v: F.exp(v) / c)
 
 
+def _powers(x: Column) -> Column:
+    """Exponentials relative to the largest score."""
+    return bind(
+        F.array_max(x).cast("double"),
+        lambda top: F.transform(x, lambda v: F.exp(v.cast("double") - top)),
+    )
+
+
 def softmax(x: Column) -> Column:
-    top = F.array_max(x).cast("double")
-    powers = F.transform(x, lambda v: F.exp(v.cast("double") - top))
-    norm = total(powers)
-    return F.transform(powers, lambda v: v / norm)
+    def shares(powers: Column) -> Column:
+        return bind(total(powers), lambda norm: F.transform(powers, lambda v: v / norm))
+
+    return bind(_powers(x), shares)
 
 
 def log_softmax(x: Column) -> Column:
-    top = F.array_max(x).cast("double")
-    norm = F.log(total(F.transform(x, lambda v: F.exp(v.cast("double") - top))))
-    return F.transform(x, lambda v: v.cast("double") - top - norm)
+    norm = F.array_max(x).cast("double") + F.log(total(_powers(x)))
+    return bind(norm, lambda n: F.transform(x, lambda v: v.cast("double") - n))
 
 
 def segment_seconds(start: Column, end: Column, rate: int) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from corpusloom.functions.bind import bind
 from corpusloom.functions.rewrite import rewrite
 
 # English number words.
@@ -56,34 +57,45 @@ def number_words(digits: Column, spoken_and: bool = True) -> Column:
     """Words for a string of decimal digits: ``1234567`` becomes ``one million, two hundred and
     thirty-four thousand, five hundred and sixty-seven`` (without ``and`` if not spoken)."""
     link = " and " if spoken_and else " "
-    bare = F.regexp_replace(digits, "^0+", "")
-    groups = F.ceil(F.length(bare) / 3).cast("int")
-    padded = F.lpad(bare, groups * 3, F.lit("0"))
 
-    def group(i: Column) -> Column:
-        return F.substring(padded, i * 3 + 1, F.lit(3)).cast("int")
+    def words(bare: Column) -> Column:
+        groups = F.ceil(F.length(bare) / 3).cast("int")
+
+        def said(i: Column, n: Column) -> Column:
+            scale = F.get(_table(SCALES), groups - 1 - i)
+            joint = F.when(i == 0, "").when((i == groups - 1) & (n < 100), link).otherwise(", ")
+            tail = F.when(scale == "", "").otherwise(F.concat(F.lit(" "), scale))
+            return F.when(n > 0, F.concat(joint, _below_thousand(n, link), tail)).otherwise("")
+
+        def parts(padded: Column) -> Column:
+            def part(i: Column) -> Column:
+                group = F.substring(padded, i * 3 + 1, F.lit(3)).cast("int")
+                return bind(group, lambda n: said(i, n))
 
-    def said(i: Column) -> Column:
-        n, scale = group(i), F.get(_table(SCALES), groups - 1 - i)
-        joint = F.when(i == 0, "").when((i == groups - 1) & (n < 100), link).otherwise(", ")
-        tail = F.when(scale == "", "").otherwise(F.concat(F.lit(" "), scale))
-        return F.when(n > 0, F.concat(joint, _below_thousand(n, link), tail)).otherwise("")
+            return F.array_join(F.transform(F.sequence(F.lit(0), groups - 1), part), "")
 
-    parts = F.transform(F.sequence(F.lit(0), groups - 1), said)
-    return F.when(bare == "", "zero").otherwise(F.array_join(parts, ""))
+        padded = F.lpad(bare, groups * 3, F.lit("0"))
+        return F.when(bare == "", "zero").otherwise(bind(padded, parts))
+
+    return bind(F.regexp_replace(digits, "^0+", ""), words)
 
 
 def ordinal_words(digits: Column) -> Column:
     """``21`` becomes ``twenty-first``."""
-    words = number_words(digits)
-    last = F.regexp_extract(words, "([a-z]+)$", 1)
-    head = F.substring(words, F.lit(1), F.length(words) - F.length(last))
-    ending = F.coalesce(
-        F.create_map(*[F.lit(x) for kv in ORDINAL_ENDINGS.items() for x in kv])[last],
-        F.when(last.endswith("y"), F.concat(F.regexp_replace(last, "y$", "ie"), F.lit("th"))),
-        F.concat(last, F.lit("th")),
+
+    def turned(words: Column, last: Column) -> Column:
+        head = F.substring(words, F.lit(1), F.length(words) - F.length(last))
+        ending = F.coalesce(
+            F.create_map(*[F.lit(x) for kv in ORDINAL_ENDINGS.items() for x in kv])[last],
+            F.when(last.endswith("y"), F.concat(F.regexp_replace(last, "y$", "ie"), F.lit("th"))),
+            F.concat(last, F.lit("th")),
+        )
+        return F.concat(head, ending)
+
+    return bind(
+        number_words(digits),
+        lambda w: bind(F.regexp_extract(w, "([a-z]+)$", 1), lambda last: turned(w, last)),
     )
-    return F.concat(head, ending)
 
 
 def _pair(n: Column) -> Column:
@@ -97,16 +109,21 @@ def _pair(n: Column) -> Column:
 
 def spoken_integer(digits: Column) -> Column:
     """Whole numbers as read aloud: years between 1000 and 3000 go by pairs."""
+
+    def said(year: Column) -> Column:
+        high, low = F.floor(year / 100).cast("int"), (year % 100).cast("int")
+        by_pairs = F.concat(_below_hundred(high), F.lit(" "), _pair(low))
+        late = F.concat(F.lit("two thousand "), _below_hundred(low))
+        return (
+            F.when((year <= 1000) | (year >= 3000) | year.isNull(), number_words(digits, False))
+            .when(year == 2000, "two thousand")
+            .when((year > 2000) & (year < 2010), late)
+            .when(low == 0, F.concat(_below_hundred(high), F.lit(" hundred")))
+            .otherwise(by_pairs)
+        )
+
     bare = F.regexp_replace(digits, "^0+", "")
-    year = F.when(F.length(bare) == 4, bare.cast("int"))
-    high, low = F.floor(year / 100).cast("int"), (year % 100).cast("int")
-    return (
-        F.when((year <= 1000) | (year >= 3000) | year.isNull(), number_words(digits, False))
-        .when(year == 2000, "two thousand")
-        .when((year > 2000) & (year < 2010), F.concat(F.lit("two thousand "), _below_hundred(low)))
-        .when(low == 0, F.concat(_below_hundred(high), F.lit(" hundred")))
-        .otherwise(F.concat_ws(" ", _below_hundred(high), _pair(low)))
-    )
+    return bind(bare, lambda b: bind(F.when(F.length(b) == 4, b.cast("int")), said))
 
 
 def spell_numbers(c: Column) -> Column:
@@ -125,15 +142,17 @@ def _money(match: Column) -> Column:
     def counted(n: Column, one: str, many: str) -> Column:
         return F.concat(n, F.when(n == "1", f" {one}").otherwise(f" {many}"))
 
-    dollars, cents = whole(0), whole(1)
-    d, c = counted(dollars, "dollar", "dollars"), counted(cents, "cent", "cents")
-    return (
-        F.when(F.size(parts) > 2, F.concat(amount, F.lit(" dollars")))
-        .when((dollars != "") & (cents != ""), F.concat(d, F.lit(", "), c))
-        .when(dollars != "", d)
-        .when(cents != "", c)
-        .otherwise("zero dollars")
-    )
+    def said(d: Column, c: Column) -> Column:
+        dollars, cents = counted(d, "dollar", "dollars"), counted(c, "cent", "cents")
+        return (
+            F.when(F.size(parts) > 2, F.concat(amount, F.lit(" dollars")))
+            .when((d != "") & (c != ""), F.concat(dollars, F.lit(", "), cents))
+            .when(d != "", dollars)
+            .when(c != "", cents)
+            .otherwise("zero dollars")
+        )
+
+    return bind(whole(0), lambda d: bind(whole(1), lambda c: said(d, c)))
 
 
 def normalize_numbers(c: Column) -> Column:

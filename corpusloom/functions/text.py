@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from corpusloom.functions.bind import bind
 from corpusloom.functions.numbers import normalize_numbers, spell_numbers
 
 # The delimiter sets, brackets and replacements that define the splitting rules.
@@ -42,6 +43,10 @@ ABBREVIATIONS = {
     "col": "colonel",
     "ft": "fort",
 }
+WHITESPACE = (
+    " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 LIGATURES = {"ß": "ss", "æ": "ae", "Æ": "AE", "œ": "oe", "Œ": "OE"}
 
 
@@ -53,7 +58,8 @@ def latin_letters() -> tuple[str, str]:
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, "(?U)^\\s+|\\s+$", "")
+    """Without whitespace at both ends (a trim set: a regex would rescan every inner run)."""
+    return F.trim(c, F.lit(WHITESPACE))
 
 
 def contains_chinese(c: Column) -> Column:
@@ -76,14 +82,14 @@ def replace_blank(c: Column) -> Column:
 
 def normalize_text(c: Column) -> Column:
     """Normalise unless the text is empty or carries ``<| |>`` markers."""
-    text = strip(c)
-    zh = replace_corner_mark(replace_blank(F.replace(text, F.lit("\n"))))
-    zh = F.replace(F.replace(zh, F.lit("."), F.lit("。")), F.lit(" - "), F.lit("，"))
-    zh = F.regexp_replace(remove_bracket(zh), "[，,、]+\\z", "。")
-    marked = c.contains("<|") & c.contains("|>")
-    return (
-        F.when(marked | (c == ""), c).when(contains_chinese(text), zh).otherwise(spell_numbers(text))
-    )
+
+    def front_end(text: Column) -> Column:
+        zh = replace_corner_mark(replace_blank(F.replace(text, F.lit("\n"), F.lit(""))))
+        zh = F.replace(F.replace(zh, F.lit("."), F.lit("。")), F.lit(" - "), F.lit("，"))
+        zh = F.regexp_replace(remove_bracket(zh), "[，,、]+\\z", "。")
+        return F.when(contains_chinese(text), zh).otherwise(spell_numbers(text))
+
+    return F.when(is_marked(c), c).otherwise(bind(strip(c), front_end))
 
 
 def is_marked(c: Column) -> Column:
@@ -96,14 +102,18 @@ def only_punctuation(c: Column) -> Column:
 
 
 def _sentences(c: Column, ends: str, terminal: str) -> Column:
-    text = F.when(F.right(c, F.lit(1)).rlike(f"[{ends}]"), c).otherwise(F.concat(c, F.lit(terminal)))
-    text = F.regexp_replace(text, f"^(?:[{ends}][{CLOSING_QUOTES}]?)++", "")
     mark = f"[{ends}][{CLOSING_QUOTES}]?"
-    found = F.regexp_extract_all(text, F.lit(f"[^{ends}]+{mark}(?:{mark})*+"), F.lit(0))
     # delimiters after an empty piece go, the quotes between them stay
     spare = f"(?<=[{ends}][{CLOSING_QUOTES}]{{0,1}})[{ends}]"
-    pieces = F.transform(found, lambda m: F.regexp_replace(m, spare, ""))
-    return F.when(c == "", F.array().cast("array<string>")).otherwise(pieces)
+
+    def pieces(text: Column) -> Column:
+        end = F.when(F.right(text, F.lit(1)).rlike(f"[{ends}]"), "").otherwise(terminal)
+        ended = F.regexp_replace(F.concat(text, end), f"^(?:{mark})++", "")
+        found = F.regexp_extract_all(ended, F.lit(f"[^{ends}]+{mark}(?:{mark})*+"), F.lit(0))
+        cleaned = F.transform(found, lambda m: F.regexp_replace(m, spare, ""))
+        return F.when(text == "", F.array().cast("array<string>")).otherwise(cleaned)
+
+    return bind(c, pieces)
 
 
 def split_sentences(c: Column, chinese: Column, comma_split: bool = False) -> Column:
@@ -138,14 +148,15 @@ def pack_sentences(
     """Join pieces up to a length; a short tail joins the pack before it."""
 
     def step(acc: Column, piece: Column) -> Column:
-        grown = F.concat(acc["open"], piece)
-        flush = (measure(grown) > longest) & (measure(acc["open"]) > shortest)
-        return F.struct(
-            F.when(flush, F.concat(acc["done"], F.array(acc["open"])))
-            .otherwise(acc["done"])
-            .alias("done"),
-            F.when(flush, piece).otherwise(grown).alias("open"),
-        )
+        def either(grown: Column) -> Column:
+            flush = (measure(grown) > longest) & (measure(acc["open"]) > shortest)
+            flushed = F.struct(
+                F.concat(acc["done"], F.array(acc["open"])).alias("done"), piece.alias("open")
+            )
+            kept = F.struct(acc["done"].alias("done"), grown.alias("open"))
+            return F.when(flush, flushed).otherwise(kept)
+
+        return bind(F.concat(acc["open"], piece), either)
 
     return F.aggregate(pieces, _pack_type(), step, lambda a: _close(a, measure(a["open"]) < merge))
 
@@ -182,24 +193,33 @@ def merge_short_text(pieces: Column, shortest: int = 5) -> Column:
 
 
 def fixed_width(c: Column, width: int) -> Column:
-    starts = F.sequence(F.lit(0), F.ceil(F.length(c) / width).cast("int") - 1)
-    return F.transform(starts, lambda i: F.substring(c, i * width + 1, F.lit(width)))
+    def cut(text: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.ceil(F.length(text) / width).cast("int") - 1)
+        return F.transform(starts, lambda i: F.substring(text, i * width + 1, F.lit(width)))
+
+    return bind(c, cut)
 
 
 def split_by_punctuation(c: Column, longest: int = 50, shortest: int = 10) -> Column:
     """Texts over ``longest`` are cut at the first mark once a piece has ``shortest`` characters."""
-    found = F.regexp_extract_all(
-        c, F.lit(f"(?s).{{{shortest - 1},}}?[{CUT_MARKS}]"), F.lit(0)
-    )
-    used = F.aggregate(found, F.lit(0), lambda n, p: n + F.length(p))
-    tail = F.substring(c, used + 1, F.length(c))
-    pieces = _close(F.struct(found.alias("done"), tail.alias("open")), F.length(tail) < shortest)
-    whole = (F.size(pieces) == 1) & (F.length(c) > longest)
-    return (
-        F.when(F.length(c) <= longest, F.array(c))
-        .when(whole, fixed_width(c, longest))
-        .otherwise(pieces)
-    )
+    # \\G: a search that fails is not tried again from every later character
+    cut = F.lit(f"\\G(?s).{{{shortest - 1},}}?[{CUT_MARKS}]")
+
+    def joined(text: Column, found: Column) -> Column:
+        used = F.aggregate(found, F.lit(0), lambda n, p: n + F.length(p))
+        ends = F.struct(
+            found.alias("done"), F.substring(text, used + 1, F.length(text)).alias("open")
+        )
+        return bind(ends, lambda a: _close(a, F.length(a["open"]) < shortest))
+
+    def pieces(text: Column) -> Column:
+        def checked(parts: Column) -> Column:
+            return F.when(F.size(parts) == 1, fixed_width(text, longest)).otherwise(parts)
+
+        cuts = bind(F.regexp_extract_all(text, cut, F.lit(0)), lambda f: joined(text, f))
+        return F.when(F.length(text) <= longest, F.array(text)).otherwise(bind(cuts, checked))
+
+    return bind(c, pieces)
 
 
 def segment_long_text(c: Column, above: int = 5000, longest: int = 30, shortest: int = 10) -> Column:

@@ -2,15 +2,19 @@
 
 A segment is the text between two bracket cuts. Every opening bracket cuts, every closing
 bracket cuts when it has an opening one; the innermost bracket contents are classified, the
-rest is text. Matching is done on token depths, so nesting needs no recursion: an opening
-bracket is closed when the depth falls below its own later in the row.
+rest is text.
 """
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from corpusloom.functions.bind import bind
 from corpusloom.functions.text import strip
 
 # Symbols, words and affixes that tell phonetic notes, pinyin and English apart.
@@ -26,6 +30,13 @@ COMMON_WORDS = (
 PHRASE_WORDS = "a an the is are in on at to for of"
 ENGLISH_AFFIX = "^(?:.*(?:ing|ed|er|est|ly|tion|sion|ness|ment|ful|less)$|(?:un|re|pre|dis|mis))"
 
+SEGMENTS = T.ArrayType(
+    T.StructType(
+        [T.StructField("segment", T.StringType()), T.StructField("leaf", T.BooleanType())]
+    )
+)
+TOKEN = re.compile("[(（]|[)）]|[^()（）]+")
+
 # The syllables taken for pinyin when there is no tone digit.
 SYLLABLES = """
 a o e ai ei ao ou an en ang eng er
@@ -58,20 +69,23 @@ def is_phonetic(c: Column) -> Column:
 
 
 def is_english(c: Column) -> Column:
-    text = strip(c)
-    words = F.split(F.lower(text), "\\s+")
     common = F.array(*[F.lit(w) for w in COMMON_WORDS.split()])
     phrase = F.array(*[F.lit(w) for w in PHRASE_WORDS.split()])
-    single = (F.size(words) == 1) & (F.length(words[0]) > 2) & words[0].rlike(ENGLISH_AFFIX)
-    several = (F.size(words) > 1) & F.arrays_overlap(words, phrase)
-    known = F.size(F.array_except(words, common)) == 0
-    return text.rlike("\\A[a-zA-Z\\s]+\\z") & (known | single | several)
+
+    def readable(words: Column) -> Column:
+        single = (F.size(words) == 1) & (F.length(words[0]) > 2) & words[0].rlike(ENGLISH_AFFIX)
+        several = (F.size(words) > 1) & F.arrays_overlap(words, phrase)
+        return (F.size(F.array_except(words, common)) == 0) | single | several
+
+    def english(text: Column) -> Column:
+        words = F.split(F.lower(text), "\\s+")
+        return text.rlike("\\A[a-zA-Z\\s]+\\z") & bind(words, readable)
+
+    return bind(strip(c), english)
 
 
 def is_pinyin(c: Column) -> Column:
     """Letters with an optional tone digit, decided by the first word that settles it."""
-    text = strip(c)
-    words = F.split(text, "\\s+")
     known = F.array(*[F.lit(s) for s in SYLLABLES.split()])
 
     def verdict(w: Column) -> Column:
@@ -82,83 +96,78 @@ def is_pinyin(c: Column) -> Column:
             .when(F.array_contains(known, F.lower(base)), True)
         )
 
-    settled = F.filter(F.transform(words, verdict), lambda v: v.isNotNull())
-    shaped = text.rlike("\\A[a-zA-Z]+[1-5]?(?:\\s+[a-zA-Z]+[1-5]?)*+\\z")
-    return shaped & ~is_english(c) & F.coalesce(F.get(settled, F.lit(0)), F.lit(False))
+    def pinyin(text: Column) -> Column:
+        verdicts = F.transform(F.split(text, "\\s+"), verdict)
+        settled = F.get(F.filter(verdicts, lambda v: v.isNotNull()), F.lit(0))
+        shaped = text.rlike("\\A[a-zA-Z]+[1-5]?(?:\\s+[a-zA-Z]+[1-5]?)*+\\z")
+        return shaped & ~is_english(text) & F.coalesce(settled, F.lit(False))
+
+    return bind(strip(c), pinyin)
 
 
 def classify_annotation(c: Column) -> Column:
     return F.when(is_phonetic(c), "phonetic").when(is_pinyin(c), "pinyin").otherwise("text")
 
 
-def parse_annotations(c: Column) -> Column:
-    """Array of ``(segment, leaf)`` in order; ``leaf`` marks innermost bracket contents."""
-    tokens = F.regexp_extract_all(c, F.lit("[(（]|[)）]|[^()（）]+"), F.lit(0))
-
-    def opens(t: Column) -> Column:
-        return t.isin("(", "（")
-
-    def closes(t: Column) -> Column:
-        return t.isin(")", "）")
-
-    def deeper(acc: Column, t: Column) -> Column:
-        now = F.element_at(acc, -1)
-        change = F.when(opens(t), now + 1).when(closes(t), F.greatest(now - 1, F.lit(0)))
-        return F.concat(acc, F.array(F.coalesce(change, now)))
-
-    depth = F.aggregate(tokens, F.array(F.lit(0)), deeper)  # before each token, then at the end
-    low = F.reverse(
-        F.aggregate(
-            F.reverse(depth),
-            F.array().cast("array<int>"),
-            lambda acc, d: F.concat(
-                acc, F.array(F.least(d, F.coalesce(F.get(acc, F.size(acc) - 1), d)))
-            ),
-        )
-    )  # lowest depth from each position on
-    # cut: o matched opening, c matched closing, u unmatched opening, t anything else
-    role = F.transform(
-        tokens,
-        lambda t, i: F.when(opens(t) & (F.get(low, i + 1) < F.get(depth, i + 1)), "o")
-        .when(opens(t), "u")
-        .when(closes(t) & (F.get(depth, i) > 0), "c")
-        .otherwise("t"),
-    )
-    start = F.struct(
-        F.array().cast("array<struct<segment:string,leaf:boolean>>").alias("done"),
-        F.lit("").alias("open"),
-        F.lit("t").alias("last"),
-    )
+@F.pandas_udf(SEGMENTS)
+def _cut_brackets(texts: pd.Series) -> pd.Series:
+    """Segments of texts with brackets, in one pass over their tokens."""
+
+    def cut(text: str | None) -> list[dict] | None:
+        if text is None:
+            return None
+        tokens = TOKEN.findall(text)
+        waiting, paired = [], {}
+        for i, token in enumerate(tokens):
+            if token in "(（":
+                waiting.append(i)
+            elif token in ")）" and waiting:
+                paired[waiting.pop()] = i
+        closing = set(paired.values())
+        out, held, since = [], [], None
+
+        def flush(leaf: bool) -> None:
+            if held:
+                out.append({"segment": "".join(held), "leaf": leaf})
+                held.clear()
+
+        for i, token in enumerate(tokens):
+            if i in paired:
+                flush(False)
+                since = i
+            elif i in closing:
+                flush(since is not None and paired.get(since) == i)
+                since = None
+            else:
+                if token in "(（":
+                    flush(False)
+                held.append(token)
+        flush(False)
+        return out
+
+    return texts.map(cut)
 
-    def close(acc: Column, leaf: Column) -> Column:
-        piece = F.struct(acc["open"].alias("segment"), leaf.alias("leaf"))
-        return F.when(acc["open"] == "", acc["done"]).otherwise(
-            F.concat(acc["done"], F.array(piece))
-        )
 
-    def step(acc: Column, x: Column) -> Column:
-        t, r = x["token"], x["role"]
-        cut = r != "t"
-        leaf = (r == "c") & (acc["last"] == "o")
-        opened = F.when(r == "u", t).when(cut, F.lit("")).otherwise(F.concat(acc["open"], t))
-        return F.struct(
-            F.when(cut, close(acc, leaf)).otherwise(acc["done"]).alias("done"),
-            opened.alias("open"),
-            F.when(cut, r).otherwise(acc["last"]).alias("last"),
-        )
+def parse_annotations(c: Column) -> Column:
+    """Array of ``(segment, leaf)`` in order; ``leaf`` marks innermost bracket contents.
 
-    pairs = F.zip_with(tokens, role, lambda t, r: F.struct(t.alias("token"), r.alias("role")))
-    folded = F.aggregate(pairs, start, step, lambda a: close(a, F.lit(False)))
+    Bracket matching needs a stack, and as a fold over an array it would copy the array at every
+    token, so texts with an opening bracket go through a pandas function (the others pass null).
+    """
+    bracketed = c.rlike("[(（]")
     plain = F.array(F.struct(c.alias("segment"), F.lit(False).alias("leaf")))
-    return F.when(c == "", F.array().cast("array<struct<segment:string,leaf:boolean>>")).when(
-        ~c.rlike("[(（]"), plain
-    ).otherwise(folded)
+    return F.coalesce(
+        _cut_brackets(F.when(bracketed, c)),
+        F.when(c == "", F.array().cast(SEGMENTS)),
+        F.when(~bracketed, plain),
+    )
 
 
 def annotation_segments(df: DataFrame, text: str = "text") -> DataFrame:
     """One row per segment: ``seg_no`` (from 0), ``segment``, ``seg_type``."""
     keep = [c for c in df.columns if c != text]
-    rows = df.select(*keep, F.posexplode(parse_annotations(F.col(text))).alias("seg_no", "_s"))
+    rows = df.select(*keep, F.posexplode_outer(parse_annotations(F.col(text))).alias("seg_no", "_s"))
+    rows = rows.filter("seg_no is not null")
     kind = F.when(F.col("_s.leaf"), classify_annotation(F.col("_s.segment"))).otherwise("text")
     return rows.select(*keep, "seg_no", F.col("_s.segment").alias("segment"), kind.alias("seg_type"))
 

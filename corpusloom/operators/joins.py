@@ -101,7 +101,7 @@ def _swap(
         )
 
     words = F.concat(F.transform("_found", place), F.array(F.lit("")))
-    joined = F.array_join(F.zip_with(F.split(c, pattern, -1), words, F.concat), "")
+    joined = F.array_join(F.zip_with(F.split(c, pattern, -1), words, lambda g, w: F.concat(g, w)), "")
     changed = F.col("_one_r").isNotNull() | F.col("_two_r").isNotNull()
     return out.withColumn(text, F.when(changed, joined).otherwise(c)).withColumn(
         "_changed", changed

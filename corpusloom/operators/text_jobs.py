@@ -1,5 +1,6 @@
-"""Text table jobs: normalise, segment, encode. Each keeps one row per text in one task; a text
-is a row and is never split over tasks."""
+"""Text table jobs: normalise, segment, encode. A text is one row and stays in one
+task. Pieces are exploded by outer generators: for an inner one the optimizer infers a filter on
+the pieces and would compute them twice."""
 
 from __future__ import annotations
 
@@ -34,14 +35,13 @@ def text_pieces(
     measure: Callable[[Column], Column] | None = None,
 ) -> Column:
     """Sentences of a text packed to length; Chinese by characters, other text by words."""
-    zh = T.contains_chinese(c)
-
     def packed(chinese: bool, size: Callable[[Column], Column]) -> Column:
         pieces = T.split_sentences(c, F.lit(chinese), comma_split)
         return T.pack_sentences(pieces, longest, shortest, merge, size)
 
     other = packed(False, measure or T.word_length)
-    return F.when(zh, packed(True, measure or T.char_length)).otherwise(other)
+    chinese = packed(True, measure or T.char_length)
+    return F.when(T.contains_chinese(c), chinese).otherwise(other)
 
 
 def segment_corpus(df: DataFrame, text: str = "text", normalize: bool = True, **limits) -> DataFrame:
@@ -59,8 +59,8 @@ def segment_corpus(df: DataFrame, text: str = "text", normalize: bool = True, **
     pieces = F.when(F.col("_whole"), F.array(c)).otherwise(
         F.filter(text_pieces(c, **limits), lambda p: ~T.only_punctuation(p))
     )
-    rows = base.select(*keep, F.posexplode(pieces).alias("seg_no", "segment"))
-    return rows.withColumn("n_chars", F.length("segment"))
+    rows = base.select(*keep, F.posexplode_outer(pieces).alias("seg_no", "segment"))
+    return rows.filter("seg_no is not null").withColumn("n_chars", F.length("segment"))
 
 
 def segment_by_marks(
@@ -71,7 +71,8 @@ def segment_by_marks(
     if merge is not None:
         pieces = T.merge_short_text(pieces, merge)
     keep = [c for c in df.columns if c != text]
-    return df.select(*keep, F.posexplode(pieces).alias("seg_no", "segment"))
+    rows = df.select(*keep, F.posexplode_outer(pieces).alias("seg_no", "segment"))
+    return rows.filter("seg_no is not null")
 
 
 def segment_long_texts(df: DataFrame, text: str = "text", above: int = 5000) -> DataFrame:
@@ -80,7 +81,7 @@ def segment_long_texts(df: DataFrame, text: str = "text", above: int = 5000) ->
     pieces = T.segment_long_text(F.col(text), above)
     sized = df.filter(F.length(text) > above).select(*keep, pieces.alias("_p"))
     return sized.select(
-        *keep, F.size("_p").alias("total_segments"), F.posexplode("_p").alias("seg_no", "segment")
+        *keep, F.size("_p").alias("total_segments"), F.posexplode_outer("_p").alias("seg_no", "segment")
     )
 
 
