@@ -66,7 +66,7 @@ def rms_normalise(x: Column, target: float = 0.1) -> Column:
     def levelled(rms: Column) -> Column:
         return F.when(rms > 0, _with_gain(x, F.lit(target) / rms))
 
-    return F.coalesce(bind(F.sqrt(energy(x) / F.size(x)), levelled), x.cast("array<double>"))
+    return F.coalesce(bind(F.sqrt(F.try_divide(energy(x), F.size(x))), levelled), x.cast("array<double>"))
 
 
 def loudness_gain(x: Column, loudness: Column, target: float = -23.0) -> Column:

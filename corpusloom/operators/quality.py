@@ -33,9 +33,9 @@ def filter_utterances(
     is there, ``reject_speech_token`` (null means absent). Where the counts are stored as
     ``n_tokens`` the arrays are not read for the first tests, which then reach the scan.
     """
-    frames = F.col("n_samples") / F.col("sample_rate") * 100
+    frames = F.try_divide("n_samples", "sample_rate") * 100
     tokens = F.col("n_tokens") if "n_tokens" in df.columns else F.size("text_token")
-    ratio = tokens / frames
+    ratio = F.try_divide(tokens, frames)
     keep = (
         frames.between(min_length, max_length)
         & tokens.between(token_min, token_max)

@@ -33,9 +33,9 @@ def feature_mean_std(df: DataFrame, feat: str = "speech_feat", *, nested: bool =
     sums = df.select(
         total(flat).alias("s"), energy(flat).alias("q"), F.size(flat).cast("bigint").alias("n")
     ).agg(F.sum("s").alias("s"), F.sum("q").alias("q"), F.sum("n").alias("n"))
-    mean = F.col("s") / F.col("n")
+    mean = F.try_divide("s", "n")
     return sums.select(
-        "n", mean.alias("mean"), F.sqrt(F.col("q") / F.col("n") - mean * mean).alias("std")
+        "n", mean.alias("mean"), F.sqrt(F.try_divide("q", "n") - mean * mean).alias("std")
     )
 
 
@@ -104,7 +104,7 @@ def average_best(parameters: DataFrame, metrics: DataFrame, n: int) -> DataFrame
 
 def weighted_loss(batches: DataFrame, *by: str) -> DataFrame:
     """Loss per metric name, batches weighted by their utterances."""
-    weighted = F.sum(F.col("value") * F.col("n_utts")) / F.sum("n_utts")
+    weighted = F.try_divide(F.sum(F.col("value") * F.col("n_utts")), F.sum("n_utts"))
     return batches.groupBy(*by, "metric").agg(weighted.alias("loss"))
 
 
@@ -122,7 +122,7 @@ def masked_accuracy(df: DataFrame, ignore: int = -1, *by: str) -> DataFrame:
     return counts.groupBy(*by).agg(
         F.sum("ok").alias("correct"),
         F.sum("n").alias("counted"),
-        (F.sum("ok") / F.sum("n")).alias("accuracy"),
+        F.try_divide(F.sum("ok"), F.sum("n")).alias("accuracy"),
     )
 
 
@@ -194,7 +194,7 @@ def speed_profile(runs: DataFrame, rate: int = 24000) -> tuple[DataFrame, DataFr
     per_run = runs.withColumns(
         {
             "tps": F.when(elapsed > 0, F.col("n_tokens") / elapsed).otherwise(0.0),
-            "rtf": elapsed * rate / F.col("n_samples"),
+            "rtf": F.try_divide(elapsed * rate, F.col("n_samples")),
         }
     )
     whole = per_run.agg(
@@ -238,7 +238,7 @@ def duration_error(df: DataFrame, *by: str) -> DataFrame:
         lambda s, v: s + v,
     )
     rows = df.select(*by, off.alias("_e"), F.col("length"))
-    return rows.groupBy(*by).agg((F.sum("_e") / F.sum("length")).alias("duration_loss"))
+    return rows.groupBy(*by).agg(F.try_divide(F.sum("_e"), F.sum("length")).alias("duration_loss"))
 
 
 def nucleus_candidates(

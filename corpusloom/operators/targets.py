@@ -55,7 +55,7 @@ def lm_targets_mixed(
 ) -> Column:
     """Interleaved form for half of the rows whose speech is long enough, else the plain form."""
     coin = hash_int(*key, seed=seed) % 2 == 0
-    long_enough = F.size(speech) / text_len > MIX_SPEECH / MIX_TEXT
+    long_enough = F.size(speech) > text_len * (MIX_SPEECH / MIX_TEXT)
     return F.when(coin & long_enough, lm_targets_bistream(text_len, speech, eos, fill)).otherwise(
         lm_targets_unistream(text_len, speech, eos)
     )
