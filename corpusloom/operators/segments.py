@@ -183,7 +183,7 @@ def join_with_pauses(
     """Position of every piece in its request's joined audio.
 
     A pause of 50 to 150 ms, hashed from request and order, follows every piece but the last.
-    Pieces keep their own rows (``at`` is the first sample, ``pause`` the zeros after it), so a
+    Pieces keep their own rows (``first_sample`` is their place, ``pause`` the zeros after it), so a
     request of any length is never held by one task; ``collect_audio`` joins short ones.
     """
     from corpusloom.operators.ordered import hash_int, with_running_sum
@@ -195,12 +195,12 @@ def join_with_pauses(
     sized = numbered.withColumn("pause", pause.cast("bigint")).withColumn(
         "_size", n + F.col("pause")
     )
-    return with_running_sum(sized, [request], order, "_size", "at").drop("_rn", "_n", "_size")
+    return with_running_sum(sized, [request], order, "_size", "first_sample").drop("_rn", "_n", "_size")
 
 
 def collect_audio(placed: DataFrame, request: str) -> DataFrame:
     """One array per request, for requests that fit in a row."""
-    parts = F.array_sort(F.collect_list(F.struct("at", "samples", "pause")))
+    parts = F.array_sort(F.collect_list(F.struct("first_sample", "samples", "pause")))
     zero = F.lit(0.0)
     joined = F.flatten(
         F.transform(

@@ -1,0 +1,114 @@
+"""Structured Streaming over the event and document tables; the SQL is the batch form."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from corpusloom.streaming import jobs as J
+from corpusloom.streaming import tokens as K
+from queries import query
+from queries.logs import LINE, PARSED, job_events
+
+
+def events(t):
+    schema = t.events.schema
+    return J.stream_table(t.spark, t.folder, schema, "events.parquet")
+
+
+@query(PARSED + """
+SELECT user_id, event_id, kind, parsed_by, loss, eval_loss FROM p WHERE kind IS NOT NULL
+""")
+def tail_metrics(t):
+    lines = events(t).select("user_id", "event_id", F.expr(LINE).alias("line"))
+    out = J.tail_metrics(lines)
+    return J.run_available(out.select("user_id", "event_id", "kind", "parsed_by", "loss", "eval_loss"))
+
+
+@query("""
+SELECT user_id AS job, event_type AS worker, max_by(event_id % 101, event_id) AS percent FROM events GROUP BY ALL
+""")
+def live_progress(t):
+    reports = events(t).select(
+        F.col("user_id").alias("job"),
+        F.col("event_type").alias("worker"),
+        (F.col("event_id") % 101).alias("percent"),
+        "event_id",
+    )
+    return J.run_updates(J.live_percent(reports, "job", "event_id"), ["job", "worker"])
+
+
+@query("""
+WITH e AS (SELECT user_id, event_id, ts, CASE event_type WHEN 'signup' THEN 'start' WHEN 'error' THEN 'exit'
+  WHEN 'purchase' THEN 'stop' ELSE 'log' END AS kind, event_id % 2 AS code FROM events WHERE event_type <> 'view')
+SELECT user_id, max_by(kind, event_id) AS kind, max_by(code, event_id) AS code, max(event_id) AS event_id,
+  min(ts) FILTER (kind = 'start') AS start_time FROM e GROUP BY user_id
+""")
+def live_job_status(t):
+    live = J.live_status(job_events(events(t)), "user_id", "event_id")
+    out = J.run_updates(live, ["user_id"])
+    latest = t.events.filter("event_type <> 'view'").groupBy("user_id").agg(
+        F.max("event_id").alias("event_id")
+    )
+    return out.join(latest, "user_id").select(
+        "user_id", "last.kind", "last.code", "event_id", "start_time"
+    )
+
+
+@query("""
+SELECT event_id AS id, user_id, CASE WHEN event_id % 3 <> 0 AND event_id % 120 <= 60 THEN value END AS duration,
+  CASE WHEN event_id % 3 <> 0 AND event_id % 120 <= 60 THEN 200 ELSE 408 END AS code FROM events
+""")
+def match_with_timeout(t):
+    """Requests still waiting when the input ends have timed out too."""
+    asked = events(t).select(F.col("event_id").alias("id"), "user_id", F.col("ts").cast("timestamp").alias("asked_at"))
+    delay = F.make_dt_interval(secs=(F.col("event_id") % 120).cast("decimal(18,6)"))
+    answers = (
+        events(t)
+        .filter("event_id % 3 <> 0")
+        .select(
+            F.col("event_id").alias("id"),
+            F.col("value").alias("duration"),
+            (F.col("ts").cast("timestamp") + delay).alias("answered_at"),
+        )
+    )
+    out = J.run_available(J.match_with_timeout(asked, answers)).select("id", "user_id", "duration", "code")
+    waiting = (
+        t.events.select(F.col("event_id").alias("id"), "user_id")
+        .join(out.select("id"), "id", "left_anti")
+        .select("id", "user_id", F.lit(None).cast("double").alias("duration"), F.lit(408).alias("code"))
+    )
+    return out.unionByName(waiting)
+
+
+@query("""
+WITH n AS (SELECT doc_id, list_transform(string_split(text, ' '), lambda w: length(w)) AS s, len(string_split(text, ' ')) AS n FROM documents),
+k AS (SELECT *, CASE WHEN n < 28 THEN 0 ELSE (n - 28) // 25 + 1 END AS k FROM n),
+c AS (SELECT *, unnest(range(k + 1)) AS i FROM k)
+SELECT CAST(doc_id AS VARCHAR) AS request_id, CAST(i AS INTEGER) AS chunk_no, CAST(i * 25 AS INTEGER) AS offset,
+  CAST(CASE WHEN i = k THEN n ELSE i * 25 + 28 END AS INTEGER) AS "end", i = k AS final,
+  array_to_string(CASE WHEN i = k THEN s[i * 25 + 1:] ELSE s[i * 25 + 1:i * 25 + 28] END, ',') AS tokens FROM c
+""")
+def chunk_token_stream(t):
+    docs = J.stream_table(t.spark, t.folder, t.documents.schema, "documents.parquet")
+    words = F.transform(F.split("text", " "), F.length)
+    cells = docs.select(
+        F.col("doc_id").cast("string").alias("request_id"),
+        F.posexplode(F.concat(words, F.array(F.lit(-1)))).alias("seq", "token"),
+    ).withColumn("is_end", F.col("token") == -1)
+    out = J.run_available(K.chunk_token_stream(cells))
+    return out.withColumn("tokens", F.array_join("tokens", ","))
+
+
+@query("""
+WITH r AS (SELECT event_type, event_id, regexp_extract(props, '[0-9]+') AS k,
+  row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) AS b FROM events)
+SELECT event_type AS shard, max(event_id) AS newest, string_agg(k, ',' ORDER BY event_id) AS pool FROM r WHERE b <= 256 GROUP BY event_type
+""")
+def recent_pool(t):
+    tokens = events(t).select(
+        F.col("event_type").alias("shard"),
+        F.col("event_id").alias("seq"),
+        F.get_json_object("props", "$.k").cast("int").alias("token"),
+    )
+    out = J.run_updates(K.recent_pool(tokens), ["shard"])
+    return out.withColumn("pool", F.array_join("pool", ","))
