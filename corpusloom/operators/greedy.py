@@ -9,22 +9,31 @@ before that row, and a group that was opened earlier never ends later. So a chun
 can be summarised without knowing how it is entered: whatever state enters it, the first cut
 falls no later than the first cut of a group opened at the chunk's first row. The rows up to
 there, each with the state the chunk would be left in if that row opened a group, say all about
-the chunk. Three steps:
+the chunk. The summaries of neighbouring chunks compose to a summary of the same form, so they
+are reduced a second time before anything is walked in order:
 
-1. summarise every (key, chunk) in parallel: about one group's worth of rows per chunk,
-2. walk the summaries of a key in order, giving the state that enters each chunk,
-3. number the groups of every (key, chunk) in parallel from its entry state.
+1. summarise every (key, chunk): about one group's worth of rows per ``span`` rows,
+2. summarise every (key, block of ``FAN`` chunks) from those,
+3. walk the block summaries of a key, then the chunk summaries of every block, in order, which
+   gives the state that enters each chunk,
+4. number the groups of every (key, chunk) from its entry state.
 
-Steps 1 and 3 hold one chunk (at most ``span`` rows), step 2 one group per ``span`` rows.
+Step 1 holds one chunk, steps 2 and 3 one group's rows per chunk of a block or per block of a
+key: 2**28 rows of a key leave one group's worth of rows for the walk over blocks. Step 4 streams.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.operators.ordered import with_ordinal
+
 SPAN = 1 << 18
+FAN = 1 << 10
 
 
 class PaddedBudget:
@@ -90,6 +99,57 @@ def _leave(rows: list[tuple], rule, start: int, known: dict) -> tuple[tuple, int
     return known[trail[0]] if trail else known[start]
 
 
+def _pass(lines: list[tuple], ends: list[int], rule, state, part: int) -> tuple[int, tuple]:
+    """Advance an open group over whole parts; returns the line that cuts it, or the state.
+
+    ``lines`` are summary lines (fields, exit state, later cuts), ``ends`` where each part ends.
+    """
+    at = ends[part - 1] if part else 0
+    while at < len(lines):
+        grown = rule.add(state, lines[at])
+        if grown is None:
+            return at, state
+        state, at = grown, at + 1
+    return at, state
+
+
+def _compose(lines: list[tuple], parts: list[int], rule) -> list[tuple]:
+    """Summary of a run of parts from their summaries.
+
+    ``parts`` holds the part number of each line. A line's exit state is that of its own part;
+    it is carried on through the parts that follow.
+    """
+    ends = [i + 1 for i in range(len(lines)) if i + 1 == len(lines) or parts[i + 1] != parts[i]]
+    index = {}
+    for n, end in enumerate(ends):
+        index.update((i, n) for i in range(ends[n - 1] if n else 0, end))
+    known: dict = {}
+
+    def leave(start: int) -> tuple[tuple, int]:
+        trail = []
+        while start not in known:
+            state, cuts, part = lines[start][-3:-1], lines[start][-1], index[start] + 1
+            cut, state = _pass(lines, ends, rule, state, part)
+            trail.append((start, cuts))
+            if cut == len(lines):
+                known[start] = (state, cuts)
+            else:
+                start = cut
+        for s, cuts in reversed(trail):
+            if s not in known:
+                state, later = known[start]
+                known[s] = (state, cuts + 1 + later)
+            start = s
+        return known[start]
+
+    first_cut, _ = _run(lines, rule, rule.open(lines[0]), 1)
+    out = []
+    for i in range(min(first_cut + 1, len(lines))):
+        state, cuts = leave(i)
+        out.append((*lines[i][:-3], *state, cuts))
+    return out
+
+
 def greedy_groups(
     df: DataFrame,
     keys: list[str],
@@ -98,18 +158,23 @@ def greedy_groups(
     rule,
     name: str = "group_no",
     span: int = SPAN,
+    fan: int = FAN,
 ) -> DataFrame:
     """Number the greedy groups of each key from 0; returns ``keys, order, fields, name``.
 
-    ``order`` is an integer, unique inside a key.
+    ``order`` is an integer, unique inside a key. Keys of at most ``span`` rows need no summary:
+    they go straight to the numbering pass, which streams over sorted rows and keeps only the
+    open group's state.
     """
-    slim = df.select(
-        *keys, order, *fields, F.expr(f"`{order}` div {span}").alias("_cut")
-    )
+    slim = with_ordinal(df.select(*keys, order, *fields), keys, order, "_rn", total="_size")
+    slim = slim.withColumn("_cut", F.expr(f"(_rn - 1) div {span}")).drop("_rn")
     key_type = {f.name: f.dataType.simpleString() for f in slim.schema}
     key_ddl = ", ".join(f"`{k}` {key_type[k]}" for k in keys)
     field_ddl = ", ".join(f"`{f}` {key_type[f]}" for f in fields)
 
+    summary_columns = [*keys, "_cut", "_at", *fields, "_s0", "_s1", "_cuts"]
+    entry_columns = [*keys, "_cut", "_open", "_e0", "_e1", "_number"]
+
     def summarise(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         rows = _rows(pdf, order, fields)
         first_cut, _ = _run(rows, rule, rule.open(rows[0]), 1)
@@ -117,53 +182,86 @@ def greedy_groups(
         out = []
         for at in range(min(first_cut + 1, len(rows))):
             state, cuts = _leave(rows, rule, at, known)
-            out.append((*group, at, *rows[at], state[0], state[1], cuts))
-        columns = [*keys, "_cut", "_at", *fields, "_s0", "_s1", "_cuts"]
-        return pd.DataFrame(out, columns=columns)
+            out.append((*group, at, *rows[at], *state, cuts))
+        return pd.DataFrame(out, columns=summary_columns)
+
+    def lines_of(pdf: pd.DataFrame) -> list[tuple]:
+        return list(zip(*[pdf[c].tolist() for c in [*fields, "_s0", "_s1", "_cuts"]]))
 
-    def enter(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    def compose(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf.sort_values(["_cut", "_at"], inplace=True)
-        state, number, out = None, -1, []
+        lines = _compose(lines_of(pdf), pdf["_cut"].tolist(), rule)
+        out = [(*group, at, *line) for at, line in enumerate(lines)]
+        return pd.DataFrame(out, columns=summary_columns)
+
+    def walk(key: tuple, pdf: pd.DataFrame, state, number: int) -> pd.DataFrame:
+        """Entry state of every part of ``pdf``, entered with ``state`` and group ``number``."""
+        pdf.sort_values(["_cut", "_at"], inplace=True)
+        out = []
         for cut, part in pdf.groupby("_cut", sort=True):
-            first = state if state is not None else (0.0, 0.0)
-            out.append((*group, cut, state is not None, first[0], first[1], number))
-            lines = part[[*fields, "_s0", "_s1", "_cuts"]].itertuples(index=False, name=None)
-            for line in lines:
+            out.append((*key, cut, state is not None, *(state or (0.0, 0.0)), number))
+            for line in lines_of(part):
                 grown = rule.add(state, line) if state is not None else None
                 if grown is None:
                     state, number = line[-3:-1], number + 1 + line[-1]
                     break
                 state = grown
-        columns = [*keys, "_cut", "_open", "_e0", "_e1", "_number"]
-        return pd.DataFrame(out, columns=columns)
+        return pd.DataFrame(out, columns=entry_columns)
 
-    def assign(group: tuple, pdf: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
-        rows = _rows(pdf, order, fields)
+    def enter_blocks(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        return walk(key, pdf, None, -1)
+
+    def enter_chunks(place: tuple, pdf: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
         e = entry.iloc[0]
-        state, number, ids = ((e["_e0"], e["_e1"]) if e["_open"] else None), int(e["_number"]), []
-        for row in rows:
-            grown = rule.add(state, row) if state is not None else None
-            if grown is None:
-                state, number = rule.open(row), number + 1
-            else:
-                state = grown
-            ids.append(number)
-        pdf[name] = ids
-        return pdf[[*keys, order, *fields, name]]
+        state = (e["_e0"], e["_e1"]) if e["_open"] else None
+        return walk(place[:-1], pdf, state, int(e["_number"]))
+
+    def number_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, state, number = None, None, -1
+        for pdf in frames:
+            lines = zip(
+                zip(*[pdf[c].tolist() for c in place]),
+                zip(*[pdf[c].tolist() for c in fields]),
+                zip(*[pdf[c].tolist() for c in ("_open", "_e0", "_e1", "_number")]),
+            )
+            ids = []
+            for here, row, entry in lines:
+                if here != current:
+                    current, number = here, entry[3]
+                    state = entry[1:3] if entry[0] else None
+                grown = rule.add(state, row) if state is not None else None
+                if grown is None:
+                    state, number = rule.open(row), number + 1
+                else:
+                    state = grown
+                ids.append(number)
+            yield pdf[[*keys, order, *fields]].assign(**{name: ids})
 
     place = [*keys, "_cut"]
-    summary = slim.groupBy(*place).applyInPandas(
-        summarise,
-        f"{key_ddl}, _cut bigint, _at bigint, {field_ddl}, _s0 double, _s1 double, _cuts bigint",
+    summary_ddl = (
+        f"{key_ddl}, _cut bigint, _at bigint, {field_ddl}, _s0 double, _s1 double, _cuts bigint"
+    )
+    entry_ddl = (
+        f"{key_ddl}, _cut bigint, _open boolean, _e0 double, _e1 double, _number bigint"
+    )
+    large = slim.filter(F.col("_size") > span).drop("_size")
+    chunks = large.groupBy(*place).applyInPandas(summarise, summary_ddl)
+    block = F.expr(f"_cut div {fan}").alias("_block")
+    blocks = chunks.groupBy(*keys, block).applyInPandas(compose, summary_ddl)
+    into_blocks = blocks.groupBy(*keys).applyInPandas(enter_blocks, entry_ddl)
+    entries = (
+        chunks.groupBy(*keys, block)
+        .cogroup(into_blocks.groupBy(*keys, "_cut"))
+        .applyInPandas(enter_chunks, entry_ddl)
     )
-    entries = summary.groupBy(*keys).applyInPandas(
-        enter,
-        f"{key_ddl}, _cut bigint, _open boolean, _e0 double, _e1 double, _number bigint",
+    small = slim.filter(F.col("_size") <= span).drop("_size")
+    unentered = {"_open": F.lit(False), "_e0": F.lit(0.0), "_e1": F.lit(0.0)}
+    rows = small.withColumns({**unentered, "_number": F.lit(-1).cast("bigint")}).unionByName(
+        large.join(entries, place)
     )
+    numbered_ddl = f"{key_ddl}, `{order}` {key_type[order]}, {field_ddl}, {name} bigint"
     return (
-        slim.groupBy(*place)
-        .cogroup(entries.groupBy(*place))
-        .applyInPandas(
-            assign, f"{key_ddl}, `{order}` {key_type[order]}, {field_ddl}, {name} bigint"
-        )
+        rows.repartition(*place)
+        .sortWithinPartitions(*place, order)
+        .mapInPandas(number_rows, numbered_ddl)
     )

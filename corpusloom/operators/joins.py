@@ -35,13 +35,10 @@ def attach_transcripts(audio: DataFrame, sidecar: DataFrame, asr: DataFrame) ->
 
 def lookup_speaker(requests: DataFrame, catalogue: DataFrame) -> DataFrame:
     """Requests with their speaker's columns; no speaker means the first id in sorted order."""
-    first = catalogue.agg(F.min("speaker_id").alias("_first"))
+    first = catalogue.agg(F.min("speaker_id")).scalar()
     asked = F.when(F.trim("speaker_id") != "", F.col("speaker_id"))
-    return (
-        requests.crossJoin(F.broadcast(first))
-        .withColumn("speaker_id", F.coalesce(asked, "_first"))
-        .drop("_first")
-        .join(catalogue, "speaker_id")
+    return requests.withColumn("speaker_id", F.coalesce(asked, first)).join(
+        catalogue, "speaker_id"
     )
 
 
@@ -67,7 +64,9 @@ def _swap(
     joins, so the text itself is never regrouped.
     """
     phones = (
-        lexicon.select(F.lower("word").alias("word"), F.posexplode("phones").alias("_i", "_p"))
+        lexicon.groupBy(F.lower("word").alias("word"))
+        .agg(F.min("phones").alias("phones"))
+        .select("word", F.posexplode("phones").alias("_i", "_p"))
         .withColumn("marker", F.concat(F.lit("["), "_p", F.lit("]")))
         .join(specials.select("marker").distinct(), "marker", "left_semi")
         .groupBy("word")
@@ -120,7 +119,7 @@ def phone_substitution(
     """At most two English words become bracketed phones; a text that stays unchanged may get
     two of its Chinese characters replaced instead.
 
-    ``lexicon``: ``word, phones``; ``specials``: ``marker`` (the bracketed phones that exist).
+    ``lexicon``: ``word, phones`` (the least of several pronunciations is used); ``specials``: ``marker`` (the bracketed phones that exist).
     """
     out = _swap(df, key, text, EN_WORD, 1, lexicon, specials, seed)
     if zh_lexicon is None:

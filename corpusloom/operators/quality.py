@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from corpusloom.functions.text import only_punctuation
-from corpusloom.operators.ordered import SPAN, with_ordinal, with_previous, hash_int
+from corpusloom.operators.ordered import SPAN, hash_int, with_ordinal, with_previous
 
 # Default bounds of the utterance filter, audit and text check.
 MAX_TOKEN_ID = 100000
@@ -76,9 +77,9 @@ def audit_report(audited: DataFrame) -> DataFrame:
     counts = audited.groupBy(F.coalesce("reason", F.lit("valid")).alias("reason")).agg(
         F.count(F.lit(1)).alias("n")
     )
-    whole = audited.agg(F.count(F.lit(1)).alias("total"))
-    return counts.crossJoin(F.broadcast(whole)).select(
-        "reason", "n", "total", F.round(F.col("n") * 100 / F.col("total"), 1).alias("percent")
+    # the report has one row per reason, so this window is as small
+    return counts.withColumn("total", F.sum("n").over(W.partitionBy(F.lit(0)))).withColumn(
+        "percent", F.round(F.col("n") * 100 / F.col("total"), 1)
     )
 
 
@@ -95,8 +96,8 @@ def validate_text(
 
 def issue_report(issues: DataFrame, first: int = 10) -> DataFrame:
     """The first issues by row number, each with the count of all issues."""
-    count = issues.agg(F.count(F.lit(1)).alias("issues"))
-    return issues.orderBy("row_no").limit(first).crossJoin(F.broadcast(count))
+    count = issues.agg(F.count(F.lit(1))).scalar()
+    return issues.orderBy("row_no").limit(first).withColumn("issues", count)
 
 
 def select_columns(df: DataFrame, model: str) -> DataFrame:
@@ -216,8 +217,6 @@ def impute_failed_tokens(
     member of the last ``pool`` successes of the shard before it, else the placeholder ``[0]``.
     Adds ``source``: own, batch, pool or placeholder.
     """
-    from pyspark.sql.window import Window as W
-
     ok = F.col(token).isNotNull()
     rows = with_previous(
         df.withColumn("_hit", F.when(ok, F.col(order))), [shard], order, {"_hit": "_hit_before"},

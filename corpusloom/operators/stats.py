@@ -88,17 +88,12 @@ def average_best(parameters: DataFrame, metrics: DataFrame, n: int) -> DataFrame
     best = best_n(metrics, n).select("tag")
     kept = parameters.filter(~F.col("param").isin("step", "epoch")).join(best, "tag", "left_semi")
     cells = kept.select("tag", "param", F.posexplode("value").alias("pos", "v"))
-    count = best.agg(F.count(F.lit(1)).alias("_n"))
+    found = best.agg(F.count(F.lit(1))).scalar()
     short = F.raise_error(F.lit(f"fewer than {n} checkpoints")).cast("int")
     return (
         cells.groupBy("param", "pos")
         .agg(F.sum(F.col("v").cast("double")).alias("s"))
-        .crossJoin(F.broadcast(count))
-        .select(
-            "param",
-            "pos",
-            (F.col("s") / F.when(F.col("_n") == n, n).otherwise(short)).alias("value"),
-        )
+        .select("param", "pos", (F.col("s") / F.when(found == n, n).otherwise(short)).alias("value"))
     )
 
 

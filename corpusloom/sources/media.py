@@ -138,19 +138,32 @@ def scan_run_outputs(inventory: DataFrame, roots: list[str], shown: int = 3) ->
     for other in per_root[1:]:
         files = files.unionByName(other)
     files = files.filter(~F.col("folder").isin(*NOT_RUNS.split()))
-    names = F.array_sort(F.collect_set(F.when(F.col("_model"), F.col("file"))))
     folders = files.groupBy("folder", "root", "_rank").agg(
         F.count_if("_model").alias("models"),
         F.round(F.coalesce(F.sum(F.when(F.col("_model"), F.col("length"))), F.lit(0)) / 1048576, 1).alias("mb"),
-        F.size(names).alias("names"),
-        F.array_join(F.slice(names, 1, shown), ", ").alias("content"),
         F.max("modificationTime").alias("modified"),
     )
-    primary = folders.agg(F.min("_rank").alias("_first"))
-    usable = folders.crossJoin(F.broadcast(primary)).filter(
-        (F.col("_first") > 0) | (F.col("_rank") == 0)
-    )
+    first = folders.agg(F.min("_rank")).scalar()
+    usable = folders.filter((first > 0) | (F.col("_rank") == 0))
     best = usable.groupBy("folder").agg(F.min("_rank").alias("_rank"))
-    return usable.join(best, ["folder", "_rank"]).drop("_rank", "_first").orderBy(
-        F.col("modified").desc(), "folder"
+    # distinct names are ranked, so a folder of any size brings only the names that are shown
+    distinct = files.filter("_model").select("folder", "_rank", "file").distinct()
+    by_name = F.row_number().over(W.partitionBy("folder", "_rank").orderBy("file"))
+    first_names = (
+        distinct.withColumn("_no", by_name)
+        .filter(F.col("_no") <= shown)
+        .groupBy("folder", "_rank")
+        .agg(F.array_join(F.array_sort(F.collect_list("file")), ", ").alias("content"))
+    )
+    counts = distinct.groupBy("folder", "_rank").agg(F.count(F.lit(1)).alias("names"))
+    place = ["folder", "_rank"]
+    return (
+        usable.join(best, place)
+        .join(counts, place, "left")
+        .join(first_names, place, "left")
+        .withColumns(
+            {"names": F.coalesce("names", F.lit(0)), "content": F.coalesce("content", F.lit(""))}
+        )
+        .drop("_rank")
+        .orderBy(F.col("modified").desc(), "folder")
     )

@@ -245,45 +245,52 @@ def softmax(t):
     )
 
 
+def requests(t):
+    """Vectors as pieces of audio, eight to a request."""
+    request = F.expr("vec_id div 8").alias("request")
+    return t.embeddings.select(request, "vec_id", F.col("embedding").alias("samples"))
+
+
 @query(f"""
-WITH x AS (SELECT label, vec_id, {DOUBLES} AS x,
-  lag(embedding) OVER (PARTITION BY label ORDER BY vec_id) AS prev FROM embeddings)
-SELECT label, vec_id, {sql_csv('''CASE WHEN prev IS NULL THEN x ELSE [x[1] * 0.1 + prev[61] * 0.9, x[2] * 0.4 + prev[62] * 0.6,
+WITH x AS (SELECT vec_id // 8 AS request, vec_id, {DOUBLES} AS x,
+  lag(embedding) OVER (PARTITION BY vec_id // 8 ORDER BY vec_id) AS prev FROM embeddings)
+SELECT request, vec_id, {sql_csv('''CASE WHEN prev IS NULL THEN x ELSE [x[1] * 0.1 + prev[61] * 0.9, x[2] * 0.4 + prev[62] * 0.6,
   x[3] * 0.6 + prev[63] * 0.4, x[4] * 0.9 + prev[64] * 0.1] || x[5:] END''', 100000)} AS samples FROM x
 """)
 def crossfade(t):
-    pieces = t.embeddings.select("label", "vec_id", F.col("embedding").alias("samples"))
+    pieces = requests(t)
     window = [0.1, 0.4, 0.6, 0.9, 0.9, 0.6, 0.4, 0.1]
-    out = G.crossfade_pieces(pieces, "label", "vec_id", window)
-    return out.select("label", "vec_id", csv(F.col("samples"), 100000).alias("samples"))
+    out = G.crossfade_pieces(pieces, "request", "vec_id", window)
+    return out.select("request", "vec_id", csv(F.col("samples"), 100000).alias("samples"))
 
 
 PAUSES = """
-WITH p AS (SELECT label, vec_id, CASE WHEN row_number() OVER (PARTITION BY label ORDER BY vec_id DESC) = 1 THEN 0
-  ELSE CAST(floor((50 + CAST('0x' || substr(md5(label || '|' || vec_id || '|42'), 1, 8) AS BIGINT) % 101) * 240 / 1000) AS BIGINT) END AS pause
-  FROM embeddings),
-a AS (SELECT *, CAST(coalesce(sum(64 + pause) OVER (PARTITION BY label ORDER BY vec_id
+WITH e AS (SELECT vec_id // 8 AS request, vec_id FROM embeddings),
+p AS (SELECT request, vec_id, CASE WHEN row_number() OVER (PARTITION BY request ORDER BY vec_id DESC) = 1 THEN 0
+  ELSE CAST(floor((50 + CAST('0x' || substr(md5(request || '|' || vec_id || '|42'), 1, 8) AS BIGINT) % 101) * 240 / 1000) AS BIGINT) END AS pause
+  FROM e),
+a AS (SELECT *, CAST(coalesce(sum(64 + pause) OVER (PARTITION BY request ORDER BY vec_id
   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first_sample FROM p)
 """
 
 
 def placed(t):
-    pieces = t.embeddings.select("label", "vec_id", F.col("embedding").alias("samples"))
-    return G.join_with_pauses(pieces, "label", "vec_id", rate=240)
+    pieces = requests(t)
+    return G.join_with_pauses(pieces, "request", "vec_id", rate=240)
 
 
-@query(PAUSES + "SELECT label, vec_id, pause, first_sample FROM a")
+@query(PAUSES + "SELECT request, vec_id, pause, first_sample FROM a")
 def join_with_pauses(t):
-    return placed(t).select("label", "vec_id", "pause", "first_sample")
+    return placed(t).select("request", "vec_id", "pause", "first_sample")
 
 
 @query(PAUSES + f"""
-SELECT label, {sql_csv('flatten(list(embedding || list_transform(range(pause), lambda i: 0) ORDER BY first_sample))', 1000)} AS samples
-FROM a JOIN embeddings USING (label, vec_id) GROUP BY label
+SELECT request, {sql_csv('flatten(list(embedding || list_transform(range(pause), lambda i: 0) ORDER BY first_sample))', 1000)} AS samples
+FROM a JOIN embeddings USING (vec_id) GROUP BY request
 """)
 def assemble_pieces(t):
-    out = G.collect_audio(placed(t), "label")
-    return out.select("label", csv(F.col("samples"), 1000).alias("samples"))
+    out = G.collect_audio(placed(t), "request")
+    return out.select("request", csv(F.col("samples"), 1000).alias("samples"))
 
 
 @query("""

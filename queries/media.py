@@ -147,7 +147,7 @@ WITH f AS (SELECT CASE WHEN doc_id % 19 = 0 THEN 'logs' ELSE source END AS folde
   doc_id % 3 <> 2 AS model, n_chars * 1000 AS length, 1700000000 + doc_id * 60 AS mtime, CASE WHEN lang = 'en' THEN 0 ELSE 1 END AS rank FROM documents),
 g AS (SELECT folder, rank, count(*) FILTER (model) AS models, round(coalesce(sum(length) FILTER (model), 0) / 1048576, 1) AS mb,
   coalesce(list_sort(list(DISTINCT file) FILTER (model)), []) AS names, max(mtime) AS modified FROM f WHERE folder <> 'logs' GROUP BY folder, rank)
-SELECT folder, CASE rank WHEN 0 THEN '/ckpt/a' ELSE '/ckpt/b' END AS root, models, mb, CAST(len(names) AS INTEGER) AS names,
+SELECT folder, CASE rank WHEN 0 THEN '/ckpt/a' ELSE '/ckpt/b' END AS root, models, mb, len(names) AS names,
   array_to_string(names[1:3], ', ') AS content, modified FROM g WHERE rank = 0
 """)
 def scan_run_outputs(t):

@@ -59,9 +59,11 @@ FROM embeddings, g
 """)
 def standardise(t):
     moments = S.feature_mean_std(t.embeddings, "embedding", nested=False)
+    rows = t.embeddings.withColumns(
+        {"mean": moments.select("mean").scalar(), "std": moments.select("std").scalar()}
+    )
     mean, std = F.col("mean"), F.col("std")
-    z = A.standardise(F.col("embedding"), mean, std)
-    rows = t.embeddings.crossJoin(F.broadcast(moments)).withColumn("z", z)
+    rows = rows.withColumn("z", A.standardise(F.col("embedding"), mean, std))
     return rows.select(
         "vec_id",
         csv(F.col("z"), 1000).alias("z"),
