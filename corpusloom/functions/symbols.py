@@ -37,8 +37,11 @@ def symbol_ids() -> dict[str, int]:
     return {s: i for i, s in enumerate(SYMBOLS)}
 
 
-def _map(pairs: dict) -> Column:
-    return F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv])
+def _by_code_point() -> Column:
+    """Array of ids at the code points of their symbols: a lookup without a search."""
+    ids = {ord(s): i for s, i in symbol_ids().items()}
+    cells = ",".join(str(ids.get(n, "null")) for n in range(max(ids) + 1))
+    return F.from_json(F.lit(f"[{cells}]"), "array<int>")
 
 
 def characters(c: Column) -> Column:
@@ -47,7 +50,8 @@ def characters(c: Column) -> Column:
 
 def symbols_to_ids(c: Column, strict: bool = True) -> Column:
     """Ids of the characters; an unknown character fails, or is left out if not strict."""
-    ids = F.transform(characters(c), lambda s: _map(symbol_ids())[s])
+    table = _by_code_point()
+    ids = F.transform(characters(c), lambda s: F.get(table, F.ascii(s)))
     if not strict:
         return F.filter(ids, lambda i: i.isNotNull())
     unknown = F.raise_error(F.lit("unknown symbol")).cast("int")

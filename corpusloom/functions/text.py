@@ -263,10 +263,26 @@ def transliteration_cleaners(c: Column) -> Column:
 
 
 def expand_abbreviations(c: Column) -> Column:
-    out = c
-    for short, full in ABBREVIATIONS.items():
-        out = F.regexp_replace(out, f"(?iU)\\b{short}\\.", full)
-    return F.when(c.contains("."), out).otherwise(c)
+    """Each abbreviation in turn, in the texts that hold it at all.
+
+    The word boundary is tested after the literal, which is the rarer of the two.
+    """
+    rules = F.array(
+        *[
+            F.struct(
+                F.lit(f"{short.upper()}.").alias("mark"),
+                F.lit(f"(?iU){short}\\.(?<!\\w{short}\\.)").alias("pattern"),
+                F.lit(full).alias("full"),
+            )
+            for short, full in ABBREVIATIONS.items()
+        ]
+    )
+
+    def expanded(upper: Column) -> Column:
+        held = F.filter(rules, lambda r: upper.contains(r["mark"]))
+        return F.aggregate(held, c, lambda t, r: F.regexp_replace(t, r["pattern"], r["full"]))
+
+    return bind(F.upper(c), expanded)
 
 
 def english_cleaners(c: Column) -> Column:

@@ -27,100 +27,75 @@ def _list(x: str | Sequence[str]) -> list[str]:
     return [x] if isinstance(x, str) else list(x)
 
 
-def _chunked(df: DataFrame, order: list[str], chunk: Column | None, span: int) -> DataFrame:
-    cut = chunk if chunk is not None else F.expr(f"`{order[0]}` div {span}")
-    return df.withColumn("_cut", cut)
-
-
-def _across(keys: list[str]):
-    """Window over the chunk rows of a key, in chunk order."""
-    return W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
-
-
-def with_ordinal(
+def with_ordered(
     df: DataFrame,
     keys: str | Sequence[str],
     order: str | Sequence[str],
-    name: str = "rn",
+    ordinal: str | None = None,
     total: str | None = None,
+    before: dict[str, str] | None = None,
+    previous: dict[str, str] | None = None,
     chunk: Column | None = None,
     span: int = SPAN,
 ) -> DataFrame:
-    """Add the 1-based position of each row inside its key (and the size of the key)."""
-    keys, order = _list(keys), _list(order)
-    cut = _chunked(df, order, chunk, span)
-    sizes = cut.groupBy(*keys, "_cut").agg(F.count(F.lit(1)).alias("_rows"))
-    across = _across(keys)
-    before = F.sum("_rows").over(across.orderBy("_cut").rowsBetween(W.unboundedPreceding, -1))
-    carry = sizes.withColumn("_off", F.coalesce(before, F.lit(0)))
-    if total:
-        carry = carry.withColumn(total, F.sum("_rows").over(across))
-    local = F.row_number().over(W.partitionBy(*keys, "_cut").orderBy(*order))
-    return (
-        cut.withColumn("_loc", local)
-        .join(carry.drop("_rows"), [*keys, "_cut"])
-        .withColumn(name, F.col("_loc") + F.col("_off"))
-        .drop("_cut", "_loc", "_off")
-    )
-
-
-def with_running_sum(
-    df: DataFrame,
-    keys: str | Sequence[str],
-    order: str | Sequence[str],
-    value: str,
-    name: str,
-    chunk: Column | None = None,
-    span: int = SPAN,
-) -> DataFrame:
-    """Add the sum of ``value`` over the rows before this one (exclusive, 0 at the start)."""
+    """Any of these columns in one pass: the 1-based ``ordinal`` of a row in its key, the
+    ``total`` rows of the key, for ``before`` (source -> name) the sum of the source over the
+    earlier rows (0 at the start), for ``previous`` its last non-null value in them.
+    """
     keys, order = _list(keys), _list(order)
-    cut = _chunked(df, order, chunk, span)
-    sums = cut.groupBy(*keys, "_cut").agg(F.sum(value).alias("_s"))
-    before = F.sum("_s").over(_across(keys).orderBy("_cut").rowsBetween(W.unboundedPreceding, -1))
-    carry = sums.select(*keys, "_cut", F.coalesce(before, F.lit(0)).alias("_off"))
-    inside = W.partitionBy(*keys, "_cut").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-    return (
-        cut.withColumn("_loc", F.coalesce(F.sum(value).over(inside), F.lit(0)))
-        .join(carry, [*keys, "_cut"])
-        .withColumn(name, F.col("_loc") + F.col("_off"))
-        .drop("_cut", "_loc", "_off")
+    before, previous = before or {}, previous or {}
+    cut = df.withColumn(
+        "_cut", chunk if chunk is not None else F.expr(f"`{order[0]}` div {span}")
     )
+    # one row per (key, chunk): a partial aggregate over the columns in question
+    at = F.struct(*order) if len(order) > 1 else F.col(order[0])
+    facts = [F.count(F.lit(1)).alias("_rows")]
+    facts += [F.sum(c).alias(f"_sum_{n}") for c, n in before.items()]
+    facts += [
+        F.max_by(F.col(c), F.when(F.col(c).isNotNull(), at)).alias(f"_last_{n}")
+        for c, n in previous.items()
+    ]
+    chunks = cut.groupBy(*keys, "_cut").agg(*facts)
+    across = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
+    earlier = across.orderBy("_cut").rowsBetween(W.unboundedPreceding, -1)
+    zero = F.lit(0)
+    carry = [F.coalesce(F.sum("_rows").over(earlier), zero).alias("_off")]
+    carry += [F.sum("_rows").over(across).alias("_all")]
+    carry += [
+        F.coalesce(F.sum(f"_sum_{n}").over(earlier), zero).alias(f"_pre_{n}")
+        for n in before.values()
+    ]
+    carry += [F.last(f"_last_{n}", True).over(earlier).alias(f"_old_{n}") for n in previous.values()]
+    carried = chunks.select(*keys, "_cut", *carry)
+
+    inside = W.partitionBy(*keys, "_cut").orderBy(*order)
+    ahead = inside.rowsBetween(W.unboundedPreceding, -1)
+    local = []
+    if ordinal:
+        local.append(F.row_number().over(inside).alias("_no"))
+    local += [F.coalesce(F.sum(c).over(ahead), zero).alias(f"_in_{n}") for c, n in before.items()]
+    local += [F.last(c, True).over(ahead).alias(f"_near_{n}") for c, n in previous.items()]
+    out = []
+    if ordinal:
+        out.append((F.col("_no") + F.col("_off")).alias(ordinal))
+    if total:
+        out.append(F.col("_all").alias(total))
+    out += [(F.col(f"_in_{n}") + F.col(f"_pre_{n}")).alias(n) for n in before.values()]
+    out += [F.coalesce(f"_near_{n}", f"_old_{n}").alias(n) for n in previous.values()]
+    return cut.select("*", *local).join(carried, [*keys, "_cut"]).select(*df.columns, *out)
 
 
-def with_previous(
+def with_ordinal(
     df: DataFrame,
     keys: str | Sequence[str],
     order: str | Sequence[str],
-    columns: dict[str, str],
+    name: str = "rn",
+    total: str | None = None,
     chunk: Column | None = None,
     span: int = SPAN,
 ) -> DataFrame:
-    """For each ``source -> name``: the last non-null value strictly before the row."""
-    keys, order = _list(keys), _list(order)
-    cut = _chunked(df, order, chunk, span)
-    pos = F.struct(*order) if len(order) > 1 else F.col(order[0])
-    lasts = cut.groupBy(*keys, "_cut").agg(
-        *[
-            F.max_by(F.col(c), F.when(F.col(c).isNotNull(), pos)).alias(f"_last_{i}")
-            for i, c in enumerate(columns)
-        ]
-    )
-    over = _across(keys).orderBy("_cut").rowsBetween(W.unboundedPreceding, -1)
-    carry = lasts.select(
-        *keys,
-        "_cut",
-        *[F.last(f"_last_{i}", True).over(over).alias(f"_carry_{i}") for i in range(len(columns))],
-    )
-    inside = W.partitionBy(*keys, "_cut").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-    local = cut.select(
-        "*", *[F.last(c, True).over(inside).alias(f"_loc_{i}") for i, c in enumerate(columns)]
-    )
-    joined = local.join(carry, [*keys, "_cut"])
-    filled = [
-        F.coalesce(f"_loc_{i}", f"_carry_{i}").alias(n) for i, n in enumerate(columns.values())
-    ]
-    return joined.select(*df.columns, *filled)
+    """Add the 1-based position of each row inside its key (and the size of the key)."""
+    return with_ordered(df, keys, order, ordinal=name, total=total, chunk=chunk, span=span)
 
 
 def with_halo(df: DataFrame, ordinal: str, block: int, halo: int) -> DataFrame:

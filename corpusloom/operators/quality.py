@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from corpusloom.functions.text import only_punctuation
-from corpusloom.operators.ordered import SPAN, hash_int, with_ordinal, with_previous
+from corpusloom.operators.ordered import SPAN, hash_int, with_ordered, with_ordinal
 
 # Default bounds of the utterance filter, audit and text check.
 MAX_TOKEN_ID = 100000
@@ -218,10 +218,8 @@ def impute_failed_tokens(
     Adds ``source``: own, batch, pool or placeholder.
     """
     ok = F.col(token).isNotNull()
-    rows = with_previous(
-        df.withColumn("_hit", F.when(ok, F.col(order))), [shard], order, {"_hit": "_hit_before"},
-        span=span,
-    )
+    hits = df.withColumn("_hit", F.when(ok, F.col(order)))
+    rows = with_ordered(hits, shard, order, previous={"_hit": "_hit_before"}, span=span)
     inside = W.partitionBy(shard, batch).orderBy(order)
     whole = inside.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     rows = rows.withColumns(

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from corpusloom.functions.bind import bind
 from corpusloom.functions.text import strip, strip_ansi
-from corpusloom.operators.ordered import SPAN, with_ordinal, with_previous
+from corpusloom.operators.ordered import SPAN, with_ordered, with_ordinal
 
 # Metric names and the progress messages in both languages.
 METRICS = ["loss", "grad_norm", "learning_rate", "epoch"]
@@ -33,34 +34,37 @@ def parse_metric_line(df: DataFrame, line: str = "line") -> DataFrame:
     """Add ``kind`` (train, eval or null), ``parsed_by`` (literal or regex) and the metrics.
 
     A line counts when it starts with a brace. A literal keeps null for a missing key, as does
-    the regex form; ``fill_metrics`` gives each its own default.
+    the regex form; ``fill_metrics`` gives each its own default. The values are computed inside
+    a generator, so that a filter on them is not pushed into a second parse.
     """
-    text = strip(strip_ansi(F.col(line)))
     fields = [*METRICS, "eval_loss"]
     schema = ", ".join(f"{m} double" for m in fields) + ", _bad string"
-    literal = F.from_json(
-        text, schema, {"allowSingleQuotes": "true", "columnNameOfCorruptRecord": "_bad"}
-    )
+    options = {"allowSingleQuotes": "true", "columnNameOfCorruptRecord": "_bad"}
+
+    def by_regex(text: Column, name: str) -> Column:
+        found = F.regexp_extract(text, f"'{name}':\\s*([-+.0-9eE]+)", 1)
+        return found.try_cast("double")
+
+    def metrics(text: Column, literal: Column) -> Column:
+        ok = F.coalesce(literal["_bad"].isNull() & literal.isNotNull(), F.lit(False))
+        values = [
+            F.when(ok, literal[m]).otherwise(by_regex(text, m)).alias(m) for m in fields
+        ]
+        return F.struct(ok.alias("_ok"), *values)
 
-    def by_regex(name: str) -> Column:
-        return F.expr("try_cast(nullif(regexp_extract(_text, :p, 1), '') as double)".replace(
-            ":p", "\"'" + name + "':\\\\s*([-+.0-9eE]+)\""
-        ))
+    def parsed(text: Column) -> Column:
+        brace = F.when(text.startswith("{"), text)
+        literal = F.from_json(F.when(brace.endswith("}"), brace), schema, options)
+        return bind(literal, lambda found: metrics(brace, found))
 
-    ok = F.col("_lit").isNotNull() & F.col("_lit._bad").isNull()
-    values = {m: F.when(F.col("_ok"), F.col(f"_lit.{m}")).otherwise(by_regex(m)) for m in fields}
+    found = bind(strip(strip_ansi(F.col(line))), parsed)
     kind = F.when(F.col("loss").isNotNull(), "train").when(F.col("eval_loss").isNotNull(), "eval")
+    way = F.when(F.col("_ok"), "literal").otherwise("regex")
     return (
-        df.withColumn("_text", F.when(text.startswith("{"), text))
-        .withColumn("_lit", F.when(F.col("_text").isNotNull(), literal))
-        .withColumn("_ok", F.coalesce(ok, F.lit(False)))
-        .withColumns(values)
+        df.select("*", F.inline(F.array(found)))
         .withColumn("kind", kind)
-        .withColumn(
-            "parsed_by",
-            F.when(kind.isNotNull(), F.when(F.col("_ok"), "literal").otherwise("regex")),
-        )
-        .drop("_text", "_lit", "_ok")
+        .withColumn("parsed_by", F.when(kind.isNotNull(), way))
+        .drop("_ok")
     )
 
 
@@ -72,24 +76,25 @@ def number_steps(parsed: DataFrame, run: str, order: str, span: int = SPAN) -> D
 
 
 def fill_metrics(
-    steps: DataFrame, run: str, order: str, carry: bool = True, span: int = SPAN
+    parsed: DataFrame, run: str, order: str, carry: bool = True, span: int = SPAN
 ) -> DataFrame:
-    """Missing metrics: 0 for literal lines; for regex lines the previous line's value.
+    """Accepted training lines with their ``step``; missing metrics are 0 for literal lines and
+    the previous line's value for regex lines.
 
     The previous line's value is itself filled, so a literal line counts as 0 where the key is
     missing. Without ``carry`` (the in-memory form) every missing value is 0.
     """
     rest = METRICS[1:]
-    literal = F.col("parsed_by") == "literal"
-    known = steps.withColumns(
-        {
-            m: F.when(literal | F.lit(not carry), F.coalesce(m, F.lit(0.0))).otherwise(F.col(m))
-            for m in rest
-        }
+    lines = parsed.filter(F.col("kind") == "train")
+    settled = (F.col("parsed_by") == "literal") | F.lit(not carry)
+    known = lines.withColumns(
+        {m: F.when(settled, F.coalesce(m, F.lit(0.0))).otherwise(F.col(m)) for m in rest}
     )
     if not carry:
-        return known
-    filled = with_previous(known, [run], order, {m: f"_{m}" for m in rest}, span=span)
+        return with_ordinal(known, run, order, "step", span=span)
+    filled = with_ordered(
+        known, run, order, ordinal="step", previous={m: f"_{m}" for m in rest}, span=span
+    )
     return filled.withColumns(
         {m: F.coalesce(m, f"_{m}", F.lit(0.0)) for m in rest}
     ).drop(*[f"_{m}" for m in rest])

@@ -186,7 +186,7 @@ def join_with_pauses(
     Pieces keep their own rows (``first_sample`` is their place, ``pause`` the zeros after it), so a
     request of any length is never held by one task; ``collect_audio`` joins short ones.
     """
-    from corpusloom.operators.ordered import hash_int, with_running_sum
+    from corpusloom.operators.ordered import hash_int, with_ordered
 
     n = F.size("samples").cast("bigint")
     numbered = with_ordinal(pieces, [request], order, "_rn", total="_n")
@@ -195,7 +195,8 @@ def join_with_pauses(
     sized = numbered.withColumn("pause", pause.cast("bigint")).withColumn(
         "_size", n + F.col("pause")
     )
-    return with_running_sum(sized, [request], order, "_size", "first_sample").drop("_rn", "_n", "_size")
+    placed = with_ordered(sized, request, order, before={"_size": "first_sample"})
+    return placed.drop("_rn", "_n", "_size")
 
 
 def collect_audio(placed: DataFrame, request: str) -> DataFrame:

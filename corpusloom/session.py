@@ -34,6 +34,17 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+def spread(df: DataFrame, bytes_per_task: int = 128 << 20) -> DataFrame:
+    """Give a small scan enough partitions for CPU-heavy work.
+
+    A table of few row groups is read by as few tasks, whatever its files' sizes. Only a scan
+    estimated below ``bytes_per_task`` per core is shuffled; a large table is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size < cores * bytes_per_task else df
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write a derived table to the shared folder and read it back.
 

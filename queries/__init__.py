@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from corpusloom.session import spread
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -19,6 +21,10 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def texts(self, *columns: str) -> DataFrame:
+        """Documents for CPU-heavy text work, spread over the cores if the table is small."""
+        return spread(self.documents.select(*columns) if columns else self.documents)
+
 
 def query(sql: str | None = None):
     """Register a function of ``Tables`` under its name, with the SQL that must agree."""

@@ -135,7 +135,7 @@ WITH s AS (SELECT doc_id, list_transform(string_split(text, ' '), lambda w: leng
 
 def tokens(t):
     words = F.split("text", " ")
-    rows = t.documents.select("doc_id", F.transform(words, F.length).alias("s"))
+    rows = t.texts("doc_id", "text").select("doc_id", F.transform(words, F.length).alias("s"))
     return rows.withColumn("t", F.expr("cast(size(s) div 5 + doc_id % 3 as int)"))
 
 

@@ -84,7 +84,7 @@ def phone_substitution(t):
     lexicon = t.benchmark.select(words.alias("word")).select(F.lower("word").alias("word")).distinct()
     lexicon = lexicon.withColumn("phones", F.split(F.upper("word"), ""))
     out = J.phone_substitution(
-        t.documents.select("doc_id", "text"), lexicon, marker_vocabulary(t.spark), "doc_id"
+        t.texts("doc_id", "text"), lexicon, marker_vocabulary(t.spark), "doc_id"
     )
     return out.select("doc_id", "text")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from corpusloom.operators import joins as J
 from corpusloom.operators import runs as R
 from corpusloom.operators import segments as G
+from corpusloom.session import spread
 from queries import query
 
 # A run per user; the kind of event picks the kind of line.
@@ -25,7 +26,7 @@ def log_lines(t):
 
 
 def parsed(t):
-    return R.parse_metric_line(log_lines(t))
+    return R.parse_metric_line(spread(log_lines(t)))
 
 
 PARSED = """
@@ -71,8 +72,7 @@ SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event
 FROM p WHERE kind = 'train'
 """)
 def fill_forward_metrics(t):
-    steps = R.number_steps(parsed(t), "user_id", "event_id")
-    return R.fill_metrics(steps, "user_id", "event_id").select(
+    return R.fill_metrics(parsed(t), "user_id", "event_id").select(
         "user_id", "event_id", "step", "loss", "grad_norm", "learning_rate", "epoch"
     )
 
@@ -82,8 +82,7 @@ SELECT user_id, event_id, loss, coalesce(grad_norm, 0) AS grad_norm, coalesce(le
   CAST(coalesce(epoch, 0) AS DOUBLE) AS epoch FROM p WHERE kind = 'train'
 """)
 def memory_metrics(t):
-    steps = R.number_steps(parsed(t), "user_id", "event_id")
-    return R.fill_metrics(steps, "user_id", "event_id", carry=False).select(
+    return R.fill_metrics(parsed(t), "user_id", "event_id", carry=False).select(
         "user_id", "event_id", "loss", "grad_norm", "learning_rate", "epoch"
     )
 

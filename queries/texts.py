@@ -22,7 +22,7 @@ WITH mixed AS (SELECT doc_id, lang,
 
 def mixed(t):
     text = F.when(F.col("doc_id") % 2 == 0, F.translate("text", LATIN, HAN)).otherwise(F.col("text"))
-    return t.documents.select("doc_id", "lang", text.alias("text"))
+    return t.texts().select("doc_id", "lang", text.alias("text"))
 
 
 @query(MIXED + f""",
@@ -63,7 +63,7 @@ SELECT lang, quality, count(*) AS segments, CAST(sum(length(segment)) AS BIGINT)
   round(avg(length(segment)), 6) AS mean_chars FROM e GROUP BY lang, quality
 """)
 def language_segments(t):
-    return segments_by_language(t.documents, t.labels)
+    return segments_by_language(t.texts(), t.labels)
 
 
 @query(f"""
@@ -72,7 +72,7 @@ WITH c AS (SELECT doc_id, {S.sentences('text', T.SENTENCE_ENDS + T.COMMAS, '.')}
 """)
 def split_sentences(t):
     pieces = T.split_sentences(F.col("text"), F.lit(False), comma_split=True)
-    return t.documents.select("doc_id", F.posexplode(pieces).alias("seg_no", "segment"))
+    return t.texts().select("doc_id", F.posexplode(pieces).alias("seg_no", "segment"))
 
 
 def cut_by_marks(x: str, longest: int, shortest: int) -> str:
@@ -92,7 +92,7 @@ WITH src AS (SELECT doc_id, text FROM documents), {cut_by_marks('text', 50, 10)}
 {S.exploded('w', 'doc_id', 'pieces')}
 """)
 def segment_by_marks(t):
-    return J.segment_by_marks(t.documents.select("doc_id", "text"))
+    return J.segment_by_marks(t.texts().select("doc_id", "text"))
 
 
 @query(f"""
@@ -102,7 +102,7 @@ c AS (SELECT doc_id, {S.close('a', 'length(a.cur) < 10')} AS merged FROM f)
 {S.exploded('c', 'doc_id, CAST(len(merged) AS INTEGER) AS total_segments', 'merged')}
 """)
 def segment_long_texts(t):
-    return J.segment_long_texts(t.documents.select("doc_id", "text"))
+    return J.segment_long_texts(t.texts().select("doc_id", "text"))
 
 
 @query(MIXED + f""",
@@ -122,7 +122,7 @@ SELECT doc_id, regexp_replace(lower(translate(replace(replace(replace(replace(re
 """)
 def transliteration_cleaners(t):
     return J.normalize_corpus(
-        t.documents.select("doc_id", "text"), cleaners=["transliteration_cleaners"]
+        t.texts().select("doc_id", "text"), cleaners=["transliteration_cleaners"]
     )
 
 
@@ -130,7 +130,7 @@ def transliteration_cleaners(t):
 SELECT doc_id, regexp_replace(lower(text), '\\s+', ' ', 'g') AS text FROM documents
 """)
 def basic_cleaners(t):
-    return J.normalize_corpus(t.documents.select("doc_id", "text"), cleaners=["basic_cleaners"])
+    return J.normalize_corpus(t.texts().select("doc_id", "text"), cleaners=["basic_cleaners"])
 
 
 def sql_abbreviations() -> str:
@@ -148,7 +148,7 @@ WITH titled AS (SELECT doc_id, {TITLES} AS text FROM documents)
 SELECT doc_id, {sql_abbreviations()} AS text FROM titled
 """)
 def expand_abbreviations(t):
-    titled = t.documents.select("doc_id", F.expr(TITLES).alias("text"))
+    titled = t.texts().select("doc_id", F.expr(TITLES).alias("text"))
     return J.normalize_corpus(titled, cleaners=["expand_abbreviations"])
 
 
@@ -223,7 +223,7 @@ f AS (SELECT doc_id, {S.rewrite('text', '[0-9]+(?:st|nd|rd|th)', sql_ordinal)} A
 SELECT doc_id, {S.rewrite('text', '[0-9]+', sql_integer)} AS text FROM f
 """)
 def normalize_numbers(t):
-    priced = t.documents.select("doc_id", F.expr(PRICED).alias("text"))
+    priced = t.texts().select("doc_id", F.expr(PRICED).alias("text"))
     return J.normalize_corpus(priced, cleaners=["normalize_numbers"])
 
 
@@ -262,7 +262,7 @@ n AS (SELECT doc_id, seg_no, seg AS segment, CASE WHEN NOT leaf THEN 'text'
 
 def noted(t):
     wrapped = F.regexp_replace("text", " ([a-z]{2,6}) ", " ($1) ")
-    return t.documents.withColumn("text", wrapped).select("doc_id", F.expr(NOTED).alias("text"))
+    return t.texts().withColumn("text", wrapped).select("doc_id", F.expr(NOTED).alias("text"))
 
 
 @query(NOTES + "SELECT * FROM n")
@@ -307,7 +307,7 @@ SELECT doc_id, CAST(2 * len(ids) + 1 AS INTEGER) AS text_token_len,
   '0,' || array_to_string(list_transform(ids, lambda i: i || ',0'), ',') AS ids FROM c
 """)
 def encode_corpus(t):
-    coded = J.encode_corpus(t.documents.select("doc_id", "text"))
+    coded = J.encode_corpus(t.texts().select("doc_id", "text"))
     return coded.select("doc_id", "text_token_len", F.array_join("text_token", ",").alias("ids"))
 
 
@@ -316,7 +316,7 @@ WITH c AS (SELECT unnest(string_split(text, '')) AS symbol FROM documents)
 SELECT symbol, count(*) AS n FROM c WHERE NOT list_contains(map_keys({IDS}), symbol) AND symbol <> '' GROUP BY symbol
 """)
 def unknown_symbols(t):
-    return J.unknown_symbols(t.documents)
+    return J.unknown_symbols(t.texts())
 
 
 @query("""
@@ -334,7 +334,7 @@ def language_code(t):
         .when(third == 1, F.concat(F.lit("language "), "lang"))
         .otherwise("castilian")
     )
-    asked = t.documents.select("doc_id", said.alias("language"))
+    asked = t.texts().select("doc_id", said.alias("language"))
     return symbols.language_code(asked, dimension)
 
 
@@ -344,7 +344,7 @@ SELECT '[' || upper(w) || ']' AS token, count(*) AS n FROM w
 WHERE list_contains({S.words_list(markers.marker_names())}, '[' || upper(w) || ']') GROUP BY 1
 """)
 def marker_membership(t):
-    words = t.documents.select(F.explode(F.split("text", " ")).alias("w"))
+    words = t.texts().select(F.explode(F.split("text", " ")).alias("w"))
     tokens = words.select(F.concat(F.lit("["), F.upper("w"), F.lit("]")).alias("token"))
     known = J.marker_membership(tokens, markers.marker_vocabulary(t.spark))
     return known.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
@@ -356,4 +356,4 @@ SELECT doc_id, regexp_replace(text, '[^{symbols.LETTERS}]', '', 'g') AS text FRO
 def ids_to_symbols(t):
     letters = F.regexp_replace("text", f"[^{symbols.LETTERS}]", "")
     ids = symbols.symbols_to_ids(letters)
-    return t.documents.select("doc_id", symbols.ids_to_symbols(ids).alias("text"))
+    return t.texts().select("doc_id", symbols.ids_to_symbols(ids).alias("text"))

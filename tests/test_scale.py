@@ -40,7 +40,7 @@ def test_ordinal_and_total(table):
 
 def test_running_sum(table):
     rows, df = table
-    got = ordered.with_running_sum(df, "k", "o", "v", "before", span=50).collect()
+    got = ordered.with_ordered(df, "k", "o", before={"v": "before"}, span=50).collect()
     want = {}
     for k, g in by_key(rows).items():
         s = 0
@@ -53,7 +53,7 @@ def test_running_sum(table):
 def test_previous_value_skips_nulls(table):
     rows, df = table
     sparse = df.withColumn("v", F.when(F.col("v") % 5 == 0, F.col("v")))
-    got = ordered.with_previous(sparse, "k", "o", {"v": "p"}, span=40).collect()
+    got = ordered.with_ordered(sparse, "k", "o", previous={"v": "p"}, span=40).collect()
     want = {}
     for k, g in by_key(rows).items():
         last = None
@@ -201,7 +201,7 @@ def test_fill_forward_over_chunks(spark):
         lines.append((run, i, text, kind))
     df = spark.createDataFrame(lines, "run string, n bigint, line string, kind int")
     parsed = runs.parse_metric_line(df.drop("kind"))
-    got = runs.fill_metrics(runs.number_steps(parsed, "run", "n", span=20), "run", "n", span=16).collect()
+    got = runs.fill_metrics(parsed, "run", "n", span=16).collect()
     want = {}
     for run in ("hot", "cold"):
         last, step = 0.0, 0
