@@ -83,11 +83,12 @@ def assign_shards(
 ) -> DataFrame:
     """Which rank and worker reads which shard, in reading order.
 
-    With ``epoch`` the list is shuffled by that seed, otherwise it is taken in ``order``. A list
-    shorter than the ranks (or a rank's list shorter than its workers) is repeated and cut.
+    With ``epoch`` the list is shuffled by that seed, otherwise it is taken in ``order`` (the
+    integer position in the list). A list shorter than the ranks (or a rank's list shorter than its workers) is repeated and cut.
     """
-    order = order or shard
     if epoch is None or not partition:
+        if order is None:
+            raise ValueError("without an epoch the shards need an order column")
         listed = with_ordinal(shards, [], order, "_i", total="_n").withColumn(
             "_i", F.col("_i") - 1
         )

@@ -122,7 +122,7 @@ def dynamic_batch(t):
 
 
 @query("""
-SELECT doc_id, source, row_number() OVER (PARTITION BY source, b ORDER BY n_chars DESC, doc_id) - 1 AS in_batch,
+SELECT doc_id, source, CAST(row_number() OVER (PARTITION BY source, b ORDER BY n_chars DESC, doc_id) - 1 AS INTEGER) AS in_batch,
   b AS batch_no
 FROM (SELECT *, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 16 AS b FROM documents)
 """)

@@ -29,7 +29,7 @@ def utterances(t):
 @query("""
 WITH u AS (
   SELECT doc_id, n_chars * 160 / 16000 * 100 AS frames, string_split(text, ' ') AS w FROM documents)
-SELECT doc_id, len(w) AS n_tokens FROM u
+SELECT doc_id, CAST(len(w) AS INTEGER) AS n_tokens FROM u
 WHERE frames BETWEEN 10 AND 10240 AND len(w) BETWEEN 1 AND 200
   AND len(w) / frames BETWEEN 0.0005 AND 1
   AND (doc_id % 3 <> 0 OR len(list_filter(w, lambda x: length(x) > 12)) > 0)
@@ -141,7 +141,7 @@ def require_equal_rate(t):
 
 
 @query("""
-SELECT doc_id, CASE WHEN n_chars * 320 / 16000 > 30 THEN 0 ELSE len(string_split(text, ' ')) END
+SELECT doc_id, CASE WHEN n_chars * 320 / 16000 > 30 THEN 0 ELSE CAST(len(string_split(text, ' ')) AS INTEGER) END
   AS n_tokens, CASE WHEN n_chars * 320 / 16000 > 30 THEN 0 ELSE 1 END AS n_feat,
   CASE WHEN n_chars * 320 / 16000 > 30 THEN 0 ELSE n_chars END AS speech_feat_len
 FROM documents
