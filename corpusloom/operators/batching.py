@@ -93,7 +93,7 @@ def assign_shards(
             "_i", F.col("_i") - 1
         )
     else:
-        listed = seeded_shuffle(shards, order, epoch, "_i", "_n")
+        listed = seeded_shuffle(shards, shard, epoch, "_i", "_n")
 
     def repeated(df: DataFrame, index: str, n: str, least: int) -> DataFrame:
         copies = F.when(
