@@ -180,7 +180,7 @@ def drop_punctuation_only(df: DataFrame, text: str = "text") -> DataFrame:
 
 def annotate_lines(df: DataFrame, text: str = "text", status: str = "annotated") -> DataFrame:
     """One row per non-blank line; blank lines keep their number."""
-    lines = F.posexplode(F.split(F.trim(F.col(text)), "\n")).alias("_pos", "line")
+    lines = F.posexplode_outer(F.split(F.trim(F.col(text)), "\n")).alias("_pos", "line")
     keep = [c for c in df.columns if c != text]
     return df.select(*keep, lines).select(
         *keep,

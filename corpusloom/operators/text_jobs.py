@@ -19,11 +19,14 @@ def normalize_corpus(
 ) -> DataFrame:
     """Normalised texts without those that are only punctuation.
 
-    ``cleaners`` names the cleaners to apply instead of the front-end normalisation.
+    ``cleaners`` names the cleaners to apply instead of the front-end normalisation. The new text
+    comes out of a generator: the filter on it would otherwise normalise a second time.
     """
     c = F.col(text)
     done = T.clean(c, cleaners) if cleaners else T.normalize_text(c)
-    return df.withColumn(text, done).filter(~T.only_punctuation(F.col(text)))
+    rest = [x for x in df.columns if x != text]
+    rows = df.select(*rest, F.explode(F.array(done)).alias(text)).select(*df.columns)
+    return rows.filter(~T.only_punctuation(F.col(text)))
 
 
 def text_pieces(
@@ -104,7 +107,8 @@ def unknown_symbols(df: DataFrame, text: str = "text") -> DataFrame:
 
     unknown = F.translate(F.col(text), SYMBOLS, "")
     chars = F.array_distinct(characters(unknown))
-    pairs = df.select(unknown.alias("_u"), F.explode(chars).alias("symbol"))
+    pairs = df.select(unknown.alias("_u"), F.explode_outer(chars).alias("symbol"))
+    pairs = pairs.filter(F.col("symbol").isNotNull())
     found = F.length("_u") - F.length(F.replace(F.col("_u"), F.col("symbol"), F.lit("")))
     return (
         pairs.select("symbol", found.cast("bigint").alias("n"))

@@ -33,8 +33,12 @@ def chunk_token_stream(
     ) -> Iterator[pd.DataFrame]:
         waiting, offset, number, done = state.get if state.exists else ([], 0, 0, False)
         waiting = list(waiting)
-        fresh = pd.concat(list(frames)).sort_values("seq")
-        waiting.extend(int(t) for t in fresh["token"][~fresh["is_end"]])
+        fresh = sorted(
+            row
+            for f in frames
+            for row in zip(f["seq"].tolist(), f["token"].tolist(), f["is_end"].tolist())
+        )
+        waiting.extend(token for _, token, is_end in fresh if not is_end)
         out, at = [], 0
         while True:
             step = hop + (first_pad if offset == 0 else 0)
@@ -44,7 +48,7 @@ def chunk_token_stream(
             out.append((key[0], number, offset, offset + len(part), False, part))
             at, offset, number = at + step, offset + step, number + 1
         waiting = waiting[at:]
-        if bool(fresh["is_end"].any()):
+        if any(is_end for _, _, is_end in fresh):
             out.append((key[0], number, offset, offset + len(waiting), True, waiting))
             state.remove()
         else:

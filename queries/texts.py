@@ -72,7 +72,7 @@ WITH c AS (SELECT doc_id, {S.sentences('text', T.SENTENCE_ENDS + T.COMMAS, '.')}
 """)
 def split_sentences(t):
     pieces = T.split_sentences(F.col("text"), F.lit(False), comma_split=True)
-    return t.texts().select("doc_id", F.posexplode(pieces).alias("seg_no", "segment"))
+    return t.texts().select("doc_id", F.posexplode_outer(pieces).alias("seg_no", "segment"))
 
 
 def cut_by_marks(x: str, longest: int, shortest: int) -> str:

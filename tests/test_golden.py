@@ -154,6 +154,37 @@ def test_batches(spark):
         batching.make_batches(spark.range(1), "other", "s", "i")
 
 
+def test_columns_by_training_mode(spark):
+    df = spark.createDataFrame(
+        [([1.0], 1, [2], 1, [0.5], [0.25])],
+        "speech array<double>, speech_len int, reject_speech_token array<int>, "
+        "reject_speech_token_len int, utt_embedding array<double>, spk_embedding array<double>",
+    )
+    plain = batching.choose_batch_columns(df, use_spk_embedding=False)
+    assert plain.columns == ["utt_embedding", "spk_embedding", "embedding"]
+    assert plain.first().embedding == [0.5]
+    both = batching.choose_batch_columns(df, use_spk_embedding=True, gan=True, dpo=True)
+    assert set(df.columns) < set(both.columns) and both.first().embedding == [0.25]
+
+
+def test_rate_and_duration(spark):
+    df = spark.createDataFrame([(1, 16000), (2, 8000)], "id int, sample_rate int")
+    with pytest.raises(Exception, match="expected rate 16000, got 8000"):
+        quality.require_equal_rate(df, 16000).collect()
+    mono = spark.createDataFrame([(500000, 16000, 1, [1])], "n_samples int, sample_rate int, n_channels int, speech_token array<int>")
+    assert quality.cap_duration(mono).first().speech_token == []
+    assert quality.cap_duration(mono, as_written=True).first().speech_token == [1]
+
+
+def test_explicit_validation_table(spark):
+    a, b = spark.range(3), spark.range(3, 5)
+    both = batching.train_val_split(a, "id", 0.5, val=b)
+    assert {(r.id, r.split) for r in both.collect()} == {
+        (0, "train"), (1, "train"), (2, "train"), (3, "val"), (4, "val"),
+    }
+    assert batching.train_val_split(a, "id", 0.5, val=b, auto=True).count() == 3
+
+
 def test_split_and_shards(spark):
     rows = batching.train_val_split(spark.range(59), "id", 0.05)
     assert rows.filter("split = 'val'").count() == 2 and rows.count() == 59
