@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from corpusloom.functions.arrays import pad_to, round_up_length
+from corpusloom.functions.arrays import round_up_length
 from corpusloom.operators.greedy import PaddedBudget, greedy_groups
 from corpusloom.operators.greedy import SPAN as GREEDY_SPAN
 from corpusloom.operators.ordered import SPAN, hash_chunk, hash_key, with_ordinal
@@ -166,8 +166,6 @@ def dynamic_batch(
         df.select(shard, order, length), [shard], order, [length], PaddedBudget(budget),
         "batch_no", span,
     ).select(shard, order, "batch_no")
-    if len(df.columns) == 3:
-        return df.join(numbers, [shard, order])
     return df.join(numbers, [shard, order])
 
 
@@ -202,12 +200,11 @@ def pad_sequences(
         longest[f"_{c}"] = round_up_length(top, halvings[c]) if c in halvings else top
     out = df.withColumns({f"{c}_len": F.size(c) for c in columns}).withColumns(longest)
     types = {f.name: f.dataType for f in df.schema}
-    padded = {
-        c: pad_to(F.col(c), F.col(f"_{c}"), None if v is None else v).cast(types[c])
-        if not isinstance(v, Column)
-        else F.concat(c, F.array_repeat(v, (F.col(f"_{c}") - F.size(c)).cast("int")))
-        for c, v in columns.items()
-    }
+    padded = {}
+    for c, v in columns.items():
+        filler = v if isinstance(v, Column) else F.lit(v)
+        missing = (F.col(f"_{c}") - F.size(c)).cast("int")
+        padded[c] = F.concat(F.col(c), F.array_repeat(filler, missing)).cast(types[c])
     return out.withColumns(padded).drop(*longest)
 
 

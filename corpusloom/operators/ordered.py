@@ -9,7 +9,7 @@ with the carried values reuses that partitioning.
 
 ``order`` must be unique inside a key. When its first column is an integer the chunk is
 ``order div span``, which holds at most ``span`` rows; for hash orders the caller passes a
-prefix of the hash. Key and order columns must not be null.
+prefix of the hash. Null is a key like any other.
 """
 
 from __future__ import annotations
@@ -44,9 +44,10 @@ def with_ordered(
     """
     keys, order = _list(keys), _list(order)
     before, previous = before or {}, previous or {}
-    cut = df.withColumn(
-        "_cut", chunk if chunk is not None else F.expr(f"`{order[0]}` div {span}")
-    )
+    piece = chunk if chunk is not None else F.expr(f"`{order[0]}` div {span}")
+    # one struct for the place: rows with a null key meet in the join like any others
+    place = F.struct(*keys, piece.alias("_cut")).alias("_place")
+    cut = df.select("*", place)
     # one row per (key, chunk): a partial aggregate over the columns in question
     at = F.struct(*order) if len(order) > 1 else F.col(order[0])
     facts = [F.count(F.lit(1)).alias("_rows")]
@@ -55,9 +56,9 @@ def with_ordered(
         F.max_by(F.col(c), F.when(F.col(c).isNotNull(), at)).alias(f"_last_{n}")
         for c, n in previous.items()
     ]
-    chunks = cut.groupBy(*keys, "_cut").agg(*facts)
-    across = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
-    earlier = across.orderBy("_cut").rowsBetween(W.unboundedPreceding, -1)
+    chunks = cut.groupBy("_place").agg(*facts)
+    across = W.partitionBy(*[F.col("_place")[k] for k in keys] or [F.lit(0)])
+    earlier = across.orderBy(F.col("_place")["_cut"]).rowsBetween(W.unboundedPreceding, -1)
     zero = F.lit(0)
     carry = [F.coalesce(F.sum("_rows").over(earlier), zero).alias("_off")]
     carry += [F.sum("_rows").over(across).alias("_all")]
@@ -66,9 +67,9 @@ def with_ordered(
         for n in before.values()
     ]
     carry += [F.last(f"_last_{n}", True).over(earlier).alias(f"_old_{n}") for n in previous.values()]
-    carried = chunks.select(*keys, "_cut", *carry)
+    carried = chunks.select("_place", *carry)
 
-    inside = W.partitionBy(*keys, "_cut").orderBy(*order)
+    inside = W.partitionBy("_place").orderBy(*order)
     ahead = inside.rowsBetween(W.unboundedPreceding, -1)
     local = []
     if ordinal:
@@ -82,7 +83,7 @@ def with_ordered(
         out.append(F.col("_all").alias(total))
     out += [(F.col(f"_in_{n}") + F.col(f"_pre_{n}")).alias(n) for n in before.values()]
     out += [F.coalesce(f"_near_{n}", f"_old_{n}").alias(n) for n in previous.values()]
-    return cut.select("*", *local).join(carried, [*keys, "_cut"]).select(*df.columns, *out)
+    return cut.select("*", *local).join(carried, "_place").select(*df.columns, *out)
 
 
 def with_ordinal(

@@ -43,14 +43,3 @@ def spread(df: DataFrame, bytes_per_task: int = 128 << 20) -> DataFrame:
     cores = df.sparkSession.sparkContext.defaultParallelism
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     return df.repartition(cores) if size < cores * bytes_per_task else df
-
-
-def materialise(df: DataFrame) -> DataFrame:
-    """Write a derived table to the shared folder and read it back.
-
-    Used where several branches read one expensive input: the files survive the loss of
-    executors and every branch sees the same rows.
-    """
-    path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)

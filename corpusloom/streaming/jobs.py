@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -110,17 +108,3 @@ def run_updates(stream: DataFrame, keys: list[str], checkpoint: str | None = Non
         *[F.max_by(c, "batch_id").alias(c) for c in values]
     )
     return latest.select(*stream.columns)
-
-
-def run_each(
-    stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str | None = None
-) -> None:
-    """Run a query over all input with a caller's batch writer."""
-    base = shared_dir(stream.sparkSession)
-    query = (
-        stream.writeStream.foreachBatch(write)
-        .option("checkpointLocation", checkpoint or f"{base}/checkpoint")
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()

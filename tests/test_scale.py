@@ -214,6 +214,18 @@ def test_fill_forward_over_chunks(spark):
     assert {(r.run, r.n): (r.step, r.grad_norm) for r in got} == want
 
 
+def test_null_key_is_a_key(table):
+    rows, df = table
+    holed = df.withColumn("k", F.when(F.col("k") != "hot", F.col("k")))
+    got = ordered.with_ordinal(holed, "k", "o", total="n", span=64).collect()
+    renamed = [(None if k == "hot" else k, o, v) for k, o, v in rows]
+    groups = {}
+    for k, o, _ in sorted(renamed, key=lambda r: r[1]):
+        groups.setdefault(k, []).append(o)
+    want = {(k, o): (i + 1, len(g)) for k, g in groups.items() for i, o in enumerate(g)}
+    assert {(r.k, r.o): (r.rn, r.n) for r in got} == want
+
+
 def test_shuffles_are_permutations(table):
     rows, df = table
     whole = batching.seeded_shuffle(df, "o").collect()
