@@ -202,9 +202,9 @@ def pad_sequences(
     types = {f.name: f.dataType for f in df.schema}
     padded = {}
     for c, v in columns.items():
-        filler = v if isinstance(v, Column) else F.lit(v)
+        filler = v if isinstance(v, Column) else F.lit(v).cast(types[c].elementType)
         missing = (F.col(f"_{c}") - F.size(c)).cast("int")
-        padded[c] = F.concat(F.col(c), F.array_repeat(filler, missing)).cast(types[c])
+        padded[c] = F.concat(F.col(c), F.array_repeat(filler, missing))
     return out.withColumns(padded).drop(*longest)
 
 

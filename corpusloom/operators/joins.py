@@ -119,7 +119,8 @@ def phone_substitution(
     """At most two English words become bracketed phones; a text that stays unchanged may get
     two of its Chinese characters replaced instead.
 
-    ``lexicon``: ``word, phones`` (the least of several pronunciations is used); ``specials``: ``marker`` (the bracketed phones that exist).
+    ``lexicon``: ``word, phones`` (the least of several pronunciations is used); ``specials``:
+    ``marker`` (the bracketed phones that exist).
     """
     out = _swap(df, key, text, EN_WORD, 1, lexicon, specials, seed)
     if zh_lexicon is None:
