@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import bpe, chat, multi_index, simhash, toxicity
+from corpusloom.llm import bpe, chat, multi_index, phrase_automata, simhash, suffix_dedup, toxicity
 from corpusloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,12 +36,24 @@ def op1_chat_windows(spark: SparkSession, folder: str) -> DataFrame:
     return chat.read_back(chat.format_windows(turns.unionByName(more)))
 
 
+@query()
+def op2_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    left = suffix_dedup.drop_repeats(table(spark, folder, "documents"))
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query()
 def op3_multi_index(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "embeddings")
     return multi_index.search(rows, rows.where("vec_id % 20 = 0"))
 
 
+@query()
+def op4_phrase_automata(spark: SparkSession, folder: str) -> DataFrame:
+    left = phrase_automata.drop_repeated_phrases(table(spark, folder, "documents"))
+    return left.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 @query()
 def op5_bpe_chunks(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents")
