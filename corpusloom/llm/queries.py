@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import bpe, chat, multi_index, phrase_automata, simhash, suffix_dedup, toxicity
+from corpusloom.llm import bpe, chat, imatch, multi_index, phrase_automata, simhash, suffix_dedup, toxicity, wrappers
 from corpusloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,12 +60,22 @@ def op5_bpe_chunks(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digests(bpe.encode(documents, public_tokenizers.path("word_bpe_49k.json")))
 
 
+@query()
+def op6_imatch(spark: SparkSession, folder: str) -> DataFrame:
+    return imatch.fingerprints(table(spark, folder, "documents"))
+
+
 @query()
 def op7_simhash_components(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, folder, "documents"))
     return found.select("doc_id", simhash.hex64("fp").alias("fingerprint"), "component_id")
 
 
+@query()
+def op8_wrappers(spark: SparkSession, folder: str) -> DataFrame:
+    return wrappers.extract(table(spark, folder, "pages"))
+
+
 @query()
 def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     documents, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
