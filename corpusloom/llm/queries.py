@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import bpe, chat, imatch, multi_index, phrase_automata, simhash, suffix_dedup, toxicity, wrappers
+from corpusloom.llm import bpe, chat, imatch, multi_index, phrase_automata, raking, simhash, suffix_dedup, toxicity, wrappers
 from corpusloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,6 +77,16 @@ def op8_wrappers(spark: SparkSession, folder: str) -> DataFrame:
     return wrappers.extract(table(spark, folder, "pages"))
 
 
+@query()
+def op9_raking(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with its chance, and whether it is drawn."""
+    rows = raking.mixed(table(spark, folder, "documents"))
+    return rows.select(
+        F.col("row.doc_id").alias("doc_id"), F.col("row.source").alias("source"), F.col("row.lang").alias("lang"),
+        "topic", "n_tokens", "probability", "weight", "kept",
+    )
+
+
 @query()
 def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     documents, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
@@ -83,3 +94,8 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.score(documents, model).select(
         "doc_id", toxicity.held_out().alias("held_out"), "score", "predicted", "offending"
     )
+
+
+@query(corpus_pipeline.ORACLE_SQL)
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    return corpus_pipeline.run(spark, folder)

@@ -115,7 +115,7 @@ def train_from(docs: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, od
     for step in range(1, steps + 1):
         z = w[-1] + np.bincount(sent, w[col], n)
         total = np.bincount(owner, np.logaddexp(0, z), len(labels))
-        by_doc = np.where(labels == 1, -1 / np.expm1(np.maximum(total, 1e-9)), 1.0) * weight
+        by_doc = np.where(labels == 1, -1 / np.expm1(np.clip(total, 1e-9, 500.0)), 1.0) * weight
         dz = by_doc[owner] / (1 + np.exp(-z))
         g = np.append(np.bincount(col, dz[sent], len(used)), dz.sum())
         g[:-1] += 2e-5 * w[:-1]
