@@ -1,4 +1,4 @@
-"""Numbers in words as column expressions, for integers of up to 36 digits."""
+"""Numbers in words as column expressions. Beyond the scales' 36 digits, digits are read one by one."""
 
 from __future__ import annotations
 
@@ -55,7 +55,8 @@ def _below_thousand(n: Column, link: str) -> Column:
 
 def number_words(digits: Column, spoken_and: bool = True) -> Column:
     """Words for a string of decimal digits: ``1234567`` becomes ``one million, two hundred and
-    thirty-four thousand, five hundred and sixty-seven`` (without ``and`` if not spoken)."""
+    thirty-four thousand, five hundred and sixty-seven`` (without ``and`` if not spoken). Without
+    leading zeros, more than 36 digits are said one by one: ``one two three``."""
     link = " and " if spoken_and else " "
 
     def words(bare: Column) -> Column:
@@ -75,7 +76,13 @@ def number_words(digits: Column, spoken_and: bool = True) -> Column:
             return F.array_join(F.transform(F.sequence(F.lit(0), groups - 1), part), "")
 
         padded = F.lpad(bare, groups * 3, F.lit("0"))
-        return F.when(bare == "", "zero").otherwise(bind(padded, parts))
+        places = F.sequence(F.lit(1), F.greatest(F.length(bare), F.lit(1)))
+        one_by_one = F.array_join(F.transform(places, lambda i: F.get(_table(ONES), F.substring(bare, i, F.lit(1)).cast("int"))), " ")
+        return (
+            F.when(bare == "", "zero")
+            .when(F.length(bare) > 3 * len(SCALES), one_by_one)
+            .otherwise(bind(padded, parts))
+        )
 
     return bind(F.regexp_replace(digits, "^0+", ""), words)
 

@@ -35,7 +35,9 @@ def number_words(d: str, link: str = " and ") -> str:
     joint = f"(CASE WHEN i = 0 THEN '' WHEN i = {k} - 1 AND {n} < 100 THEN '{link}' ELSE ', ' END)"
     part = f"CASE WHEN {n} > 0 THEN {joint} || {said} || {SCALES}[{k} - CAST(i AS INTEGER)] ELSE '' END"
     whole = f"array_to_string(list_transform(range({k}), lambda i: {part}), '')"
-    return f"(CASE WHEN {bare} = '' THEN 'zero' ELSE {whole} END)"
+    digit = f"{ONES}[ascii(substr({bare}, CAST(i AS INTEGER) + 1, 1)) - 47]"
+    spelt = f"array_to_string(list_transform(range(length({bare})), lambda i: {digit}), ' ')"
+    return f"(CASE WHEN {bare} = '' THEN 'zero' WHEN length({bare}) >= 37 THEN {spelt} ELSE {whole} END)"
 
 
 def rewrite(x: str, pattern: str, change: Callable[[str], str]) -> str:

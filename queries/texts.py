@@ -154,7 +154,8 @@ def expand_abbreviations(t):
 
 PRICED = (
     "concat('Paid $', n_chars, '.', doc_id % 100, ' and £1,', lpad(CAST(doc_id % 1000 AS STRING), 3, '0'), "
-    "' on the ', doc_id, 'th, $0.', doc_id % 3, ', $', doc_id % 3, ', in ', 1000 + doc_id % 2100, ': ', text)"
+    "' on the ', doc_id, 'th, $0.', doc_id % 3, ', $', doc_id % 3, ', in ', 1000 + doc_id % 2100, ' of ', "
+    "repeat(CAST(doc_id % 10 AS STRING), CAST(30 + doc_id % 41 AS INT)), ': ', text)"
 )
 
 
