@@ -153,7 +153,7 @@ def _compose(lines: list[tuple], parts: list[int], rule) -> list[tuple]:
 def greedy_groups(
     df: DataFrame,
     keys: list[str],
-    order: str,
+    order: str | list[str],
     fields: list[str],
     rule,
     name: str = "group_no",
@@ -162,12 +162,15 @@ def greedy_groups(
 ) -> DataFrame:
     """Number the greedy groups of each key from 0; returns ``keys, order, fields, name``.
 
-    ``order`` is an integer, unique inside a key. Keys of at most ``span`` rows need no summary:
-    they go straight to the numbering pass, which streams over sorted rows and keeps only the
-    open group's state.
+    ``order``: columns, unique inside a key, the first of them an integer. A key's first chunk is
+    entered without a group; what enters a later chunk comes from the summaries of those before,
+    so a key of one chunk has nothing to summarise. The numbering pass streams over sorted rows and
+    keeps only the open group's state.
     """
-    slim = with_ordinal(df.select(*keys, order, *fields), keys, order, "_rn", total="_size")
-    slim = slim.withColumn("_cut", F.expr(f"(_rn - 1) div {span}")).drop("_rn")
+    by = [order] if isinstance(order, str) else order
+    kept = list(dict.fromkeys([*by, *fields]))
+    slim = with_ordinal(df.select(*keys, *kept), keys, by, "_rn", total="_size")
+    slim = slim.withColumn("_cut", F.expr(f"(_rn - 1) div {span}"))
     key_type = {f.name: f.dataType.simpleString() for f in slim.schema}
     key_ddl = ", ".join(f"`{k}` {key_type[k]}" for k in keys)
     field_ddl = ", ".join(f"`{f}` {key_type[f]}" for f in fields)
@@ -176,7 +179,7 @@ def greedy_groups(
     entry_columns = [*keys, "_cut", "_open", "_e0", "_e1", "_number"]
 
     def summarise(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = _rows(pdf, order, fields)
+        rows = _rows(pdf, "_rn", fields)
         first_cut, _ = _run(rows, rule, rule.open(rows[0]), 1)
         known: dict = {}
         out = []
@@ -235,7 +238,7 @@ def greedy_groups(
                 else:
                     state = grown
                 ids.append(number)
-            yield pdf[[*keys, order, *fields]].assign(**{name: ids})
+            yield pdf[[*keys, *kept]].assign(**{name: ids})
 
     place = [*keys, "_cut"]
     summary_ddl = (
@@ -244,7 +247,7 @@ def greedy_groups(
     entry_ddl = (
         f"{key_ddl}, _cut bigint, _open boolean, _e0 double, _e1 double, _number bigint"
     )
-    large = slim.filter(F.col("_size") > span).drop("_size")
+    large = slim.filter(F.col("_size") > span)
     chunks = large.groupBy(*place).applyInPandas(summarise, summary_ddl)
     block = F.expr(f"_cut div {fan}").alias("_block")
     blocks = chunks.groupBy(*keys, block).applyInPandas(compose, summary_ddl)
@@ -254,14 +257,12 @@ def greedy_groups(
         .cogroup(into_blocks.groupBy(*keys, "_cut"))
         .applyInPandas(enter_chunks, entry_ddl)
     )
-    small = slim.filter(F.col("_size") <= span).drop("_size")
     unentered = {"_open": F.lit(False), "_e0": F.lit(0.0), "_e1": F.lit(0.0)}
-    rows = small.withColumns({**unentered, "_number": F.lit(-1).cast("bigint")}).unionByName(
-        large.join(entries, place)
-    )
-    numbered_ddl = f"{key_ddl}, `{order}` {key_type[order]}, {field_ddl}, {name} bigint"
+    first = slim.filter("_cut = 0").withColumns({**unentered, "_number": F.lit(-1).cast("bigint")})
+    rows = first.unionByName(slim.filter("_cut > 0").join(entries, place))
+    kept_ddl = ", ".join(f"`{c}` {key_type[c]}" for c in kept)
     return (
         rows.repartition(*place)
-        .sortWithinPartitions(*place, order)
-        .mapInPandas(number_rows, numbered_ddl)
+        .sortWithinPartitions(*place, "_rn")
+        .mapInPandas(number_rows, f"{key_ddl}, {kept_ddl}, {name} bigint")
     )

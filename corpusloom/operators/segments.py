@@ -25,13 +25,15 @@ def merge_short_segments(
 
     A segment under ``short`` seconds joins the open one while the two durations stay under
     1.5 * ``split`` (a gap inside the open one counts, the gap between them does not); a short
-    last segment joins the one before it. Segments are ordered by start.
+    last segment joins the one before it. Segments go by start, then end, then ``order``, in
+    whatever order they come.
     """
     rule = ShortSegments(short * rate, 1.5 * split * rate)
-    groups = greedy_groups(segments, [file], order, [start, end], rule, "_g", span)
+    groups = greedy_groups(segments, [file], [start, end, order], [start, end], rule, "_g", span)
+    place = F.struct(start, end, order)
     merged = groups.groupBy(file, "_g").agg(
-        F.min_by(start, order).alias(start),
-        F.max_by(end, order).alias(end),
+        F.min_by(start, place).alias(start),
+        F.max_by(end, place).alias(end),
         F.count(F.lit(1)).alias("n"),
     )
     last = merged.groupBy(file).agg(F.max("_g").alias("_last"), F.max_by(

@@ -196,7 +196,7 @@ def segments(t):
 
 MERGED = """
 WITH RECURSIVE s AS (SELECT user_id AS file, epoch_us(ts) // 1000 AS s, epoch_us(ts) // 1000 + CAST(floor(value * 10000) AS BIGINT) AS e,
-  row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM events),
+  row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, epoch_us(ts) // 1000 + CAST(floor(value * 10000) AS BIGINT), event_id) AS r FROM events),
 f AS (
   SELECT file, r, s, e, 0 AS g, s AS cs FROM s WHERE r = 1
   UNION ALL

@@ -110,6 +110,21 @@ def merged(segs, short, limit):
     return out
 
 
+def test_merge_unordered_segments_alike_for_every_span(spark):
+    rng = random.Random(8)
+    rows = [("f", i, (x := rng.randrange(9000)), x + rng.randrange(1, 30)) for i in range(600)]
+    df = spark.createDataFrame(rows, "file string, i long, start long, end long")
+    got = {
+        span: sorted(map(tuple, segments.merge_short_segments(df, "file", "i", 0.6, 2, rate=10, span=span).collect()))
+        for span in (16, 100, 1 << 18)
+    }
+    assert got[16] == got[100] == got[1 << 18]
+    ordered_rows = sorted(rows, key=lambda r: (r[2], r[3], r[1]))
+    again = spark.createDataFrame([(f, k, s, e) for k, (f, _, s, e) in enumerate(ordered_rows)], df.schema)
+    same = segments.merge_short_segments(again, "file", "i", 0.6, 2, rate=10).collect()
+    assert sorted(map(tuple, same)) == got[16]
+
+
 @pytest.mark.parametrize("span", [4, 11, 4096])
 def test_merge_segments_over_chunks(spark, span):
     rng = random.Random(7)
