@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Vectors the codebooks are fitted on at most; every vector is indexed.
@@ -110,11 +110,11 @@ def search(df: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col
 
     The index is split into shards by a hash of the row's id: each holds its rows of every cell, so
     neither a hot cell nor a vector that a third of the rows share gathers in one task. A shard gives
-    its best ``top`` per query. Vectors must have one length. Of rows with one query id the smallest
+    one row per query with its best ``top``, and these rows are merged as they stream by. Vectors must have one length. Of rows with one query id the smallest
     vector asks; repeated candidates are candidates each. No usable vectors: no rows.
     """
     vectors = usable(df, id_col, vector_col)
-    schema = "query_id long, vec_id long, score double"
+    packed = "query_id long, ids array<long>, scores array<double>"
     index = build(vectors, k)
     if index is None:
         return df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -150,13 +150,33 @@ def search(df: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col
                     keep = scores >= least_kept
                     at, scores = at[keep], scores[keep]
                 best = np.lexsort((ids[at], -scores))[:top]
-                out.append(pd.DataFrame({"query_id": query, "vec_id": ids[at[best]], "score": scores[best]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+                out.append((query, ids[at[best]], scores[best]))
+        return pd.DataFrame(out, columns=["query_id", "ids", "scores"])
 
-    found = asked.groupBy("shard").cogroup(held.groupBy("shard")).applyInPandas(rerank, schema)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return (
-        found.withColumn("rank", F.row_number().over(order))
-        .where(F.col("rank") <= top)
-        .select("query_id", "rank", "vec_id", "score")
-    )
+    def merge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows come sorted by query; only the best ``top`` of the current one are held."""
+        owner, ids, scores, done = None, None, None, []
+        for f in frames:
+            for query, more, values in zip(f["query_id"], f["ids"], f["scores"]):
+                if query != owner:
+                    if owner is not None:
+                        done.append(ranked(owner, ids, scores))
+                    owner, ids, scores = query, np.empty(0, np.int64), np.empty(0)
+                ids, scores = np.append(ids, more), np.append(scores, values)
+                best = np.lexsort((ids, -scores))[:top]
+                ids, scores = ids[best], scores[best]
+            if len(done) > 500:
+                yield pd.concat(done)
+                done = []
+        if owner is not None:
+            done.append(ranked(owner, ids, scores))
+        if done:
+            yield pd.concat(done)
+
+    def ranked(query: int, ids: np.ndarray, scores: np.ndarray) -> pd.DataFrame:
+        rank = np.arange(1, len(ids) + 1)
+        return pd.DataFrame({"query_id": query, "rank": rank, "vec_id": ids.astype(np.int64), "score": scores})
+
+    found = asked.groupBy("shard").cogroup(held.groupBy("shard")).applyInPandas(rerank, packed)
+    by_query = found.repartition("query_id").sortWithinPartitions("query_id")
+    return by_query.mapInPandas(merge, "query_id long, rank int, vec_id long, score double")
