@@ -76,7 +76,7 @@ def usable(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     )
 
 
-def build(vectors: DataFrame, k: int = 32) -> MultiIndex | None:
+def build(vectors: DataFrame, k: int = 64) -> MultiIndex | None:
     """Codebooks from at most SAMPLE vectors (in the order of a hash of their id), and the number of
     all rows in each of the k * k cells. None without vectors."""
     sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("vector").toPandas()
@@ -101,7 +101,7 @@ def build(vectors: DataFrame, k: int = 32) -> MultiIndex | None:
 
 
 def search(df: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", top: int = 20,
-           k: int = 32, share: float = 0.35, least: int = 2000, shard_rows: int = 2048) -> DataFrame:
+           k: int = 64, share: float = 0.55, least: int = 2000, shard_rows: int = 2048) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the ``top`` rows found with the largest inner products.
 
     Each query visits centroid pairs until they hold ``share`` of all rows (``least`` at least), and
