@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -10,16 +12,15 @@ from corpusloom.operators.runs import parse_metric_line
 from corpusloom.session import shared_dir
 
 
-def stream_table(
-    spark: SparkSession, folder: str, schema: T.StructType, glob: str = "*.parquet", files: int = 16
-) -> DataFrame:
-    """File stream over parquet files, a bounded number per micro-batch."""
-    return (
-        spark.readStream.schema(schema)
-        .option("pathGlobFilter", glob)
-        .option("maxFilesPerTrigger", files)
-        .parquet(folder)
-    )
+def stream_table(spark: SparkSession, path: str, schema: T.StructType, files: int | None = 16) -> DataFrame:
+    """File stream over a parquet table, one file or a folder of parts (Spark's marker files and
+    hidden folders are passed over). ``files``: at most so many in a micro-batch; None: all there are."""
+    reader = spark.readStream.schema(schema)
+    if files:
+        reader = reader.option("maxFilesPerTrigger", files)
+    # as a pattern of one match, a path may name a file as well as a folder
+    path = path.rstrip("/")
+    return reader.parquet(f"{path[:-1]}[{path[-1]}]")
 
 
 def tail_metrics(lines: DataFrame, line: str = "line") -> DataFrame:
@@ -33,20 +34,21 @@ def live_percent(reports: DataFrame, by: str, order: str) -> DataFrame:
 
 
 def live_status(events: DataFrame, job: str, order: str) -> DataFrame:
-    """Latest event per job, as a streaming aggregate (update mode)."""
+    """Latest event per job, with its place in ``order``, as a streaming aggregate (update mode)."""
     return events.groupBy(job).agg(
-        F.max_by(F.struct("kind", "code", "ts"), order).alias("last"),
+        F.max_by(F.struct("kind", "code", "ts", F.col(order).alias("at")), order).alias("last"),
         F.min(F.when(F.col("kind") == "start", F.col("ts"))).alias("start_time"),
     )
 
 
-def match_with_timeout(
-    requests: DataFrame, results: DataFrame, seconds: int = 60, late: str = "10 seconds"
-) -> DataFrame:
+def match_with_timeout(requests: DataFrame, results: DataFrame, late: str, seconds: int = 60) -> DataFrame:
     """Each request with the result of its id that came within the limit, or timed out.
 
     Stream-stream left outer join: the time bound and the watermarks let Spark drop the state of
-    requests that can no longer be answered. Works on batch tables too.
+    requests that can no longer be answered. ``late``: how far behind the newest row of its stream a
+    row may come; ``run_available`` fails if one came later still, so none is lost in silence.
+    A request still waiting when a stream ends is given out when ``closed`` ends the streams.
+    Works on batch tables too.
     """
     asked = requests.withWatermark("asked_at", late)
     answered = results.select(
@@ -62,10 +64,29 @@ def match_with_timeout(
     return matched.select(*requests.columns, "duration", "answered_at", code)
 
 
+def closed(stream: DataFrame, time: str, key: str = "id", at: str = "2200-01-01 00:00:00") -> DataFrame:
+    """The stream with a closing row, whose ``time`` lies beyond all others: it moves the watermark
+    over everything that waits once the rows read with it are done. It is for stored streams that
+    one micro-batch reads as a whole. Its ``key`` is a negative number that no other row has (a null
+    would be filtered out before the watermark), all else is null; it is never given out.
+    """
+    spark = stream.sparkSession
+    path = f"{shared_dir(spark)}/closing"
+    given = {time: at, key: -(uuid.uuid4().int >> 66)}
+    row = [F.lit(given.get(f.name)).cast(f.dataType).alias(f.name) for f in stream.schema]
+    spark.range(1).select(*row).write.parquet(path)
+    return stream.unionByName(stream_table(spark, path, stream.schema, None))
+
+
 def run_available(
     stream: DataFrame, mode: str = "append", checkpoint: str | None = None, out: str | None = None
 ) -> DataFrame:
-    """Run a query over all input there is and read back its parquet sink (append mode)."""
+    """Run a query over all input there is and read back its parquet sink (append mode).
+
+    With a ``checkpoint`` of an earlier run give its ``out`` too: the sink holds all runs' rows.
+    """
+    if checkpoint and not out:
+        raise ValueError("a checkpoint goes with the folder its rows are in")
     spark = stream.sparkSession
     base = shared_dir(spark)
     out = out or f"{base}/out"
@@ -78,6 +99,9 @@ def run_available(
         .start()
     )
     query.awaitTermination()
+    late = sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])
+    if late:
+        raise ValueError(f"{late} rows came later than the watermark allows")
     return spark.read.schema(stream.schema).parquet(out)
 
 

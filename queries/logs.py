@@ -157,7 +157,7 @@ def parse_progress_line(t):
 
 @query("""
 WITH e AS (SELECT user_id, event_id, ts, CASE event_type WHEN 'signup' THEN 'start' WHEN 'error' THEN 'exit'
-  WHEN 'purchase' THEN 'stop' ELSE 'log' END AS kind, event_id % 2 AS code FROM events WHERE event_type <> 'view')
+  WHEN 'purchase' THEN 'stop' ELSE 'log' END AS kind, event_id % 2 AS code FROM events)
 SELECT user_id, max_by(CASE WHEN kind = 'stop' THEN 'stopped' WHEN kind = 'exit' AND code = 0 THEN 'completed'
     WHEN kind = 'exit' THEN 'failed' ELSE 'running' END, event_id) AS status,
   min(ts) FILTER (kind = 'start') AS start_time, arg_max_null(CASE WHEN kind IN ('exit', 'stop') THEN ts END, event_id) AS end_time
@@ -174,7 +174,7 @@ def job_events(events):
         .when(F.col("event_type") == "purchase", "stop")
         .otherwise("log")
     )
-    return events.filter("event_type <> 'view'").select(
+    return events.select(
         "user_id", "event_id", "ts", kind.alias("kind"), (F.col("event_id") % 2).alias("code")
     )
 

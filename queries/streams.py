@@ -10,9 +10,8 @@ from queries import query
 from queries.logs import LINE, PARSED, job_events
 
 
-def events(t):
-    schema = t.events.schema
-    return J.stream_table(t.spark, t.folder, schema, "events.parquet")
+def events(t, files=16):
+    return J.stream_table(t.spark, f"{t.folder}/events.parquet", t.events.schema, files)
 
 
 @query(PARSED + """
@@ -39,18 +38,14 @@ def live_progress(t):
 
 @query("""
 WITH e AS (SELECT user_id, event_id, ts, CASE event_type WHEN 'signup' THEN 'start' WHEN 'error' THEN 'exit'
-  WHEN 'purchase' THEN 'stop' ELSE 'log' END AS kind, event_id % 2 AS code FROM events WHERE event_type <> 'view')
+  WHEN 'purchase' THEN 'stop' ELSE 'log' END AS kind, event_id % 2 AS code FROM events)
 SELECT user_id, max_by(kind, event_id) AS kind, max_by(code, event_id) AS code, max(event_id) AS event_id,
   min(ts) FILTER (kind = 'start') AS start_time FROM e GROUP BY user_id
 """)
 def live_job_status(t):
     live = J.live_status(job_events(events(t)), "user_id", "event_id")
-    out = J.run_updates(live, ["user_id"])
-    latest = t.events.filter("event_type <> 'view'").groupBy("user_id").agg(
-        F.max("event_id").alias("event_id")
-    )
-    return out.join(latest, "user_id").select(
-        "user_id", "last.kind", "last.code", "event_id", "start_time"
+    return J.run_updates(live, ["user_id"]).select(
+        "user_id", "last.kind", "last.code", F.col("last.at").alias("event_id"), "start_time"
     )
 
 
@@ -59,11 +54,12 @@ SELECT event_id AS id, user_id, CASE WHEN event_id % 3 <> 0 AND event_id % 120 <
   CASE WHEN event_id % 3 <> 0 AND event_id % 120 <= 60 THEN 200 ELSE 408 END AS code FROM events
 """)
 def match_with_timeout(t):
-    """Requests still waiting when the input ends have timed out too."""
-    asked = events(t).select(F.col("event_id").alias("id"), "user_id", F.col("ts").cast("timestamp").alias("asked_at"))
+    """Stored history, in files that need not be in order of time: one micro-batch reads both streams
+    to their ends, and closing rows let the requests that still wait time out."""
+    asked = events(t, None).select(F.col("event_id").alias("id"), "user_id", F.col("ts").cast("timestamp").alias("asked_at"))
     delay = F.make_dt_interval(secs=(F.col("event_id") % 120).cast("decimal(18,6)"))
     answers = (
-        events(t)
+        events(t, None)
         .filter("event_id % 3 <> 0")
         .select(
             F.col("event_id").alias("id"),
@@ -71,13 +67,8 @@ def match_with_timeout(t):
             (F.col("ts").cast("timestamp") + delay).alias("answered_at"),
         )
     )
-    out = J.run_available(J.match_with_timeout(asked, answers)).select("id", "user_id", "duration", "code")
-    waiting = (
-        t.events.select(F.col("event_id").alias("id"), "user_id")
-        .join(out.select("id"), "id", "left_anti")
-        .select("id", "user_id", F.lit(None).cast("double").alias("duration"), F.lit(408).alias("code"))
-    )
-    return out.unionByName(waiting)
+    matched = J.match_with_timeout(J.closed(asked, "asked_at"), J.closed(answers, "answered_at"), late="10 seconds")
+    return J.run_available(matched).select("id", "user_id", "duration", "code")
 
 
 @query("""
@@ -89,7 +80,7 @@ SELECT CAST(doc_id AS VARCHAR) AS request_id, CAST(i AS INTEGER) AS chunk_no, CA
   array_to_string(CASE WHEN i = k THEN s[i * 25 + 1:] ELSE s[i * 25 + 1:i * 25 + 28] END, ',') AS tokens FROM c
 """)
 def chunk_token_stream(t):
-    docs = J.stream_table(t.spark, t.folder, t.documents.schema, "documents.parquet")
+    docs = J.stream_table(t.spark, f"{t.folder}/documents.parquet", t.documents.schema)
     words = F.transform(F.split("text", " "), F.length)
     cells = docs.select(
         F.col("doc_id").cast("string").alias("request_id"),

@@ -110,9 +110,47 @@ def test_requests_time_out(spark, tmp_path):
     live = jobs.match_with_timeout(
         jobs.stream_table(spark, str(tmp_path / "q"), asked.schema),
         jobs.stream_table(spark, str(tmp_path / "a"), answers.schema),
+        late="10 seconds",
     )
     got = {r.id: r.code for r in jobs.run_available(live).collect()}
-    batch = {r.id: r.code for r in jobs.match_with_timeout(asked, answers).collect()}
+    batch = {r.id: r.code for r in jobs.match_with_timeout(asked, answers, late="10 seconds").collect()}
     assert batch == {i: 200 if i % 4 == 0 else 408 for i in range(40)}
     assert {i for i, c in got.items() if c == 200} == {i for i in range(40) if i % 4 == 0}
     assert all(batch[i] == c for i, c in got.items()) and 1 in got
+
+
+STREAMED = ["tail_metrics", "live_progress", "live_job_status", "match_with_timeout", "chunk_token_stream", "recent_pool"]
+
+
+@pytest.fixture(scope="module")
+def interleaved(spark, tmp_path_factory):
+    """The tables as folders of four files whose rows interleave."""
+    folder = tmp_path_factory.mktemp("interleaved")
+    for name, key in (("events", "event_id"), ("documents", "doc_id")):
+        rows = spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet")
+        rows.repartition(4, F.col(key) % 4).write.parquet(str(folder / f"{name}.parquet"))
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", STREAMED)
+def test_streams_read_whole_folders(spark, interleaved, name):
+    import __spark_entry__ as entry
+
+    run = entry.queries()[name]
+    whole = sorted(map(repr, run(spark, "/root/testdata/sf0.001").collect()))
+    assert sorted(map(repr, run(spark, interleaved).collect())) == whole and whole
+
+
+def test_late_rows_are_told(spark, tmp_path):
+    base = "timestamp'2024-01-01 00:00:00'"
+    for part in range(4):  # one file per micro-batch, the third far behind
+        shift = 10_000 if part < 2 else 0
+        rows = spark.range(part * 10, part * 10 + 10).select("id", F.expr(f"{base} + make_dt_interval(0, 0, 0, id + {shift})").alias("asked_at"))
+        rows.coalesce(1).write.mode("append").parquet(str(tmp_path / "q"))
+    answers = spark.range(1).select("id", F.lit(1.5).alias("duration"), F.expr(base).alias("answered_at"))
+    answers.coalesce(1).write.parquet(str(tmp_path / "a"))
+    schema = spark.read.parquet(str(tmp_path / "q")).schema
+    ends = jobs.closed(jobs.stream_table(spark, str(tmp_path / "a"), answers.schema, None), "answered_at")
+    live = jobs.match_with_timeout(jobs.stream_table(spark, str(tmp_path / "q"), schema, 1), ends, late="10 seconds")
+    with pytest.raises(ValueError, match="later than the watermark"):
+        jobs.run_available(live)
