@@ -25,9 +25,15 @@ def local_session(cpus: int | str = "*", partitions: int = 8) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh sub-folder of the folder the cluster shares (``spark.checkpoint.dir``)."""
+    """A fresh sub-folder of the folder the cluster shares (``spark.checkpoint.dir``).
+
+    Only a session on one machine gets a folder of its own where none is named; on a cluster its
+    executors would not see it, so there a missing setting is an error.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = os.environ.get("CORPUSLOOM_TMP") or tempfile.mkdtemp(prefix="corpusloom-")
         spark.conf.set("spark.checkpoint.dir", root)
         spark.sparkContext.setCheckpointDir(root)

@@ -77,14 +77,14 @@ def merge_json_maps(files: DataFrame, body: str, order: str) -> DataFrame:
     return entries.groupBy("key").agg(F.max_by("value", "_o").alias("value"))
 
 
-def write_dataset(df: DataFrame, folder: str, batch_size: int = 1000, mode: str = "overwrite") -> bool:
-    """Parquet files of at most ``batch_size`` rows; an empty input writes nothing.
+def write_dataset(df: DataFrame, folder: str, batch_size: int | None = None, mode: str = "overwrite") -> bool:
+    """A parquet dataset, in files of at most ``batch_size`` rows if given; an empty input writes nothing.
 
     The commit protocol leaves no partial dataset behind.
     """
     if df.isEmpty():
         return False
-    df.write.mode(mode).option("maxRecordsPerFile", batch_size).parquet(folder)
+    df.write.mode(mode).option("maxRecordsPerFile", batch_size or 0).parquet(folder)
     return True
 
 

@@ -187,21 +187,22 @@ def expand_durations(t):
     return tokens(t).select("doc_id", ints(A.expand_durations(short)).alias("owners"))
 
 
-@query(f"""
-WITH o AS (SELECT doc_id, flatten(list_transform(range(12), lambda i: list_transform(range(length(text[i + 1:i + 1]) * ((doc_id + i) % 4)), lambda k: i))) AS o FROM documents),
-p AS (SELECT doc_id, list_transform(range(12), lambda i: array_to_string(list_transform(range(1, 17), lambda j:
-  CASE WHEN o[j] = i THEN 1 ELSE 0 END), '')) AS p FROM o)
-SELECT doc_id, array_to_string(p, ' ') AS path FROM p
+@query("""
+WITH w AS (SELECT doc_id, list_transform(string_split(text, ' '), lambda x: length(x) % 4) AS d FROM documents),
+u AS (SELECT doc_id, unnest(range((len(d) + 11) // 12)) AS part, d FROM w),
+s AS (SELECT doc_id, part, d[part * 12 + 1:part * 12 + 12] AS d FROM u),
+o AS (SELECT *, flatten(list_transform(range(len(d)), lambda i: list_transform(range(d[i + 1]), lambda k: i))) AS o FROM s)
+SELECT doc_id, CAST(part AS INTEGER) AS part, array_to_string(list_transform(range(len(d)), lambda i: array_to_string(
+  list_transform(range(1, 37), lambda j: CASE WHEN o[j] = i THEN 1 ELSE 0 END), '')), ' ') AS path FROM o
 """)
 def duration_path(t):
-    steps = F.transform(
-        F.sequence(F.lit(0), F.lit(11)),
-        lambda i: (F.length(F.substring("text", i + 1, F.lit(1))) * ((F.col("doc_id") + i) % 4)).cast("int"),
-    )
-    rows = t.documents.select("doc_id", "text", steps.alias("d"))
-    path = A.duration_path(F.col("d"), F.lit(16))
+    """All words of a text, twelve to an utterance; a word lasts as many frames as its length modulo four."""
+    d = F.transform(F.split("text", " "), lambda w: (F.length(w) % 4).cast("int"))
+    parts = t.documents.select("doc_id", d.alias("d")).select("doc_id", "d", F.explode(F.expr("sequence(0, (size(d) - 1) div 12)")).alias("part"))
+    rows = parts.select("doc_id", F.col("part").cast("int").alias("part"), F.expr("slice(d, int(part) * 12 + 1, 12)").alias("d"))
+    path = A.duration_path(F.col("d"), F.lit(36))
     lines = F.transform(path, lambda row: F.array_join(row, ""))
-    return rows.select("doc_id", F.array_join(lines, " ").alias("path"))
+    return rows.select("doc_id", "part", F.array_join(lines, " ").alias("path"))
 
 
 @query(f"""

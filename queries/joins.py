@@ -90,19 +90,15 @@ def phone_substitution(t):
 
 
 @query("""
-WITH c AS (SELECT conv_id * 100 + turn AS utt, text, role FROM conversations),
-p AS (SELECT c.utt, c.text, length(c.text) AS chosen, length(d.text) AS rejected FROM c JOIN documents d ON d.doc_id = c.utt)
+WITH p AS (SELECT conv_id * 100000 + turn AS utt, text, length(text) AS chosen, length(role) + 2 * turn AS rejected FROM conversations)
 SELECT utt, 'chosen' AS side, text, chosen AS token FROM p
 UNION ALL SELECT utt, 'rejected', text, rejected FROM p
 """)
 def pair_preferences(t):
-    utt = (F.col("conv_id") * 100 + F.col("turn")).alias("utt")
-    chosen = t.conversations.select(
-        utt, "text", F.array(F.length("text").cast("bigint")).alias("speech_token")
-    )
-    rejected = t.documents.select(
-        F.col("doc_id").alias("utt"), F.array(F.length("text").cast("bigint")).alias("speech_token")
-    )
+    """Every turn with its own length as the chosen token, and a rejected one from its role and place."""
+    turns = t.conversations.withColumn("utt", F.col("conv_id") * 100000 + F.col("turn"))
+    chosen = turns.select("utt", "text", F.array(F.length("text").cast("bigint")).alias("speech_token"))
+    rejected = turns.select("utt", F.array((F.length("role") + 2 * F.col("turn")).cast("bigint")).alias("speech_token"))
     out = J.pair_preferences(chosen, rejected)
     return out.select("utt", "side", "text", F.col("speech_token")[0].alias("token"))
 
