@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.operators.lookup import lookup
+
 # The symbols in id order (padding, punctuation, letters, phonetic letters).
 PAD = "_"
 PUNCTUATION = ';:,.!?¡¿—…"«»“” '
@@ -84,4 +86,4 @@ def language_code(df: DataFrame, languages: DataFrame, name: str = "language") -
         .groupBy("_said")
         .agg(F.min_by("code", "_rank").alias("code"))
     )
-    return df.withColumn("_said", F.lower(name)).join(known, "_said", "left").drop("_said")
+    return lookup(df.withColumn("_said", F.lower(name)), known, "_said").drop("_said")

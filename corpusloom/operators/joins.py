@@ -1,6 +1,7 @@
 """Joins between corpus tables.
 
-No side is broadcast by hand: Spark broadcasts a side whose measured size is under
+Dimensions go through ``lookup``, which counts them before they are broadcast. Other joins leave
+the choice to Spark: it broadcasts a side whose measured size is under
 ``spark.sql.autoBroadcastJoinThreshold`` and otherwise shuffles, where AQE splits hot keys.
 """
 
@@ -10,8 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import strip
+from corpusloom.operators.lookup import lookup
 from corpusloom.operators.ordered import hash_int
 
+# What counts as a word and as a Chinese character.
 EN_WORD = "[A-Za-z]+(?:'[A-Za-z]+)?"
 ZH_CHAR = "[一-鿿]"
 
@@ -37,9 +40,7 @@ def lookup_speaker(requests: DataFrame, catalogue: DataFrame) -> DataFrame:
     """Requests with their speaker's columns; no speaker means the first id in sorted order."""
     first = catalogue.agg(F.min("speaker_id")).scalar()
     asked = F.when(F.trim("speaker_id") != "", F.col("speaker_id"))
-    return requests.withColumn("speaker_id", F.coalesce(asked, first)).join(
-        catalogue, "speaker_id"
-    )
+    return lookup(requests.withColumn("speaker_id", F.coalesce(asked, first)), catalogue, "speaker_id", "inner", 20_000)
 
 
 def unknown_speakers(requests: DataFrame, catalogue: DataFrame) -> DataFrame:
@@ -60,8 +61,8 @@ def _swap(
 ) -> DataFrame:
     """Replace up to two matches of ``pattern``, picked by hash, by their bracketed phones.
 
-    The text is cut into matches and gaps once; the two picks are looked up with two left
-    joins, so the text itself is never regrouped.
+    The text is cut into matches and gaps once; the two picks are looked up in the lexicon, and
+    texts are not shuffled for it while that is small enough to broadcast.
     """
     phones = (
         lexicon.groupBy(F.lower("word").alias("word"))
@@ -90,7 +91,7 @@ def _swap(
     for name in ("_one", "_two"):
         hit = phones.select(F.col("word").alias(f"{name}_w"), F.col("_rep").alias(f"{name}_r"))
         out = out.withColumn(f"{name}_w", F.lower(F.get("_found", F.col(name))))
-        out = out.join(hit, f"{name}_w", "left")
+        out = lookup(out, hit, f"{name}_w")
 
     def place(word: Column, i: Column) -> Column:
         return (

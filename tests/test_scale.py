@@ -267,3 +267,15 @@ def test_slice_and_chunks(table):
     chunks = batching.even_chunks(df, "o", 7, span=64).collect()
     size = -(-len(rows) // 7)
     assert {r.o: r.chunk for r in chunks} == {o: i // size for i, o in enumerate(ordered_rows)}
+
+
+@pytest.mark.parametrize("most, how", [(100, "left"), (100, "inner"), (2, "left"), (2, "inner")])
+def test_lookup_of_a_hot_key(spark, most, how):
+    from corpusloom.operators.lookup import lookup
+
+    rows = [(i, "hot" if i % 3 else f"k{i % 7}") for i in range(300)] + [(300, None), (301, "none")]
+    wide = spark.createDataFrame(rows, "i long, k string")
+    entries = spark.createDataFrame([("hot", 1), *[(f"k{i}", 10 + i) for i in range(7)]], "k string, v long")
+    values = {r.k: r.v for r in entries.collect()}
+    got = {r.i: r.v for r in lookup(wide, entries, "k", how, most).collect()}
+    assert got == {i: values.get(k) for i, k in rows if how == "left" or k in values}
