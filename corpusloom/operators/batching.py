@@ -53,7 +53,9 @@ def train_val_split(
     """Add ``split``. The last ``int(n * ratio)`` rows of the shuffle are for validation.
 
     A given ``val`` table is used instead unless ``auto``; a ratio that leaves no training row
-    is an error.
+    is an error. Rows are not shuffled: prefixes of their hashes are counted (65,536 at most), the
+    first validation row is looked for in the one prefix that has it, and every row is compared
+    with that. Rows with one key go to one side.
     """
     if val is not None and not auto:
         return df.withColumn("split", F.lit("train")).unionByName(
@@ -61,15 +63,24 @@ def train_val_split(
         )
     if ratio <= 0:
         return df.withColumn("split", F.lit("train"))
-    ranked = seeded_shuffle(df, key, seed, "_pos", "_total")
-    size = F.floor(F.col("_total") * F.lit(float(ratio)))
-    error = F.raise_error(F.lit("validation split is as large as the table")).cast("string")
-    split = (
-        F.when(size >= F.col("_total"), error)
-        .when(F.col("_pos") >= F.col("_total") - size, "val")
-        .otherwise("train")
-    )
-    return ranked.withColumn("split", split).drop("_pos", "_total")
+    hashed = hash_key(key, seed=seed)
+    prefix = F.substring(hashed, 1, 4)
+    counts = df.groupBy(prefix.alias("prefix")).agg(F.count(F.lit(1)).alias("n")).collect()
+    total = sum(r["n"] for r in counts)
+    size = int(total * ratio)
+    if total and size >= total:
+        raise ValueError("validation split is as large as the table")
+    if not size:
+        return df.withColumn("split", F.lit("train"))
+    for edge, n in sorted(((r["prefix"], r["n"]) for r in counts), reverse=True):
+        if n >= size:
+            break
+        size -= n
+    place = F.struct(hashed.alias("hash"), F.col(key).alias("key"))
+    last = df.where(prefix == edge).select(place.alias("place")).orderBy(F.desc("place")).limit(size)
+    first_val = last.agg(F.min("place")).first()[0]
+    limit = F.struct(F.lit(first_val["hash"]).alias("hash"), F.lit(first_val["key"]).alias("key"))
+    return df.withColumn("split", F.when(place >= limit, "val").otherwise("train"))
 
 
 def assign_shards(
