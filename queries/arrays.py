@@ -318,3 +318,29 @@ SELECT doc_id, CAST(i AS INTEGER) AS chunk_no, CAST(i * 50 AS INTEGER) AS offset
 def stream_hops_overlap(t):
     rows = t.documents.select("doc_id", F.split("text", " ").alias("tokens"))
     return G.stream_hops(rows, "tokens", 50, overlap=20).drop("tokens")
+
+
+@query(f"""
+WITH x AS (SELECT vec_id, {DOUBLES} AS x FROM embeddings),
+c AS (SELECT vec_id, flatten(list_transform(range(4), lambda i: list_transform(x[i * 16 + 1:i * 16 + 16], lambda v: (v - i * 0.25) / (i + 1.5)))) AS s FROM x)
+SELECT vec_id, s AS scaled, list_transform(range(64), lambda j: s[j + 1] * (j // 16 + 1.5) + (j // 16) * 0.25) AS back FROM c
+""")
+def standardise_channels(t):
+    """Four channels of sixteen values, each with its own mean and deviation, there and back."""
+    channels = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.slice("embedding", i * 16 + 1, F.lit(16)))
+    means, stds = F.array(*[F.lit(i * 0.25) for i in range(4)]), F.array(*[F.lit(i + 1.5) for i in range(4)])
+    scaled = t.embeddings.select("vec_id", A.standardise_channels(channels, means, stds).alias("s"))
+    return scaled.select("vec_id", F.flatten("s").alias("scaled"), F.flatten(A.destandardise_channels(F.col("s"), means, stds)).alias("back"))
+
+
+@query("""
+WITH x AS (SELECT vec_id, embedding, vec_id % 70 AS a, vec_id % 70 + vec_id % 21 - 2 AS b FROM embeddings)
+SELECT vec_id, (b - a) / 16 AS seconds, array_to_string(list_transform(
+  embedding[a + 1:greatest(b, a)], lambda v: CAST(floor(v * 1000) AS BIGINT)), ',') AS samples FROM x
+""")
+def clip_segments(t):
+    """A segment of each vector, taken as samples at rate 16; it may be empty or run over the end."""
+    a = F.col("vec_id") % 70
+    b = a + F.col("vec_id") % 21 - 2
+    part = F.transform(A.clip(F.col("embedding"), a, b), lambda v: F.floor(v * 1000).cast("bigint"))
+    return t.embeddings.select("vec_id", A.segment_seconds(a, b, 16).alias("seconds"), F.array_join(part, ",").alias("samples"))
