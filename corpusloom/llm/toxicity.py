@@ -23,7 +23,7 @@ WORD[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0
 ENDS = np.zeros(256, bool)
 ENDS[list(b".!?\n")] = True
 #: Bound of the training sample: documents of a class, and words of a class.
-SAMPLE_DOCS, SAMPLE_WORDS = 6000, 4_000_000
+SAMPLE_DOCS, SAMPLE_WORDS = 4000, 1_500_000
 
 
 def features(text: str) -> tuple[np.ndarray, np.ndarray, bytes]:
@@ -94,7 +94,7 @@ def train_from(docs: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, od
         if y:
             seen[np.unique(bucket)] += 1
     used = np.flatnonzero(seen >= max(3, 0.003 * labels.sum()))
-    column = np.full(size, -1, np.int64)
+    column = np.full(size, -1, np.int32)
     column[used] = np.arange(len(used))
     col, sent, owner, n = [], [], [], 0
     for d, (bucket, sentence) in enumerate(docs):
@@ -102,8 +102,8 @@ def train_from(docs: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, od
         count = max(1, len(numbers))
         keep = column[bucket] >= 0
         col.append(column[bucket[keep]])
-        sent.append(sentence[keep] + n)
-        owner.append(np.full(count, d))
+        sent.append((sentence[keep] + n).astype(np.int32))
+        owner.append(np.full(count, d, np.int32))
         n += count
     col, sent, owner = np.concatenate(col), np.concatenate(sent), np.concatenate(owner)
     positives = labels.sum()
@@ -162,9 +162,9 @@ def train(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     rows = picked.mapInPandas(extract, "doc_id long, label int, n long, bucket binary, sentence binary")
     order = Window.partitionBy("label").orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id", "n", "bucket")
     rows = rows.withColumn("words", F.sum("n").over(order)).where(F.col("words") <= sample_words)
-    got = rows.select("label", "bucket", "sentence", "doc_id").toPandas().sort_values(["doc_id", "bucket"])
-    docs = [(np.frombuffer(a, np.int32), np.frombuffer(s, np.int32)) for a, s in zip(got["bucket"], got["sentence"])]
-    return train_from(docs, got["label"].to_numpy(np.int64), counts[1] / counts[0])
+    got = sorted(rows.select("doc_id", "bucket", "sentence", "label").toArrow().to_pylist(), key=lambda r: (r["doc_id"], r["bucket"]))
+    docs = [(np.frombuffer(r["bucket"], np.int32), np.frombuffer(r["sentence"], np.int32)) for r in got]
+    return train_from(docs, np.array([r["label"] for r in got], np.int64), counts[1] / counts[0])
 
 
 def score(documents: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text",
