@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -116,6 +118,14 @@ def word_hashes(body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return starts, ends, mix(np.add.reduceat(weighed, base) + lens.astype(np.uint64))
 
 
+def tidy() -> None:
+    """Give memory a worker no longer uses back to the system at the end of a task."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def chunks(frames: Iterator, rows: int) -> Iterator:
     """The given pandas frames, cut into at most ``rows`` rows."""
     for frame in frames:

@@ -13,7 +13,8 @@ form a run, and a run with its context is a segment. Three exchanges find all eq
 A chunk is a bounded amount of text chosen by a hash of the document, and a bucket gets each key at
 most once from a chunk and each text of a segment at most once. So a passage that is in a third of
 all documents costs a bucket as many entries as there are chunks, and nothing is dropped or capped.
-Messages are packed arrays, a row per chunk and bucket. Lost tasks are run again from the shuffled
+Messages are packed arrays, a row per chunk and bucket; of a key, 32 bits of a hash are asked for
+besides its bucket (two keys taken for one only make more candidates). Lost tasks are run again from the shuffled
 texts: everything is a function of the rows, in whatever order they come.
 """
 
@@ -24,10 +25,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import GOLDEN, mix, powers, sliding_min, word_bounds
+from corpusloom.llm.common import GOLDEN, mix, powers, sliding_min, tidy, word_bounds
 
 #: Bytes of text in a chunk, on average.
 CHUNK = 6 << 20
@@ -192,12 +194,25 @@ def sent_keys(key: np.ndarray, owner: np.ndarray | None, parts: int) -> tuple[np
     return key[by_part], part[by_part], again[by_part]
 
 
+def short(key: np.ndarray) -> np.ndarray:
+    """32 bits of each key, independent of its bucket."""
+    return (mix(key ^ GOLDEN) >> np.uint64(32)).astype(np.uint32)
+
+
+def packed(values: np.ndarray | bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(values if isinstance(values, bytes) else values.tobytes())
+
+
+def unpacked(body: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(body)
+
+
 class Exchange:
     """The three exchanges for one kind of unit. ``units`` prepares a chunk; ``owners`` tells
     whether a key must recur in different documents (else anywhere)."""
 
     #: What a chunk sends of a segment. ``start``: unit within the document.
-    SEGMENT = "chunk int, part int, key binary, content binary, n binary, doc binary, start binary, again binary, size binary, body binary"
+    SEGMENT = "chunk int, part int, key binary, content binary, doc binary, start binary, again binary, size binary, body binary"
     #: What it gets back: of a segment the windows ``at`` to ``at + n`` and where their first stands.
     ANSWER = "chunk int, content binary, at binary, n binary, doc binary, start binary"
 
@@ -219,11 +234,12 @@ class Exchange:
         def send_keys(table: pa.Table) -> pa.Table:
             chunk, found, doc = self.open(table)
             key, part, again = sent_keys(found.key, chunk.ids[doc] if self.by_document else None, parts)
-            rows = [(chunk.chunk, p, np.repeat(key[a:b], 1 + again[a:b]).tobytes()) for p, a, b in slices(part)]
+            asked = short(key)
+            rows = [(chunk.chunk, p, np.sort(np.repeat(asked[a:b], 1 + again[a:b])).tobytes()) for p, a, b in slices(part)]
             return table_of(rows, "chunk int, part int, keys binary")
 
         def recurring(table: pa.Table) -> pa.Table:
-            sent = [np.frombuffer(x, np.uint64) for x in table["keys"].to_pylist()]
+            sent = [np.frombuffer(x, np.uint32) for x in table["keys"].to_pylist()]
             key, count = np.unique(np.concatenate(sent), return_counts=True)
             bits = [np.packbits(count[np.searchsorted(key, np.unique(x))] > 1).tobytes() for x in sent]
             return table_of(list(zip(table["chunk"].to_pylist(), table["part"].to_pylist(), bits)), "chunk int, part int, bits binary")
@@ -236,8 +252,8 @@ class Exchange:
             bits = dict(zip(replies["part"].to_pylist(), replies["bits"].to_pylist()))
             recurs = np.zeros(len(key), bool)
             for p, a, b in slices(part):
-                # a bucket sorts its keys, so its bits are in order of the keys
-                recurs[a + np.argsort(key[a:b])] = np.unpackbits(np.frombuffer(bits[p], np.uint8), count=b - a).astype(bool)
+                asked, place = np.unique(short(key[a:b]), return_inverse=True)  # the order of the bucket's bits
+                recurs[a:b] = np.unpackbits(np.frombuffer(bits[p], np.uint8), count=len(asked))[place] > 0
             wanted = np.sort(key[recurs])
             mine = np.flatnonzero(is_in(found.key, wanted))
             mine = mine[np.lexsort((found.first[mine], found.content[mine]))]
@@ -258,36 +274,39 @@ class Exchange:
                 bodies = [self.body(chunk, f, f + n + self.depth - 1) for f, n in zip(found.first[r].tolist(), found.n[r].tolist())]
                 d = doc[r]
                 rows.append((
-                    chunk.chunk, p, found.key[r].tobytes(), found.content[r].tobytes(), found.n[r].astype(np.uint8).tobytes(),
-                    chunk.ids[d].tobytes(), (found.first[r] - chunk.firsts[d]).tobytes(), again[a:b].astype(np.uint8).tobytes(),
-                    np.array([len(x) for x in bodies], np.int32).tobytes(), b"".join(bodies),
+                    chunk.chunk, p, short(found.key[r]).tobytes(), found.content[r].tobytes(),
+                    packed(chunk.ids[d]), packed(found.first[r] - chunk.firsts[d]), packed(again[a:b].astype(np.uint8)),
+                    packed(np.array([len(x) for x in bodies], np.int32)), packed(b"".join(bodies)),
                 ))
             return table_of(rows, self.SEGMENT)
 
         def answers(table: pa.Table) -> pa.Table:
             columns, bodies, owner = {}, [], []
-            for name, kind in (("key", np.uint64), ("content", np.uint64), ("n", np.uint8), ("doc", np.int64), ("start", np.int64), ("again", np.uint8)):
-                got = [np.frombuffer(x, kind) for x in table[name].to_pylist()]
+            for name, kind in (("key", np.uint32), ("content", np.uint64)):
+                columns[name] = np.concatenate([np.frombuffer(x, kind) for x in table[name].to_pylist()])
+            for name, kind in (("doc", np.int64), ("start", np.int64), ("again", np.uint8)):
+                got = [np.frombuffer(unpacked(x), kind) for x in table[name].to_pylist()]
                 columns[name] = np.concatenate(got)
             owner = np.repeat(np.arange(table.num_rows), [len(x) for x in got])
             for size, body in zip(table["size"].to_pylist(), table["body"].to_pylist()):
-                ends = np.cumsum(np.frombuffer(size, np.int32))
-                bodies += [body[a:b] for a, b in zip((ends - np.frombuffer(size, np.int32)).tolist(), ends.tolist())]
+                lens, body = np.frombuffer(unpacked(size), np.int32), unpacked(body)
+                ends = np.cumsum(lens)
+                bodies += [body[a:b] for a, b in zip((ends - lens).tolist(), ends.tolist())]
             got = solve(columns, bodies)
             order = np.argsort(owner[got["row"]], kind="stable")
             chunks, rows = table["chunk"].to_pylist(), []
             for o, a, b in slices(owner[got["row"]][order]):
                 r = order[a:b]
                 rows.append((
-                    chunks[o], columns["content"][got["row"][r]].tobytes(), got["at"][r].astype(np.uint8).tobytes(),
-                    got["n"][r].astype(np.uint8).tobytes(), got["doc"][r].astype(np.int64).tobytes(), got["start"][r].astype(np.int64).tobytes(),
+                    chunks[o], columns["content"][got["row"][r]].tobytes(), packed(got["at"][r].astype(np.uint8)),
+                    packed(got["n"][r].astype(np.uint8)), packed(got["doc"][r].astype(np.int64)), packed(got["start"][r].astype(np.int64)),
                 ))
             return table_of(rows, self.ANSWER)
 
-        sent = docs.select("chunk", "doc_id", "body", "rest").groupBy("chunk").applyInArrow(send_keys, "chunk int, part int, keys binary")
-        bits = sent.groupBy("part").applyInArrow(recurring, "chunk int, part int, bits binary")
+        sent = groups(docs, "chunk", send_keys, "chunk int, part int, keys binary")
+        bits = groups(sent.repartition(parts, "part"), "part", recurring, "chunk int, part int, bits binary")
         segments = docs.groupBy("chunk").cogroup(bits.groupBy("chunk")).applyInArrow(send_segments, self.SEGMENT)
-        return segments.groupBy("part").applyInArrow(answers, self.ANSWER)
+        return groups(segments.repartition(parts, "part"), "part", answers, self.ANSWER)
 
     def body(self, chunk: Chunk, first: int, stop: int) -> bytes:
         """The units of a segment as bytes."""
@@ -295,8 +314,9 @@ class Exchange:
 
     def answered(self, table: pa.Table) -> dict[str, np.ndarray]:
         """The answers a chunk got, in order of their segment's hash."""
-        kinds = (("content", np.uint64), ("at", np.uint8), ("n", np.uint8), ("doc", np.int64), ("start", np.int64))
-        got = {name: np.frombuffer(b"".join(table[name].to_pylist()), kind) for name, kind in kinds}
+        kinds = (("at", np.uint8), ("n", np.uint8), ("doc", np.int64), ("start", np.int64))
+        got = {name: np.frombuffer(b"".join(map(unpacked, table[name].to_pylist())), kind) for name, kind in kinds}
+        got["content"] = np.frombuffer(b"".join(table["content"].to_pylist()), np.uint64)
         order = np.argsort(got["content"], kind="stable")
         return {name: x[order] for name, x in got.items()}
 
@@ -308,6 +328,26 @@ def is_in(values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return wanted[np.minimum(np.searchsorted(wanted, values), len(wanted) - 1)] == values
 
 
+def groups(df: DataFrame, key: str, fn: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
+    """``fn`` on the rows of each value of ``key``, where the rows of a value are in one partition.
+    A task reads its partition once, unsorted, and holds its messages in Arrow."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        rows = pa.Table.from_batches(held)
+        del held
+        keys = rows[key].to_numpy()
+        order = np.argsort(keys, kind="stable")
+        for _, a, b in slices(keys[order]):
+            yield from fn(rows.take(pa.array(order[a:b]))).to_batches()
+        del rows
+        tidy()
+
+    return df.mapInArrow(run, schema)
+
+
 _ARROW = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
 
 
