@@ -11,6 +11,10 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 from corpusloom.llm.passages import Chunk, Exchange, dealt
 
 
+#: Windows of a passage in one piece; a longer one is compiled in pieces that share words.
+LONGEST = 400
+
+
 class _Words(Exchange):
     def body(self, chunk: Chunk, first: int, stop: int) -> bytes:
         """The words with one space between them."""
@@ -66,6 +70,30 @@ def _confirm(length: int):
     return solve
 
 
+def passages(begin: np.ndarray, n: np.ndarray, doc: np.ndarray, start: np.ndarray, own: np.ndarray, place: np.ndarray):
+    """Stretches of recurring windows that stand somewhere after their first place: where in the
+    chunk each begins, its windows, and its first place. Neighbours that continue each other here
+    and there are one passage, of at most LONGEST windows; equal passages are one."""
+    late = (doc < own) | ((doc == own) & (start < place))
+    order = np.flatnonzero(late)[np.argsort(begin[late], kind="stable")]
+    begin, n, doc, start = begin[order], n[order], doc[order], start[order]
+    head = np.ones(len(order), bool)
+    ends, ends_there = begin + n, start + n
+    head[1:] = (begin[1:] != ends[:-1]) | (doc[1:] != doc[:-1]) | (start[1:] != ends_there[:-1])
+    heads = np.flatnonzero(head)
+    begin, doc, start = begin[heads], doc[heads], start[heads]
+    n = np.add.reduceat(n, heads) if len(heads) else n
+    parts = -(-n // LONGEST)
+    nth = (np.arange(int(parts.sum())) - np.repeat(np.cumsum(parts) - parts, parts)) * LONGEST
+    begin, doc, start = np.repeat(begin, parts) + nth, np.repeat(doc, parts), np.repeat(start, parts) + nth
+    n = np.minimum(np.repeat(n, parts) - nth, LONGEST)
+    order = np.lexsort((n, start, doc))
+    begin, n, doc, start = begin[order], n[order], doc[order], start[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (start[1:] != start[:-1]) | (n[1:] != n[:-1])
+    return begin[new], n[new], (doc[new], start[new])
+
+
 def occurrences(sequences: list[tuple[int, ...]], text: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
     """Every place where one of the sequences stands in ``text``: last element, number of the sequence."""
     automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
@@ -109,19 +137,24 @@ def drop_repeated_phrases(df: DataFrame, id_col: str = "doc_id", text_col: str =
         words = chunk.joined.split()
         numbers: dict[bytes, int] = {}
         text = tuple([numbers.setdefault(w, len(numbers)) for w in words])
-        # a segment stands in this chunk at least once: there its words are read
-        by_content = np.argsort(found.content, kind="stable")
-        where = by_content[np.searchsorted(found.content[by_content], got["content"])] if len(got["content"]) else by_content[:0]
-        begin = found.first[where] + got["at"]
-        size = got["n"].astype(np.int64) + (length - 1)
-        sequences = [text[a : a + n] for a, n in zip(begin.tolist(), size.tolist())]
+        lo = np.searchsorted(got["content"], found.content)
+        many = np.searchsorted(got["content"], found.content, "right") - lo
+        run = np.repeat(np.arange(len(many)), many)
+        piece = np.arange(len(run)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(lo, many)
+        begin, size, origin = passages(
+            found.first[run] + got["at"][piece], got["n"][piece].astype(np.int64), got["doc"][piece], got["start"][piece],
+            chunk.ids[doc[run]], found.first[run] + got["at"][piece] - chunk.firsts[doc[run]],
+        )
+        size = size + (length - 1)
+        sequences = [text[x : x + n] for x, n in zip(begin.tolist(), size.tolist())]
         last, which = occurrences(sequences, text)
         first = last - size[which] + 1
         owner = np.searchsorted(chunk.stops, first, "right")
-        inside = (owner < len(chunk.ids)) & (last < chunk.stops[np.minimum(owner, len(chunk.ids) - 1)])
+        inside = last < chunk.stops[np.minimum(owner, len(chunk.ids) - 1)]
         first, which, owner = first[inside], which[inside], owner[inside]
+        from_doc, from_start = origin[0][which], origin[1][which]
         own, place = chunk.ids[owner], first - chunk.firsts[owner]
-        earlier = (got["doc"][which] < own) | ((got["doc"][which] == own) & (got["start"][which] < place))
+        earlier = (from_doc < own) | ((from_doc == own) & (from_start < place))
         first, which = first[earlier], which[earlier]
         change = np.zeros(len(text) + 1, np.int32)
         np.add.at(change, first, 1)
