@@ -16,7 +16,7 @@ from corpusloom.llm.common import WHITE, grams, text_of
 ROLL, MASK = 16, np.uint64((1 << 10) - 1)
 LEAST, MOST = 256, 8192
 #: Words and chunks a worker remembers; beyond, it forgets all and starts again (only speed changes).
-WORDS_KEPT, CHUNK_BYTES_KEPT = 600_000, 32 << 20
+WORDS_KEPT, CHUNK_BYTES_KEPT = 600_000, 16 << 20
 
 
 def cut(body: bytes) -> list[bytes]:
