@@ -11,7 +11,7 @@ from corpusloom.llm.collection_bwt import CollectionBwt
 from corpusloom.llm.passages import Chunk, Exchange, dealt
 
 #: Segments in one suffix list, on average (a key's segments stay together).
-LIST = 1 << 17
+LIST = 1 << 16
 
 
 class _Bytes(Exchange):
@@ -22,13 +22,13 @@ class _Bytes(Exchange):
 def _least_documents(length: int):
     def solve(columns: dict[str, np.ndarray], bodies: list[bytes]) -> dict[str, np.ndarray]:
         """Of every window of every segment the smallest document, from the suffix lists of the
-        bucket's distinct segments."""
+        bucket's distinct segments (equal ones are one, with their smallest document)."""
         index: dict[bytes, int] = {}
         of = np.array([index.setdefault(b, len(index)) for b in bodies], np.int64)
         texts = list(index)
         least = np.full(len(texts), np.iinfo(np.int64).max)
         np.minimum.at(least, of, columns["doc"])
-        key = np.zeros(len(texts), np.uint64)
+        key = np.zeros(len(texts), columns["key"].dtype)
         key[of] = columns["key"]
         order = np.argsort(key, kind="stable")
         lens = np.array([len(b) for b in texts], np.int64)[order]
@@ -36,19 +36,24 @@ def _least_documents(length: int):
         stops = np.cumsum(lens)
         starts, docs, windows = stops - lens, least[order], lens - length + 1
         base = np.cumsum(windows) - windows
-        first_doc = np.empty(int(windows.sum()), np.int64)
-        edges = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1], [True]]))
+        first_doc = np.repeat(docs, windows)
+        # a text alone under its key has no other to be compared with: lists are built of the others
+        heads = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]])) if len(texts) else order
+        size = np.diff(np.append(heads, len(texts)))
+        some = np.flatnonzero(np.repeat(size > 1, size))
+        edges = np.concatenate([[0], np.cumsum(size[size > 1])])
         a = 0
-        while a < len(texts):
+        while a < len(some):
             b = int(edges[min(np.searchsorted(edges, a + LIST), len(edges) - 1)])
-            built = CollectionBwt(flat, starts[a:b], lens[a:b])
+            part = some[a:b]
+            built = CollectionBwt(flat, starts[part], lens[part])
             for owner, depth, group in built.repeats(length):
                 if not len(owner):
                     continue
                 heads = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-                low = np.minimum.reduceat(docs[a + owner], heads)
+                low = np.minimum.reduceat(docs[part[owner]], heads)
                 low = np.repeat(low, np.diff(np.append(heads, len(owner))))
-                first_doc[base[a + owner] + lens[a + owner] - depth] = low
+                first_doc[base[part[owner]] + lens[part[owner]] - depth] = low
             a = b
         change = np.ones(len(first_doc), bool)
         change[1:] = first_doc[1:] != first_doc[:-1]
@@ -70,6 +75,13 @@ def _least_documents(length: int):
     return solve
 
 
+def counted(flags: np.ndarray, firsts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """Flags set in each stretch; stretches follow each other."""
+    sums = np.zeros(len(flags) + 1, np.int32)
+    np.cumsum(flags, out=sums[1:])
+    return sums[stops].astype(np.int64) - sums[firsts]
+
+
 def whole_characters(raw: np.ndarray, removed: np.ndarray) -> np.ndarray:
     """``removed`` without the bytes of characters that are cut into."""
     heads = np.flatnonzero((raw & 0xC0) != 0x80)
@@ -118,14 +130,15 @@ def drop_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         begin = found.first[run] + got["at"][piece]
         np.add.at(change, begin, 1)
         np.add.at(change, begin + got["n"][piece] + (length - 1), -1)
-        removed = np.cumsum(change[:-1]) > 0
+        np.cumsum(change, out=change)
+        removed = change[:-1] > 0
+        del change
         if characters:
             removed = whole_characters(chunk.raw, removed)
         spans = removed.copy()
         spans[1:] &= ~removed[:-1]
         spans[chunk.firsts[chunk.firsts < len(removed)]] = removed[chunk.firsts[chunk.firsts < len(removed)]]
-        sums = [np.concatenate([[0], np.cumsum(x)]) for x in (removed, spans)]
-        n_removed, n_spans = (s[chunk.stops] - s[chunk.firsts] for s in sums)
+        n_removed, n_spans = (counted(x, chunk.firsts, chunk.stops) for x in (removed, spans))
         kept = []
         for i, (a, b) in enumerate(zip(chunk.firsts.tolist(), chunk.stops.tolist())):
             kept.append(chunk.raw[a:b][~removed[a:b]].tobytes() if n_removed[i] else chunk.bodies[i])
