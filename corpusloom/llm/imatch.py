@@ -19,13 +19,15 @@ from corpusloom.llm.common import checkpointed
 SUBSETS = 16
 #: Fewer band terms than this in a document's subsets: its terms of any frequency are used.
 FEW = 6
+#: Bits beside a term that say where it is: in the text, in the edited text, in the band.
+FLAGS = 3
 NO_ID = -(1 << 63)
 
 
 def terms(text: Column) -> Column:
-    """Hashes of the distinct lower-case runs of letters and digits."""
+    """61-bit hashes of the distinct lower-case runs of letters and digits."""
     words = F.split(F.lower(text), r"[^\p{L}\p{N}]+")
-    return F.array_distinct(F.transform(F.filter(words, lambda w: w != ""), lambda w: F.xxhash64(w)))
+    return F.array_distinct(F.transform(F.filter(words, lambda w: w != ""), lambda w: F.shiftrightunsigned(F.xxhash64(w), FLAGS)))
 
 
 def level(found: Column) -> Column:
@@ -122,7 +124,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     pair = pair.withColumn("edited", F.expr("concat(left(text, n - cast(floor(n / 4) as int)), head)"))
     pair = pair.select(
         F.xxhash64("id", "h").alias("key"),
-        F.sha2(F.col("text").cast("binary"), 256).alias("sha"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha"),
+        F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("sha"), F.unhex(F.sha2(F.col("edited").cast("binary"), 256)).alias("edited_sha"),
         terms(F.col("text")).alias("a"), terms(F.col("edited")).alias("b"),
     )
     pair = pair.select("key", "sha", "edited_sha", "a", "b", level(F.col("a")).alias("la"), level(F.col("b")).alias("lb"))
@@ -130,40 +132,41 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     pair = pair.select("key", F.struct("sha", "edited_sha", "la", "lb").alias("meta"), a.alias("a"), b.alias("b"))
     both = F.transform(
         F.array_union("a", "b"),
-        lambda t: F.struct(t.alias("term"), F.array_contains("a", t).alias("in_a"), F.array_contains("b", t).alias("in_b"), F.lit(None).cast(
-            "struct<sha:string,edited_sha:string,la:int,lb:int>").alias("meta")),
+        lambda t: F.struct(
+            t.alias("term"), (F.array_contains("a", t).cast("int") + 2 * F.array_contains("b", t).cast("int")).alias("texts"),
+            F.lit(None).cast(pair.schema["meta"].dataType).alias("meta"),
+        ),
     )
     # a row more per document carries what is known of it, under a term of its own
-    own = F.struct(F.xxhash64("key", F.lit("own")).alias("term"), F.lit(False).alias("in_a"), F.lit(False).alias("in_b"), F.col("meta"))
+    own = F.struct(F.xxhash64("key", F.lit("own")).alias("term"), F.lit(0).alias("texts"), F.col("meta"))
     rows = pair.select("key", F.explode(F.concat(both, F.array(own))).alias("x")).select("key", "x.*")
     met = rows.join(lexicon, "term", "left").where(F.col("band").isNotNull() | F.col("meta").isNotNull())
-    def picked(take: Column) -> Column:
-        return F.collect_list(F.when(take, F.col("term")))
+    flagged = F.shiftleft("term", FLAGS).bitwiseOR(F.col("texts").cast("long") + 4 * F.col("band").cast("long"))
+    each = met.groupBy("key").agg(F.max("meta").alias("meta"), F.collect_list(F.when(F.col("meta").isNull(), flagged)).alias("found"))
 
-    each = met.groupBy("key").agg(
-        F.max("meta").alias("meta"),
-        picked(F.col("in_a")).alias("wide_a"), picked(F.col("in_b")).alias("wide_b"),
-        picked(F.col("in_a") & F.col("band")).alias("band_a"), picked(F.col("in_b") & F.col("band")).alias("band_b"),
-    )
-    chosen = lambda side: F.when(F.size(f"band_{side}") >= FEW, F.col(f"band_{side}")).otherwise(F.col(f"wide_{side}"))
-    each = checkpointed(each.select(
-        "key", "meta.*", codes(chosen("a"), F.col("meta.la")).alias("a"), codes(chosen("b"), F.col("meta.lb")).alias("b"),
-    ))
+    def chosen(flag: int) -> Column:
+        mine = F.filter("found", lambda t: t.bitwiseAND(F.lit(flag)) != 0)
+        band = F.filter(mine, lambda t: t.bitwiseAND(F.lit(4)) != 0)
+        return F.transform(F.when(F.size(band) >= FEW, band).otherwise(mine), lambda t: F.shiftrightunsigned(t, FLAGS))
+
+    each = each.select("key", "meta.*", codes(chosen(1), F.col("meta.la")).alias("a"), codes(chosen(2), F.col("meta.lb")).alias("b"))
+    each = checkpointed(each)
 
     order = place.select(
-        F.xxhash64("id", "h").alias("key"), "id", "n", "copies", F.xxhash64("after.id", "after.h").alias("next_key")
-    )
-    after = each.select(
-        F.col("key").alias("next_key"), F.col("a").alias("c"), F.col("la").alias("lc"), F.col("sha").alias("next_sha")
-    )
-    like = lambda x, lx, sx, y, ly, sy: F.when(F.col(sx) == F.col(sy), F.lit(1.0)).otherwise(likeness(F.col(x), F.col(lx), F.col(y), F.col(ly)))
-    hexed = lambda c, sha: F.when(F.size(c) == 0, F.concat(F.lit("t"), F.substring(sha, 1, 32))).otherwise(
+        F.xxhash64("id", "h").alias("key"), "id", "n", "copies", (F.col("h") == F.col("after.h")).alias("same"),
+        F.xxhash64("after.id", "after.h").alias("next_key"),
+    )
+    after = each.select(F.col("key").alias("next_key"), F.col("a").alias("c"), F.col("la").alias("lc"))
+    hexed = lambda c, sha: F.when(F.size(c) == 0, F.concat(F.lit("t"), F.substring(F.lower(F.hex(sha)), 1, 32))).otherwise(
         F.array_join(F.transform(c, lambda x: F.lower(F.lpad(F.hex(x), 11, "0"))), "")
     )
-    out = order.join(each, "key").join(after, "next_key").select(
+    unchanged = F.col("sha") == F.col("edited_sha")
+    near_edited, near_next = likeness(F.col("a"), F.col("la"), F.col("b"), F.col("lb")), likeness(F.col("a"), F.col("la"), F.col("c"), F.col("lc"))
+    out = order.join(after, "next_key").join(each, "key").select(
         F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id"), F.col("n").cast("long").alias("n_chars"),
-        F.col("edited_sha").alias("edited_sha256"), hexed("a", "sha").alias("fingerprint"), hexed("b", "edited_sha").alias("edited_fingerprint"),
-        like("a", "la", "sha", "b", "lb", "edited_sha").alias("near_edited"), like("a", "la", "sha", "c", "lc", "next_sha").alias("near_next"),
+        F.lower(F.hex("edited_sha")).alias("edited_sha256"), hexed("a", "sha").alias("fingerprint"), hexed("b", "edited_sha").alias("edited_fingerprint"),
+        F.when(unchanged, F.lit(1.0)).otherwise(near_edited).alias("near_edited"),
+        F.when(F.col("same"), F.lit(1.0)).otherwise(near_next).alias("near_next"),
         F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"),
     )
     return out.drop("copy")
