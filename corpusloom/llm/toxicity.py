@@ -1,7 +1,10 @@
 """Toxicity by multiple-instance learning: sentences are scored, documents are labelled.
 
-A sentence's probability is a logistic function of its words; a document's is their noisy-or,
-``1 - prod(1 - p)``. The weights are fitted to document labels only, and the sentences that carry a
+A sentence's probability is a logistic function of its distinct words; a document's is their
+noisy-or, ``1 - prod(1 - p)``. One bias for all lengths would let the noise of the clean sentences add
+up to 1: so beyond LONG sentences the log-odds of each fall by ``log(n / LONG)``, which bounds what
+the background expects whatever the length, and what a sentence without weighted words scores is
+taken out of the product. The weights are fitted to document labels only, and the sentences that carry a
 high probability are then the offending ones.
 """
 
@@ -24,6 +27,8 @@ ENDS = np.zeros(256, bool)
 ENDS[list(b".!?\n")] = True
 #: Bound of the training sample: documents of a class, and words of a class.
 SAMPLE_DOCS, SAMPLE_WORDS = 4000, 1_500_000
+#: Sentences of a document up to which they have the full bias: in training, and in scoring.
+USUAL, LONG = 32, 512
 
 
 def features(text: str) -> tuple[np.ndarray, np.ndarray, bytes]:
@@ -49,6 +54,17 @@ def features(text: str) -> tuple[np.ndarray, np.ndarray, bytes]:
     return np.concatenate([whole, stem[longer]]), np.concatenate([sentence, sentence[longer]]), body
 
 
+def distinct(bucket: np.ndarray, sentence: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each bucket once per sentence, however often the word is repeated there."""
+    both = np.unique((sentence.astype(np.int64) << BITS) | bucket)
+    return (both & ((1 << BITS) - 1)).astype(np.int32), (both >> BITS).astype(np.int32)
+
+
+def lowered(n, usual: int):
+    """What the log-odds of each of ``n`` sentences lose."""
+    return np.log(np.maximum(n, usual) / usual)
+
+
 class Model:
     """``weights`` by bucket and ``bias``; both bounded by BITS."""
 
@@ -60,12 +76,14 @@ class Model:
         bucket, sentence, body = features(text)
         if not len(bucket):
             return np.zeros(1, np.int32), np.array([self.bias]), body
+        bucket, sentence = distinct(bucket, sentence)
         sums = np.bincount(sentence, self.weights[bucket])
         have = np.unique(sentence)
-        return have, self.bias + sums[have], body
+        return have, self.bias - lowered(len(have), LONG) + sums[have], body
 
     def score(self, text: str) -> float:
-        return float(-np.expm1(-np.logaddexp(0, self.sentences(text)[1]).sum()))
+        odds = self.sentences(text)[1]
+        return float(-np.expm1(-np.maximum(0, np.logaddexp(0, odds) - np.logaddexp(0, self.bias - lowered(len(odds), LONG))).sum()))
 
     def offending(self, text: str, threshold: float) -> list[dict]:
         """Spans (in code points) of the sentences at or above ``threshold``, with their scores."""
@@ -98,6 +116,7 @@ def train_from(docs: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, od
     column[used] = np.arange(len(used))
     col, sent, owner, n = [], [], [], 0
     for d, (bucket, sentence) in enumerate(docs):
+        bucket, sentence = distinct(bucket, sentence)
         numbers, sentence = np.unique(sentence, return_inverse=True)
         count = max(1, len(numbers))
         keep = column[bucket] >= 0
@@ -106,6 +125,7 @@ def train_from(docs: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, od
         owner.append(np.full(count, d, np.int32))
         n += count
     col, sent, owner = np.concatenate(col), np.concatenate(sent), np.concatenate(owner)
+    less = lowered(np.bincount(owner, minlength=len(labels)), USUAL)[owner]
     positives = labels.sum()
     weight = np.where(labels == 1, 1.0, positives / odds / (len(labels) - positives))
     weight /= weight.sum()
@@ -113,7 +133,7 @@ def train_from(docs: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, od
     m, v = np.zeros(len(used) + 1), np.zeros(len(used) + 1)
     w[-1] = b
     for step in range(1, steps + 1):
-        z = w[-1] + np.bincount(sent, w[col], n)
+        z = w[-1] - less + np.bincount(sent, w[col], n)
         total = np.bincount(owner, np.logaddexp(0, z), len(labels))
         by_doc = np.where(labels == 1, -1 / np.expm1(np.clip(total, 1e-9, 500.0)), 1.0) * weight
         dz = by_doc[owner] / (1 + np.exp(-z))

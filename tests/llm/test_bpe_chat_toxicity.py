@@ -99,3 +99,33 @@ def test_toxicity_of_odd_rows(spark):
     got = toxicity.score(df, toxicity.train(df, empty)).collect()
     assert len(got) == 4 and all(r.predicted == 0 and 0 <= r.score <= 1 for r in got)
     assert np.isfinite([r.score for r in got]).all()
+
+
+def made_documents(rng):
+    """Clean and toxic texts: short sentences of 800 words, a toxic one has three of ten words."""
+    words = [a + b + c for a in "bdfglmprst" for b in "aeiou" for c in ("n", "rst", "ck", "m", "sh", "ld", "p", "w") for _ in (0, 1)]
+    bad = [f"zq{a}x" for a in "abcdefghij"]
+    sentence = lambda: " ".join(rng.choice(words) for _ in range(12)) + "."
+    toxic = lambda: " ".join(rng.sample(bad, 3) + [rng.choice(words)]) + "."
+    text = lambda: " ".join(sentence() for _ in range(rng.randint(5, 40)))
+    return text, toxic
+
+
+def test_toxicity_does_not_rise_with_length():
+    rng = random.Random(4)
+    text, toxic = made_documents(rng)
+    texts = [text() for _ in range(600)] + [f"{text()} {toxic()} {text()}" for _ in range(150)]
+    labels = np.array([0] * 600 + [1] * 150)
+    model = toxicity.train_from([toxicity.features(t)[:2] for t in texts], labels, 0.1)
+    fresh = [text() for _ in range(700)]
+    assert max(map(model.score, fresh)) < 0.5
+    for size in (100_000, 1_000_000, 10_000_000):
+        clean = " ".join(fresh * (size // len(" ".join(fresh)) + 1))[:size]
+        assert model.score(clean) < 0.1
+    half = len(clean) // 20
+    found = model.offending(f"{clean[:half]}. {(one := toxic())} {clean[half : 2 * half]}", 0.5)
+    assert len(found) == 1 and one.split()[0] in f"{clean[:half]}. {one} "[found[0]["start"] : found[0]["end"]]
+    assert model.score(f"{clean[:half]}. {one} {clean[half : 2 * half]}") >= 0.5
+    unlabelled = toxicity.train_from([], np.array([]), 1.0)
+    assert unlabelled.score(clean) < 0.5
+    assert model.score("word " * 2_000_000) < 0.5
