@@ -29,6 +29,8 @@ ENDS[list(b".!?\n")] = True
 SAMPLE_DOCS, SAMPLE_WORDS = 4000, 1_500_000
 #: Sentences of a document up to which they have the full bias: in training, and in scoring.
 USUAL, LONG = 32, 512
+#: A document holds one in so many words of its class's sample at most.
+LARGE = 32
 
 
 def features(text: str) -> tuple[np.ndarray, np.ndarray, bytes]:
@@ -60,6 +62,16 @@ def distinct(bucket: np.ndarray, sentence: np.ndarray) -> tuple[np.ndarray, np.n
     return (both & ((1 << BITS) - 1)).astype(np.int32), (both >> BITS).astype(np.int32)
 
 
+def first_sentences(bucket: np.ndarray, sentence: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The features of the first whole sentences with ``most`` together; of a longer one, its first words."""
+    if len(bucket) <= most:
+        return bucket, sentence
+    fits = int(np.searchsorted(np.cumsum(np.bincount(sentence)), most, "right"))
+    keep = np.flatnonzero(sentence < fits)
+    keep = keep if len(keep) else np.argsort(sentence, kind="stable")[:most]
+    return bucket[keep], sentence[keep]
+
+
 def lowered(n, usual: int):
     """What the log-odds of each of ``n`` sentences lose."""
     return np.log(np.maximum(n, usual) / usual)
@@ -152,7 +164,9 @@ def train(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
 
     Of each class at most ``sample_docs`` documents (in the order of a hash of their id) holding at
     most ``sample_words`` words together reach the driver, as hashed words; their weights restore
-    the classes' shares in all labels. A document labelled more than once counts as toxic if any
+    the classes' shares in all labels. Of a document with more than 1 / LARGE of the words the first
+    whole sentences up to that share are used, so none takes the place of all others; toxic ones cut so
+    come last, as their toxic sentence may be missing. A document labelled more than once counts as toxic if any
     row says so; null labels and labels without a document don't count. Without labels of both
     classes the model scores everything low.
     """
@@ -169,18 +183,22 @@ def train(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
         part = marked.where(F.col("label") == y).orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id").limit(sample_docs)
         drawn = part if drawn is None else drawn.union(part)
 
+    most = max(1, sample_words // LARGE)
+
     def extract(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            got = [features(t)[:2] for t in f["text"]]
+            whole = [features(t)[:2] for t in f["text"]]
+            got = [first_sentences(*x, most) for x in whole]
             yield pd.DataFrame({
                 "doc_id": f["doc_id"], "label": f["label"], "n": [len(a) for a, _ in got],
+                "cut": [len(a) < len(x) for (a, _), (x, _) in zip(got, whole)],
                 "bucket": [a.tobytes() for a, _ in got], "sentence": [s.tobytes() for _, s in got],
             })
 
     # two bounded lists of ids: their size is sample_docs rows a class, whatever the table's
     picked = text_of(documents, id_col, text_col).join(F.broadcast(drawn), "doc_id")
-    rows = picked.mapInPandas(extract, "doc_id long, label int, n long, bucket binary, sentence binary")
-    order = Window.partitionBy("label").orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id", "n", "bucket")
+    rows = picked.mapInPandas(extract, "doc_id long, label int, n long, cut boolean, bucket binary, sentence binary")
+    order = Window.partitionBy("label").orderBy(F.expr("cut and label = 1"), F.xxhash64("doc_id", F.lit(11)), "doc_id", "n", "bucket")
     rows = rows.withColumn("words", F.sum("n").over(order)).where(F.col("words") <= sample_words)
     got = sorted(rows.select("doc_id", "bucket", "sentence", "label").toArrow().to_pylist(), key=lambda r: (r["doc_id"], r["bucket"]))
     docs = [(np.frombuffer(r["bucket"], np.int32), np.frombuffer(r["sentence"], np.int32)) for r in got]

@@ -129,3 +129,17 @@ def test_toxicity_does_not_rise_with_length():
     unlabelled = toxicity.train_from([], np.array([]), 1.0)
     assert unlabelled.score(clean) < 0.5
     assert model.score("word " * 2_000_000) < 0.5
+
+
+@pytest.mark.parametrize("label", [0, 1])
+def test_toxicity_with_a_huge_labelled_document(spark, label):
+    rng = random.Random(5)
+    text, toxic = made_documents(rng)
+    ids = spark.range(400).orderBy(F.xxhash64("id", F.lit(11))).toPandas()["id"].tolist()
+    made = [(i, f"{text()} {toxic()}" if k % 2 else text(), k % 2) for k, i in enumerate(ids)]
+    huge = next(k for k, m in enumerate(made) if m[2] == label)
+    made[huge] = (made[huge][0], " ".join(text() for _ in range(1500)) + (toxic() if label else ""), label)
+    df = spark.createDataFrame(made, "doc_id long, text string, toxic int")
+    model = toxicity.train(df, df, sample_words=200_000)
+    assert sum(model.score(f"{text()} {toxic()}") >= 0.5 for _ in range(50)) >= 45
+    assert sum(model.score(text()) >= 0.5 for _ in range(50)) <= 2
