@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import bpe, chat, imatch, multi_index, phrase_automata, raking, simhash, suffix_dedup, toxicity, wrappers
+from corpusloom.llm import bpe, chat, imatch, multi_index, phrase_automata, raking, simhash, suffix_dedup, toxicity, variants, whitening, wrappers
 from corpusloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -96,6 +96,17 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query()
+def op12_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(table(spark, folder, "embeddings")).withColumn("deviation", F.col("deviation").cast("long"))
+
+
+@query()
+def op13_variants(spark: SparkSession, folder: str) -> DataFrame:
+    """Words with their variants; a run in 199 is misspelt, by a hash of its document and itself."""
+    return variants.variants_of(table(spark, folder, "documents"), every=199)
+
+
 @query(corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     return corpus_pipeline.run(spark, folder)
