@@ -1,4 +1,4 @@
-"""Name an intermediate value inside an expression."""
+"""Name an intermediate value inside an expression; running values of an array."""
 
 from __future__ import annotations
 
@@ -16,3 +16,14 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     of an array.
     """
     return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def running(values: Column, op: Callable[[Column, Column], Column]) -> Column:
+    """``op`` over the first elements up to each, for an associative ``op``. Each round doubles how far
+    an element has looked back, so n elements take log n rounds and nothing is copied per element."""
+    rounds = F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(F.size(values), F.lit(2)))).cast("int") - 1)
+
+    def doubled(acc: Column, k: Column) -> Column:
+        return bind(F.pow(F.lit(2), k).cast("int"), lambda far: F.transform(acc, lambda x, i: F.when(i >= far, op(F.get(acc, i - far), x)).otherwise(x)))
+
+    return F.aggregate(rounds, values, doubled)

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from corpusloom.functions.bind import bind
+from corpusloom.functions.bind import bind, running
 from corpusloom.functions.numbers import normalize_numbers, spell_numbers
 
 # The delimiter sets, brackets and replacements that define the splitting rules.
@@ -138,6 +138,10 @@ def _pack_type() -> Column:
     )
 
 
+#: Pieces that are packed by a fold. It copies its list at each piece, so more go by pointers.
+FOLD = 256
+
+
 def pack_sentences(
     pieces: Column,
     longest: int = 80,
@@ -145,7 +149,11 @@ def pack_sentences(
     merge: int = 20,
     measure: Callable[[Column], Column] = char_length,
 ) -> Column:
-    """Join pieces up to a length; a short tail joins the pack before it."""
+    """Join pieces up to a length; a short tail joins the pack before it.
+
+    ``measure`` of a joined text must follow from its pieces and each two neighbours, as numbers of
+    characters and words do, and must not shrink with another piece.
+    """
 
     def step(acc: Column, piece: Column) -> Column:
         def either(grown: Column) -> Column:
@@ -158,7 +166,13 @@ def pack_sentences(
 
         return bind(F.concat(acc["open"], piece), either)
 
-    return F.aggregate(pieces, _pack_type(), step, lambda a: _close(a, measure(a["open"]) < merge))
+    def folded(p: Column) -> Column:
+        return F.aggregate(p, _pack_type(), step, lambda a: _close(a, measure(a["open"]) < merge))
+
+    def ends(sizes: Sizes, i: Column, j: Column) -> Column:
+        return (sizes(i, j + 1) > longest) & (sizes(i, j) > shortest)
+
+    return _packed(pieces, folded, measure, ends, merge)
 
 
 def _close(acc: Column, short: Column) -> Column:
@@ -187,9 +201,85 @@ def merge_short_text(pieces: Column, shortest: int = 5) -> Column:
             F.when(short, F.concat(acc["open"], piece)).otherwise(piece).alias("open"),
         )
 
-    return F.aggregate(
-        pieces, _pack_type(), step, lambda a: _close(a, F.length(a["open"]) < shortest)
-    )
+    def folded(p: Column) -> Column:
+        return F.aggregate(p, _pack_type(), step, lambda a: _close(a, F.length(a["open"]) < shortest))
+
+    def ends(sizes: Sizes, i: Column, j: Column) -> Column:
+        return sizes(i, j) >= shortest
+
+    return _packed(pieces, folded, char_length, ends, shortest)
+
+
+#: Measure of the pieces from ``i`` up to ``j``, joined.
+Sizes = Callable[[Column, Column], Column]
+
+
+def _packed(
+    pieces: Column,
+    folded: Callable[[Column], Column],
+    measure: Callable[[Column], Column],
+    ends: Callable[[Sizes, Column, Column], Column],
+    merge: int,
+) -> Column:
+    """Packs by the fold for few pieces, by pointers for many; both give the same packs."""
+    return bind(pieces, lambda p: F.when(F.size(p) <= FOLD, folded(p)).when(p.isNotNull(), _pointed(p, measure, ends, merge)))
+
+
+def _pointed(pieces: Column, measure: Callable[[Column], Column], ends: Callable[[Sizes, Column, Column], Column], merge: int) -> Column:
+    """Packs by next-cut pointers. Where the pack that begins at a piece ends depends on that piece
+    only, and ``ends`` holds from there on, so it is found by bisection on running sums. Doubled
+    pointers then tell the k-th cut for every k at once: n log n steps, one slicing at the end.
+    """
+    n = F.size(pieces)
+    upto = lambda k: F.sequence(F.lit(0), k - 1)
+    rounds = F.ceil(F.log2(n + 1)).cast("int")
+    power = lambda k: F.pow(F.lit(2), k).cast("int")
+
+    def joint(k: Column) -> Column:
+        """What joining piece ``k`` to the one before adds to the measure."""
+        before, here = F.get(pieces, k - 1), F.get(pieces, k)
+        return F.when(k > 0, measure(F.concat(before, here)) - measure(before) - measure(here)).otherwise(0)
+
+    def summed(joints: Column) -> Column:
+        grown = F.transform(pieces, lambda p, k: (measure(p) + F.get(joints, k)).cast("long"))
+        return bind(F.struct(joints.alias("joint"), running(grown, lambda x, y: x + y).alias("sum")), pointers)
+
+    def pointers(s: Column) -> Column:
+        def sizes(i: Column, j: Column) -> Column:
+            before = F.when(i > 0, F.get(s["sum"], i - 1)).otherwise(0)
+            return F.when(j > i, F.get(s["sum"], j - 1) - before - F.get(s["joint"], i)).otherwise(0)
+
+        def following(i: Column) -> Column:
+            def further(at: Column, k: Column) -> Column:
+                return F.when((at + k < n) & ~ends(sizes, i, at + k), at + k).otherwise(at)
+
+            return F.aggregate(F.reverse(F.transform(upto(rounds), power)), i, further) + 1
+
+        return bind(F.concat(F.transform(upto(n), following), F.array(n)), lambda one: bind(doubled(one), packs))
+
+    def doubled(one: Column) -> Column:
+        def more(acc: Column, _: Column) -> Column:
+            return bind(F.get(acc, F.size(acc) - 1), lambda far: F.concat(acc, F.array(F.transform(far, lambda x: F.get(far, x)))))
+
+        return F.aggregate(upto(rounds), F.array(one), more)
+
+    def packs(tables: Column) -> Column:
+        def start(k: Column) -> Column:
+            jump = lambda at, r: F.when(F.floor(k / power(r)) % 2 == 1, F.get(F.get(tables, r), at)).otherwise(at)
+            return F.aggregate(upto(rounds), F.lit(0), jump)
+
+        starts = F.filter(F.transform(upto(n), start), lambda x: x < n)
+        return bind(starts, lambda at: bind(F.transform(at, lambda x, k: text(x, F.coalesce(F.get(at, k + 1), n))), tail))
+
+    def text(begin: Column, end: Column) -> Column:
+        return F.array_join(F.slice(pieces, begin + 1, end - begin), "")
+
+    def tail(made: Column) -> Column:
+        last = F.get(made, F.size(made) - 1)
+        state = F.struct(F.slice(made, F.lit(1), F.size(made) - 1).alias("done"), last.alias("open"))
+        return bind(state, lambda a: _close(a, measure(a["open"]) < merge))
+
+    return bind(F.transform(upto(n), joint), summed)
 
 
 def fixed_width(c: Column, width: int) -> Column:

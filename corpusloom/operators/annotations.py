@@ -7,14 +7,11 @@ rest is text.
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusloom.functions.bind import bind
+from corpusloom.functions.bind import bind, running
 from corpusloom.functions.text import strip
 
 # Symbols, words and affixes that tell phonetic notes, pinyin and English apart.
@@ -35,8 +32,6 @@ SEGMENTS = T.ArrayType(
         [T.StructField("segment", T.StringType()), T.StructField("leaf", T.BooleanType())]
     )
 )
-LEAF, PLAIN = "L", "P"
-TOKEN = re.compile("[(（]|[)）]|[^()（）]+")
 
 # The syllables taken for pinyin when there is no tone digit.
 SYLLABLES = """
@@ -110,67 +105,69 @@ def classify_annotation(c: Column) -> Column:
     return F.when(is_phonetic(c), "phonetic").when(is_pinyin(c), "pinyin").otherwise("text")
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _cut_brackets(texts: pd.Series) -> pd.Series:
-    """Segments of texts with brackets, in one pass over their tokens.
+def _flat(c: Column) -> Column:
+    """Segments of a text whose brackets are balanced and not nested: contents are every second part."""
+    parts = F.transform(F.split(c, "[()（）]"), lambda s, i: F.struct(s.alias("segment"), (i % 2 == 1).alias("leaf")))
+    return F.filter(parts, lambda p: p["segment"] != "")
 
-    Plain strings cross to the JVM faster than structs: a leaf is marked by its first character.
-    """
 
-    def cut(text: str | None) -> list[str] | None:
-        if text is None:
-            return None
-        tokens = TOKEN.findall(text)
-        waiting, paired = [], {}
-        for i, token in enumerate(tokens):
-            if token in "(（":
-                waiting.append(i)
-            elif token in ")）" and waiting:
-                paired[waiting.pop()] = i
-        closing = set(paired.values())
-        out, held, since = [], [], None
-
-        def flush(leaf: bool) -> None:
-            if held:
-                out.append((LEAF if leaf else PLAIN) + "".join(held))
-                held.clear()
-
-        for i, token in enumerate(tokens):
-            if i in paired:
-                flush(False)
-                since = i
-            elif i in closing:
-                flush(since is not None and paired.get(since) == i)
-                since = None
-            else:
-                if token in "(（":
-                    flush(False)
-                held.append(token)
-        flush(False)
-        return out
-
-    return texts.map(cut)
+def _nested(c: Column) -> Column:
+    """Segments of any text, from the depths of its brackets.
 
+    The depth before the first bracket is 0 and goes below it where closing brackets have no opening
+    one: there it reaches a new least depth. An opening bracket has its closing one if the depth later
+    falls below the bracket's own. Such pairs cut and go; an opening bracket alone cuts and stays.
+    """
+    tokens = F.regexp_extract_all(c, F.lit("[(（]|[)）]|[^()（）]+"), F.lit(0))
+
+    def placed(t: Column) -> Column:
+        at = F.filter(F.sequence(F.lit(0), F.size(t) - 1), lambda i: F.get(t, i).rlike("[()（）]"))
+        steps = F.transform(at, lambda i: F.when(F.get(t, i).rlike("[(（]"), 1).otherwise(-1))
+        return bind(F.struct(t.alias("t"), at.alias("at"), steps.alias("step")), depths)
+
+    def depths(s: Column) -> Column:
+        depth = running(s["step"], lambda x, y: x + y)
+        return bind(depth, lambda d: bind(F.struct(
+            s["t"].alias("t"), s["at"].alias("at"), s["step"].alias("step"), d.alias("depth"),
+            running(d, F.least).alias("least"), F.reverse(running(F.reverse(d), F.least)).alias("later"),
+        ), cuts))
+
+    def cuts(s: Column) -> Column:
+        def cut(i: Column, k: Column) -> Column:
+            depth, opens = F.get(s["depth"], k), F.get(s["step"], k) == 1
+            matched = F.coalesce(F.get(s["later"], k + 1) < depth, F.lit(False))
+            alone = depth < F.least(F.lit(0), F.coalesce(F.get(s["least"], k - 1), F.lit(0)))
+            kind = F.when(opens & matched, 1).when(opens, 0).when(~alone, 2)
+            return F.struct(i.alias("at"), kind.alias("kind"))
+
+        found = F.filter(F.transform(s["at"], cut), lambda x: x["kind"].isNotNull())
+        edge = lambda at, kind: F.array(F.struct(at.alias("at"), F.lit(kind).alias("kind")))
+        bounds = F.concat(edge(F.lit(0), 0), found, edge(F.size(s["t"]), 0))
+        return bind(F.struct(s["t"].alias("t"), bounds.alias("bounds")), segments)
+
+    def segments(s: Column) -> Column:
+        def segment(k: Column) -> Column:
+            before, after = F.get(s["bounds"], k), F.get(s["bounds"], k + 1)
+            begin = before["at"] + F.when(before["kind"] > 0, 1).otherwise(0)
+            part = F.array_join(F.slice(s["t"], begin + 1, F.greatest(after["at"] - begin, F.lit(0))), "")
+            return F.struct(part.alias("segment"), ((before["kind"] == 1) & (after["kind"] == 2)).alias("leaf"))
+
+        made = F.transform(F.sequence(F.lit(0), F.size(s["bounds"]) - 2), segment)
+        return F.filter(made, lambda p: p["segment"] != "")
+
+    return bind(tokens, placed)
 
-def parse_annotations(c: Column) -> Column:
-    """Array of ``(segment, leaf)`` in order; ``leaf`` marks innermost bracket contents.
 
-    Bracket matching needs a stack, and as a fold over an array it would copy the array at every
-    token, so texts with an opening bracket go through a pandas function (the others pass null).
-    """
+def parse_annotations(c: Column) -> Column:
+    """Array of ``(segment, leaf)`` in order; ``leaf`` marks innermost bracket contents. Null for null."""
     bracketed = c.rlike("[(（]")
     plain = F.array(F.struct(c.alias("segment"), F.lit(False).alias("leaf")))
-    marked = F.transform(
-        _cut_brackets(F.when(bracketed, c)),
-        lambda s: F.struct(
-            F.substring(s, F.lit(2), F.length(s)).alias("segment"),
-            s.startswith(LEAF).alias("leaf"),
-        ),
-    )
-    return F.coalesce(
-        marked,
-        F.when(c == "", F.array().cast(SEGMENTS)),
-        F.when(~bracketed, plain),
+    flat = c.rlike("\\A[^()（）]*+(?:[(（][^()（）]*+[)）][^()（）]*+)*+\\z")
+    return (
+        F.when(c == "", F.array().cast(SEGMENTS))
+        .when(~bracketed, plain)
+        .when(flat, _flat(c))
+        .when(c.isNotNull(), _nested(c))
     )
 
 

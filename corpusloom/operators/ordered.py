@@ -9,7 +9,8 @@ with the carried values reuses that partitioning.
 
 ``order`` must be unique inside a key. When its first column is an integer the chunk is
 ``order div span``, which holds at most ``span`` rows; for hash orders the caller passes a
-prefix of the hash. Null is a key like any other.
+prefix of the hash. Without a key, where sparse integers would leave about a chunk per row for
+one task to walk, the chunks are ranges between quantiles of the order. Null is a key like any other.
 """
 
 from __future__ import annotations
@@ -21,12 +22,34 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 SPAN = 1 << 20
+#: Most ranges that an order without a key is cut into.
+RANGES = 4096
 
 
 def _list(x: str | Sequence[str]) -> list[str]:
     return [x] if isinstance(x, str) else list(x)
 
 
+def range_chunk(df: DataFrame, order: str, span: int = SPAN) -> Column:
+    """Number of the range that a value of ``order`` is in; ranges have about ``span`` rows each, or a
+    RANGES-th of the table. Their bounds are approximate quantiles, but any bounds are right."""
+    count = df.agg(F.count(order)).first()[0]
+    ranges = min(RANGES, -(-count // span))
+    if ranges < 2:
+        return F.lit(0)
+    shares = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
+    found = df.agg(F.percentile_approx(order, shares, 20 * ranges)).first()[0]
+    bounds = sorted(set(found))
+    held = F.lit(bounds)
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(bounds).bit_length()))])
+
+    def further(at: Column, step: Column) -> Column:
+        here = F.get(held, at + step - 1)
+        return F.when(F.coalesce(here <= F.col(f"`{order}`"), F.lit(False)), at + step).otherwise(at)
+
+    return F.aggregate(steps, F.lit(0), further)
+
+
 def with_ordered(
     df: DataFrame,
     keys: str | Sequence[str],
@@ -44,7 +67,10 @@ def with_ordered(
     """
     keys, order = _list(keys), _list(order)
     before, previous = before or {}, previous or {}
-    piece = chunk if chunk is not None else F.expr(f"`{order[0]}` div {span}")
+    if chunk is not None:
+        piece = chunk
+    else:
+        piece = F.expr(f"`{order[0]}` div {span}") if keys else range_chunk(df, order[0], span)
     # one struct for the place: rows with a null key meet in the join like any others
     place = F.struct(*keys, piece.alias("_cut")).alias("_place")
     cut = df.select("*", place)

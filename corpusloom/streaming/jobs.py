@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,7 +26,7 @@ def stream_table(spark: SparkSession, path: str, schema: T.StructType, files: in
 
 
 def tail_metrics(lines: DataFrame, line: str = "line") -> DataFrame:
-    """Metric lines of a log stream; the checkpoint holds the read position."""
+    """Metric lines of a log stream (of ``tail_logs``, say); the checkpoint holds the read position."""
     return parse_metric_line(lines, line).filter(F.col("kind").isNotNull())
 
 
@@ -78,6 +80,18 @@ def closed(stream: DataFrame, time: str, key: str = "id", at: str = "2200-01-01
     return stream.unionByName(stream_table(spark, path, stream.schema, None))
 
 
+@contextmanager
+def rocksdb_state(spark: SparkSession) -> Iterator[None]:
+    """Queries started inside keep their state in RocksDB, which list states and timers need."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def run_available(
     stream: DataFrame, mode: str = "append", checkpoint: str | None = None, out: str | None = None
 ) -> DataFrame:

@@ -4,12 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corpusloom.session import shared_dir
+from corpusloom.sources.tail import tail_logs
 from corpusloom.streaming import jobs as J
 from corpusloom.streaming import tokens as K
 from queries import query
 from queries.logs import LINE, PARSED, job_events
 
 
+#: Micro-batches that the tokens of a request come in.
+BATCHES = 3
+
+
 def events(t, files=16):
     return J.stream_table(t.spark, f"{t.folder}/events.parquet", t.events.schema, files)
 
@@ -18,9 +24,18 @@ def events(t, files=16):
 SELECT user_id, event_id, kind, parsed_by, loss, eval_loss FROM p WHERE kind IS NOT NULL
 """)
 def tail_metrics(t):
-    lines = events(t).select("user_id", "event_id", F.expr(LINE).alias("line"))
-    out = J.tail_metrics(lines)
-    return J.run_available(out.select("user_id", "event_id", "kind", "parsed_by", "loss", "eval_loss"))
+    """Text logs that grow between two runs of one query: the second goes on from the first's bytes."""
+    lines = t.events.select(F.concat_ws("\t", "user_id", "event_id", F.expr(LINE)).alias("value"), "event_id")
+    base = shared_dir(t.spark)
+    for part in (0, 1):
+        lines.filter(F.col("event_id") % 2 == part).select("value").write.mode("append").text(f"{base}/logs")
+        fields = F.split("line", "\t", 3)
+        told = tail_logs(t.spark, f"{base}/logs").select(
+            fields[0].cast("bigint").alias("user_id"), fields[1].cast("bigint").alias("event_id"), fields[2].alias("line")
+        )
+        out = J.tail_metrics(told).select("user_id", "event_id", "kind", "parsed_by", "loss", "eval_loss")
+        found = J.run_available(out, checkpoint=f"{base}/checkpoint", out=f"{base}/out")
+    return found
 
 
 @query("""
@@ -80,14 +95,24 @@ SELECT CAST(doc_id AS VARCHAR) AS request_id, CAST(i AS INTEGER) AS chunk_no, CA
   array_to_string(CASE WHEN i = k THEN s[i * 25 + 1:] ELSE s[i * 25 + 1:i * 25 + 28] END, ',') AS tokens FROM c
 """)
 def chunk_token_stream(t):
-    docs = J.stream_table(t.spark, f"{t.folder}/documents.parquet", t.documents.schema)
-    words = F.transform(F.split("text", " "), F.length)
-    cells = docs.select(
-        F.col("doc_id").cast("string").alias("request_id"),
-        F.posexplode(F.concat(words, F.array(F.lit(-1)))).alias("seq", "token"),
-    ).withColumn("is_end", F.col("token") == -1)
-    out = J.run_available(K.chunk_token_stream(cells))
-    return out.withColumn("tokens", F.array_join("tokens", ","))
+    """Words' lengths as tokens, 64 to a row; later rows of a request come in later micro-batches."""
+    words = F.concat(F.transform(F.split("text", " "), F.length), F.array().cast("array<int>"))
+    starts = F.sequence(F.lit(0), F.ceil(F.size("words") / 64).cast("int") - 1)
+    rows = t.documents.select("doc_id", words.alias("words")).select(
+        F.col("doc_id").cast("string").alias("request_id"), "words", F.explode(starts).alias("seq")
+    )
+    rows = rows.select(
+        "request_id", "seq", F.slice("words", F.col("seq") * 64 + 1, 64).alias("tokens"),
+        ((F.col("seq") + 1) * 64 >= F.size("words")).alias("is_end"), F.timestamp_seconds(F.col("seq") + 1_700_000_000).alias("at"),
+    )
+    base = shared_dir(t.spark)
+    for batch in range(BATCHES):
+        due = F.least("seq", F.lit(BATCHES - 1)) == batch
+        rows.filter(due).coalesce(1).write.mode("append").parquet(f"{base}/tokens")
+    cells = J.stream_table(t.spark, f"{base}/tokens", t.spark.read.parquet(f"{base}/tokens").schema, 1)
+    with J.rocksdb_state(t.spark):
+        out = J.run_available(K.chunk_token_stream(cells))
+    return out.withColumn("tokens", F.array_join("tokens", ",")).drop("expired")
 
 
 @query("""

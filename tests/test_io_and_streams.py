@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import random
+from datetime import datetime, timedelta
+
 import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.operators import segments
-from corpusloom.sources import media, tables
+from corpusloom.sources import media, tables, tail
 from corpusloom.streaming import jobs, tokens
 
 
@@ -65,22 +68,113 @@ def test_json_maps_and_sidecars(spark):
     assert sorted(r.name for r in media.pair_sidecars(inv, "/s").collect()) == ["w/a", "w/c/b"]
 
 
+TOKENS = "request_id string, seq int, tokens array<int>, is_end boolean, at timestamp"
+
+
+def token_rows(spark, folder, batches):
+    """A file per micro-batch of ``(request, seq, tokens, is_end, minute)``."""
+    start = datetime(2024, 1, 1)
+    for rows in batches:
+        rows = [(r, seq, t, end, start + timedelta(minutes=m)) for r, seq, t, end, m in rows]
+        spark.createDataFrame(rows, TOKENS).coalesce(1).write.mode("append").parquet(folder)
+    return jobs.stream_table(spark, folder, spark.read.parquet(folder).schema, files=1)
+
+
 def test_token_stream_in_batches(spark, tmp_path):
-    lengths = {"r1": 131, "r2": 28, "r3": 3}
-    rows = [(r, i, i, False) for r, n in lengths.items() for i in range(n)]
-    rows += [(r, n, -1, True) for r, n in lengths.items()]
-    schema = "request_id string, seq int, token int, is_end boolean"
-    for part in range(4):  # tokens of a request arrive over several files, in order
-        mine = [r for r in rows if r[1] * 4 // (lengths[r[0]] + 1) == part]
-        spark.createDataFrame(mine, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    table = spark.read.parquet(str(tmp_path / "in"))
-    stream = jobs.stream_table(spark, str(tmp_path / "in"), table.schema, files=1)
-    out = jobs.run_available(tokens.chunk_token_stream(stream, 25, 3)).collect()
+    lengths = {"r1": 131, "r2": 28, "r3": 3, "r4": 0}
+    batches = []
+    for part in range(4):  # tokens of a request arrive over several files, in order, some of them empty
+        rows = []
+        for r, n in lengths.items():
+            cut = [n * k // 8 for k in (2 * part, 2 * part + 1, 2 * part + 2)]
+            rows += [(r, 2 * part + k, list(range(cut[k], cut[k + 1])), part == 3 and k == 1, part) for k in (1, 0)]
+        batches.append(rows)
+    with jobs.rocksdb_state(spark):
+        out = jobs.run_available(tokens.chunk_token_stream(token_rows(spark, str(tmp_path / "in"), batches), 25, 3)).collect()
     arrays = spark.createDataFrame([(r, list(range(n))) for r, n in lengths.items()], "r string, t array<int>")
     want = {(x.r, x.chunk_no, x.offset, x.end, x.final) for x in segments.stream_hops(arrays, "t", 25, 3).collect()}
     assert {(x.request_id, x.chunk_no, x.offset, x.end, x.final) for x in out} == want
-    for x in out:
-        assert x.tokens == list(range(x.offset, x.end))
+    assert all(x.tokens == list(range(x.offset, x.end)) and not x.expired for x in out)
+
+
+def test_silent_requests_expire(spark, tmp_path):
+    """A request that falls silent for the limit gives what it has; one that goes on doesn't; after its
+    end a request may begin anew."""
+    batches = [
+        [("silent", 0, [1, 2, 3], False, 0), ("goes on", 0, [1], False, 0), ("twice", 0, [7], True, 0), ("null", 0, None, False, 0)],
+        [("goes on", 1, [2], False, 8), ("twice", 0, [8], True, 8)],
+        [("goes on", 2, [3], False, 16), ("other", 0, [5] * 9, True, 16)],
+        [("goes on", 3, [4], True, 17)],
+    ]
+    with jobs.rocksdb_state(spark):
+        stream = tokens.chunk_token_stream(token_rows(spark, str(tmp_path / "in"), batches), 4, 1, limit="10 minutes")
+        out = jobs.run_available(stream).collect()
+    got = {(x.request_id, x.chunk_no, x.offset, x.final, x.expired, tuple(x.tokens)) for x in out}
+    assert got == {
+        ("silent", 0, 0, True, True, (1, 2, 3)), ("null", 0, 0, True, True, ()), ("goes on", 0, 0, True, False, (1, 2, 3, 4)),
+        ("twice", 0, 0, True, False, (7,)), ("twice", 0, 0, True, False, (8,)),
+        ("other", 0, 0, False, False, (5,) * 5), ("other", 1, 4, False, False, (5,) * 5), ("other", 2, 8, True, False, (5,)),
+    }
+
+
+def test_state_of_many_requests_stays_small(spark, tmp_path):
+    """Ended and expired requests leave no state behind."""
+    batches = [[(f"r{k}", 0, list(range(40)), k % 2 == 0, 0) for k in range(400)], [("last", 0, [1], True, 60)]]
+    stream = tokens.chunk_token_stream(token_rows(spark, str(tmp_path / "in"), batches), 25, 3)
+    with jobs.rocksdb_state(spark):
+        query = stream.writeStream.format("noop").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        query.awaitTermination()
+    held = [op["numRowsTotal"] for p in query.recentProgress for op in p["stateOperators"]]
+    assert max(held) >= 200 and held[-1] == 0
+
+
+def test_tail_of_growing_logs(spark, tmp_path):
+    """Appended lines come once, a cut last line waits, a restart from the checkpoint loses none."""
+    logs, out, at = tmp_path / "logs", str(tmp_path / "out"), str(tmp_path / "checkpoint")
+    want = []
+
+    def grow(name, text, lines):
+        logs.mkdir(exist_ok=True)
+        with open(logs / name, "ab") as f:
+            f.write(text)
+        want.extend(lines)
+
+    def run():
+        found = jobs.run_available(tail.tail_logs(spark, str(logs)), checkpoint=at, out=out)
+        return sorted(r.line for r in found.collect())
+
+    grow("a.log", "one\ntwö\r\n\nthr".encode(), ["one", "twö", ""])
+    grow("_hidden", b"no\n", [])
+    assert run() == sorted(want)
+    assert run() == sorted(want)
+    grow("a.log", b"ee\n\xff\n", ["three", "\ufffd"])
+    grow("sub.log", b"cut", [])
+    assert run() == sorted(want)
+    grow("sub.log", b"\n", ["cut"])
+    assert run() == sorted(want)
+    with open(logs / "a.log", "wb") as f:
+        f.write(b"x\n")
+    with pytest.raises(Exception, match="shorter than what was read"):
+        run()
+
+
+def test_ranges_of_a_log_meet_at_lines(tmp_path, monkeypatch):
+    """Whatever the size of ranges and blocks, every line comes from one range."""
+    rng = random.Random(4)
+    lines = [bytes(rng.choice(b"ab\xc3\xa9 ") for _ in range(rng.choice([0, 1, 3, 40]))) for _ in range(60)]
+    path = str(tmp_path / "x.log")
+    with open(path, "wb") as f:
+        f.write(b"\n".join(lines) + b"\nrest")
+    places = [sum(len(x) + 1 for x in lines[:i]) for i in range(len(lines))]
+    for size, block in ((1, 1), (3, 2), (7, 64), (50, 5), (10_000, 3), (10_000, 10_000)):
+        monkeypatch.setattr(tail, "RANGE", size)
+        monkeypatch.setattr(tail, "BLOCK", block)
+        reader = tail.TailReader(path)
+        found = []
+        for part in reader.partitions({}, reader.latestOffset()):
+            with open(path, "rb") as source:
+                found += [row for rows in tail.lines_of(source, part) for row in rows]
+        assert found == list(zip(places, lines))
 
 
 def test_pool_in_batches(spark, tmp_path):
@@ -95,6 +189,16 @@ def test_pool_in_batches(spark, tmp_path):
     assert [(r.shard, r.newest, r.pool) for r in out] == [("s", 29, [26, 27, 28, 29])]
 
 
+def test_pool_takes_few_rows_of_a_shard(spark):
+    """However many rows a shard has, its state gets the newest of each share only."""
+    rows = spark.range(20_000).select(F.expr("if(id % 3 = 0, 'hot', null)").alias("shard"), F.xxhash64("id").alias("seq"), F.col("id").cast("int").alias("token"))
+    found = tokens.newest(rows, 5, 4).collect()
+    for shard in ("hot", None):
+        all_ = sorted(r.seq for r in rows.collect() if r.shard == shard)
+        kept = sorted(r.seq for r in found if r.shard == shard)
+        assert len(kept) <= 5 * 4 and kept[-5:] == all_[-5:]
+
+
 def test_requests_time_out(spark, tmp_path):
     base = "timestamp'2024-01-01 00:00:00'"
     asked = spark.range(40).select(

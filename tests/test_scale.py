@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import random
+import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.operators import batching, ordered, quality, runs, segments, stats
+from corpusloom.functions import text as T
+from corpusloom.operators import annotations, batching, ordered, quality, runs, segments, stats
 from corpusloom.operators.greedy import PaddedBudget, greedy_groups
 
 
@@ -279,3 +282,97 @@ def test_lookup_of_a_hot_key(spark, most, how):
     values = {r.k: r.v for r in entries.collect()}
     got = {r.i: r.v for r in lookup(wide, entries, "k", how, most).collect()}
     assert got == {i: values.get(k) for i, k in rows if how == "left" or k in values}
+
+
+def test_sparse_order_without_a_key(spark):
+    """Values spread over 2^60, with nulls and ties in size, are cut into ranges of about the span."""
+    rng = random.Random(8)
+    values = rng.sample(range(-(1 << 60), 1 << 60), 2000) + list(range(2000)) + [None]
+    rng.shuffle(values)
+    df = spark.createDataFrame([(v,) for v in values], "o bigint")
+    got = ordered.with_ordinal(df, [], "o", total="n", span=100).collect()
+    place = {v: i for i, v in enumerate(sorted(values, key=lambda v: (v is not None, v or 0)), 1)}
+    assert all(r.rn == place[r.o] and r.n == 4001 for r in got) and len(got) == 4001
+    sizes = df.groupBy(ordered.range_chunk(df, "o", 100).alias("c")).count().collect()
+    assert len(sizes) > 30 and max(r["count"] for r in sizes) < 300
+
+
+def plain_packs(pieces, ends, merge, measure):
+    """The packs of a loop; ``ends(open, piece)``: whether the open pack is closed before the piece."""
+    done, text = [], ""
+    for piece in pieces:
+        if ends(text, piece):
+            done.append(text)
+            text = piece
+        else:
+            text += piece
+    if text and done and measure(text) < merge:
+        done[-1] += text
+    elif text:
+        done.append(text)
+    return done
+
+
+@pytest.mark.parametrize("fold", [0, 1000])
+def test_packs_by_fold_and_by_pointers(spark, monkeypatch, fold):
+    monkeypatch.setattr(T, "FOLD", fold)
+    rng = random.Random(9)
+    rows = [(i, ["".join(rng.choice("ab é.") for _ in range(rng.randint(1, 9))) for _ in range(rng.choice([0, 1, 2, 5, 40]))]) for i in range(150)]
+    df = spark.createDataFrame(rows, "i int, p array<string>")
+    for c, longest, shortest, merge, measure, size in (
+        (T.pack_sentences(F.col("p"), 12, 5, 4), 12, 5, 4, len, None),
+        (T.pack_sentences(F.col("p"), 5, 2, 2, T.word_length), 5, 2, 2, lambda s: len(s.split()), None),
+        (T.merge_short_text(F.col("p"), 5), None, None, 5, len, 5),
+    ):
+        for r in df.select("i", c.alias("packs")).collect():
+            if size:
+                ends = lambda text, piece: len(text) >= size
+            else:
+                ends = lambda text, piece: measure(text + piece) > longest and measure(text) > shortest
+            assert r.packs == plain_packs(rows[r.i][1], ends, merge, measure)
+    nothing = spark.createDataFrame([(None,)], "p array<string>").select(T.merge_short_text(F.col("p")))
+    assert nothing.first()[0] is None
+
+
+def test_packs_of_very_many_pieces(spark):
+    """100,000 sentences in one text: seconds, not hours."""
+    df = spark.createDataFrame([("some sentence here. " * 33_334,)], "t string")
+    packs = T.pack_sentences(F.split("t", "(?<= )"), 30, 10, 5)
+    began = time.time()
+    assert df.select(F.array_join(packs, "") == F.col("t"), F.size(packs)).first()[0]
+    assert time.time() - began < 120
+
+
+def stacked(text):
+    """Bracket segments by a stack, token by token."""
+    tokens = re.findall("[(（]|[)）]|[^()（）]+", text)
+    waiting, paired = [], {}
+    for i, token in enumerate(tokens):
+        if token in "(（":
+            waiting.append(i)
+        elif token in ")）" and waiting:
+            paired[waiting.pop()] = i
+    out, held, since = [], "", None
+    for i, token in enumerate([*tokens, ""]):
+        if i == len(tokens) or i in paired or i in paired.values() or token in "(（":
+            if held:
+                out.append((held, i in paired.values() and paired.get(since) == i))
+            held = ""
+        if i in paired:
+            since = i
+        elif i in paired.values():
+            since = None
+        else:
+            held += token
+    return out
+
+
+def test_brackets_without_a_stack(spark):
+    rng = random.Random(10)
+    texts = [None, "", "a", "()", ")(", "((", "((a(b)c)d)e(", "x(y)z（w）", "(" * 50 + "a" + ")" * 60]
+    texts += ["".join(rng.choice("()（）abé ") for _ in range(rng.choice([3, 9, 40]))) for _ in range(800)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    parsed = df.select("i", annotations.parse_annotations(F.col("t")).alias("s"))
+    assert "Python" not in parsed._jdf.queryExecution().toString()
+    for r in parsed.collect():
+        assert (None if r.s is None else [tuple(x) for x in r.s]) == (None if texts[r.i] is None else stacked(texts[r.i])), texts[r.i]
