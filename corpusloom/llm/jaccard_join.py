@@ -11,7 +11,7 @@ spanned by a forest of nearest pairs, and each of its edges is verified on the s
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +23,7 @@ from corpusloom.llm.common import GOLDEN, checkpointed, mix, text_of, tidy
 from corpusloom.llm.components import components
 from corpusloom.llm.passages import bucket, groups, packed, short, slices, table_of, unpacked
 from corpusloom.llm.simhash import LOWER
+from corpusloom.operators.lookup import lookup
 
 #: Bytes of text in a chunk and in a partition, on average.
 CHUNK, PARTITION = 6 << 20, 64 << 20
@@ -30,6 +31,8 @@ CHUNK, PARTITION = 6 << 20, 64 << 20
 ORDERS = (0, 3, 4)
 #: Classes compared in one task at once, and those that also go to every block of a larger bucket.
 BLOCK, GUESTS = 1024, 16
+#: Edges that a task takes while components are found.
+EDGES = 1 << 18
 #: Least bits of a parity sketch per token.
 BITS = 4
 
@@ -124,7 +127,7 @@ def sharing(tokens: list[np.ndarray]) -> np.ndarray:
     return out > 0
 
 
-def survivors(size: np.ndarray, group: np.ndarray, orders: list[list[np.ndarray]], sketches: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def survivors(size: np.ndarray, group: np.ndarray, orders: list[list[np.ndarray]], sketches: list[np.ndarray], percent: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``(i, j, difference)`` of members of different groups that no filter tells apart, nearest first."""
     may = np.triu(100 * np.minimum.outer(size, size) >= percent * np.maximum.outer(size, size), 1)
     may &= group[:, None] != group[None, :]
@@ -260,7 +263,7 @@ def measured(texts: DataFrame, shingle: int, percent: int) -> DataFrame:
     return docs.groupBy("chunk").cogroup(codes.groupBy("chunk")).applyInArrow(described, CLASSES)
 
 
-def compared(rows: DataFrame, percent: int, every: bool) -> DataFrame:
+def compared(rows: DataFrame, percent: float, every: bool) -> DataFrame:
     """``(token, a, b)``: pairs of a bucket's block that pass all filters; the forest of the nearest, or
     ``every`` one. ``rows (token, block, cls, grp, n, others, sketch)``."""
 
@@ -299,7 +302,7 @@ def compared(rows: DataFrame, percent: int, every: bool) -> DataFrame:
     return dealt.mapInArrow(run, "token long, a binary, b binary")
 
 
-def verified(edges: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
+def verified(edges: DataFrame, facts: DataFrame, percent: float) -> DataFrame:
     """The edges with ``linked``: whether the sets overlap as much as asked."""
     pairs = edges.select("a", "b").distinct()
     one = facts.select(F.col("cls").alias("a"), F.col("tokens").alias("x"))
@@ -325,19 +328,24 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     texts = text_of(df, id_col, text_col)
     own = checkpointed(measured(texts, shingle, percent))
     classes = own.where("doc_id is not null and cls is not null").groupBy("cls").agg(F.min("doc_id").alias("least"))
-    edges = _links(own.where("doc_id is not null and tokens is not null"), percent)
+    full = own.where("doc_id is not null and tokens is not null")
+    postings = full.select("cls", F.explode("first").alias("token")).distinct()
+    described = full.select("cls", "n", "others", "sketch", "tokens")
+    edges = links_between(postings, percent, lambda needed: lookup(described, needed, "cls", "inner").dropDuplicates(["cls"]))
     return _named(own, classes, edges)
 
 
-def _links(full: DataFrame, percent: int) -> DataFrame | None:
-    """``(a, b)``: verified links between classes that connect all that are linked."""
-    postings = full.select("cls", F.explode("first").alias("token")).distinct()
+def links_between(postings: DataFrame, percent: float, describe: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``(a, b)``: verified links between classes that connect all that are linked and share a token.
+
+    ``postings (cls, token)``, each once; ``describe`` gives ``cls, n, others, sketch, tokens`` of the
+    classes that meet others in a bucket. Buckets of equal classes are compared once.
+    """
     same = [F.bit_xor(F.xxhash64("cls", F.lit(k))).alias(f"h{k}") for k in (1, 2)]
     sizes = postings.groupBy("token").agg(F.count("*").alias("m"), *same).where("m > 1")
     buckets = sizes.groupBy("m", "h1", "h2").agg(F.min("token").alias("token")).select("token", "m")
     members = checkpointed(postings.join(buckets, "token").withColumn("blocks", F.ceil(F.col("m") / BLOCK)))
-    needed = members.select("cls").distinct()
-    facts = checkpointed(full.join(needed, "cls", "left_semi").select("cls", "n", "others", "sketch", "tokens").dropDuplicates(["cls"]))
+    facts = checkpointed(describe(members.select("cls").distinct()))
     described = facts.select("cls", "n", "others", "sketch")
     home = F.pmod(F.xxhash64("cls"), "blocks")
     everywhere = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
@@ -356,7 +364,7 @@ def _links(full: DataFrame, percent: int) -> DataFrame | None:
         again = again.distinct()
         if again.isEmpty():
             return links
-        named = members.join(again, "token", "left_semi").join(components(links).withColumnRenamed("node", "cls"), "cls", "left")
+        named = members.join(again, "token", "left_semi").join(components(links, EDGES).withColumnRenamed("node", "cls"), "cls", "left")
         named = checkpointed(named.withColumn("grp", F.coalesce("component_id", "cls")).drop("component_id"))
         count = named.groupBy("token", "grp").agg(F.count("*").alias("k"))
         main = count.groupBy("token").agg(F.max_by("grp", F.struct("k", "grp")).alias("main"), F.count("*").alias("groups"))
@@ -369,7 +377,7 @@ def _links(full: DataFrame, percent: int) -> DataFrame | None:
 
 def _named(own: DataFrame, classes: DataFrame, edges: DataFrame) -> DataFrame:
     """Every row with the smallest id of its component."""
-    found = components(edges).withColumnRenamed("node", "cls").withColumnRenamed("component_id", "root")
+    found = components(edges, EDGES).withColumnRenamed("node", "cls").withColumnRenamed("component_id", "root")
     joined = classes.join(found, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = joined.groupBy("root").agg(F.min("least").alias("component"))
     named = joined.join(least, "root").select("cls", "component")
