@@ -186,7 +186,7 @@ def join_with_pauses(
 
     A pause of 50 to 150 ms, hashed from request and order, follows every piece but the last.
     Pieces keep their own rows (``first_sample`` is their place, ``pause`` the zeros after it), so a
-    request of any length is never held by one task; ``collect_audio`` joins short ones.
+    request of any length is never held by one task; ``audio_blocks`` joins them.
     """
     from corpusloom.operators.ordered import hash_int, with_ordered
 
@@ -201,16 +201,18 @@ def join_with_pauses(
     return placed.drop("_rn", "_n", "_size")
 
 
-def collect_audio(placed: DataFrame, request: str) -> DataFrame:
-    """One array per request, for requests that fit in a row."""
-    parts = F.array_sort(F.collect_list(F.struct("first_sample", "samples", "pause")))
-    zero = F.lit(0.0)
-    joined = F.flatten(
-        F.transform(
-            parts,
-            lambda p: F.concat(
-                p["samples"].cast("array<double>"), F.array_repeat(zero, p["pause"].cast("int"))
-            ),
-        )
-    )
-    return placed.groupBy(request).agg(joined.alias("samples"))
+def audio_blocks(placed: DataFrame, request: str, block: int = 1 << 20) -> DataFrame:
+    """The joined audio of each request in rows of ``block`` samples (the last may be shorter), numbered
+    from 0. No row is larger than a block or a piece, however long the request."""
+    end = F.col("first_sample") + F.size("samples") + F.col("pause")
+    first = F.expr(f"first_sample div {block}")
+    cut = placed.withColumn("_end", end).where(F.col("_end") > F.col("first_sample"))
+    cut = cut.select(request, "first_sample", "samples", "_end", F.explode(F.sequence(first, F.expr(f"(_end - 1) div {block}"))).alias("block_no"))
+    begin = F.greatest("first_sample", F.col("block_no") * block)
+    until = F.least("_end", (F.col("block_no") + 1) * block)
+    own = F.slice("samples", (begin - F.col("first_sample") + 1).cast("int"), F.greatest(until - begin, F.lit(0)).cast("int")).cast("array<double>")
+    parts = cut.select(request, "block_no", begin.alias("_at"), own.alias("_own"), (until - begin).cast("int").alias("_n"))
+    zeros = F.array_repeat(F.lit(0.0), F.col("_n") - F.size("_own"))
+    part = F.struct("_at", F.concat("_own", zeros).alias("_part"))
+    joined = F.flatten(F.transform(F.array_sort(F.collect_list(part)), lambda p: p["_part"]))
+    return parts.groupBy(request, "block_no").agg(joined.alias("samples"))

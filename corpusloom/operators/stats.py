@@ -3,13 +3,21 @@ per task; vectors are averaged by (key, position), never collected whole."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from corpusloom.functions.arrays import energy, l2_norm, total
+from corpusloom.functions.bind import running
 from corpusloom.operators.ordered import SPAN, with_halo, with_ordinal
 
+#: Rows that a task of ``nucleus_candidates`` keeps before it gives them out.
+HELD = 1 << 19
+
 
 def length_profile(df: DataFrame, order: str, first: int = 100) -> DataFrame:
     """Token and feature lengths over the first rows."""
@@ -242,26 +250,55 @@ def nucleus_candidates(
     """Candidates of each key: highest probabilities first, while the mass before an item is
     under ``top_p`` and at most ``top_k`` of them.
 
-    The softmax denominator is a partial aggregate and the rank filter is pushed below the
-    shuffle (window group limit), so a key never needs more than ``top_k`` rows in one place.
+    One scan and one exchange: every task keeps of a key its greatest logit, the sum of powers scaled by
+    it, and its ``top_k`` items; such parts are merged per key, so a key brings ``top_k`` items a task
+    to one place however many it has. Null logits take no part.
     """
-    tops = scores.groupBy(key).agg(F.max(logit).alias("_top"))
-    powers = scores.join(tops, key)
-    norms = powers.groupBy(key).agg(F.sum(F.exp(F.col(logit) - F.col("_top"))).alias("_norm"))
-    by_score = W.partitionBy(key).orderBy(F.col(logit).desc(), item)
-    head = scores.withColumn("rank", F.row_number().over(by_score)).filter(
-        F.col("rank") <= top_k
-    )
-    prob = F.exp(F.col(logit) - F.col("_top")) / F.col("_norm")
-    before = F.sum("prob").over(
-        W.partitionBy(key).orderBy("rank").rowsBetween(W.unboundedPreceding, -1)
+
+    def normed(sums: pd.DataFrame) -> pd.DataFrame:
+        top = sums.groupby("key", dropna=False)["top"].transform("max")
+        scaled = sums.assign(top=top, total=sums["total"] * np.exp(sums["top"] - top))
+        return scaled.groupby("key", dropna=False, as_index=False).agg(top=("top", "first"), total=("total", "sum"))
+
+    def first(rows: pd.DataFrame) -> pd.DataFrame:
+        ordered = rows.sort_values(["x", "item"], ascending=[False, True], kind="stable")
+        return ordered.groupby("key", dropna=False).head(top_k)
+
+    def parts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows, sums = None, None
+
+        def given() -> pd.DataFrame:
+            lists = rows.groupby("key", dropna=False).agg(xs=("x", list), items=("item", list))
+            return sums.merge(lists, left_on="key", right_index=True)
+
+        for f in frames:
+            own = normed(f.assign(top=f["x"], total=1.0)[["key", "top", "total"]])
+            rows = first(f if rows is None else pd.concat([rows, f]))
+            sums = own if sums is None else normed(pd.concat([sums, own]))
+            if len(rows) > HELD:  # very many keys: given out early, their parts are merged later
+                yield given()
+                rows, sums = None, None
+        if rows is not None:
+            yield given()
+
+    kinds = dict(scores.select(F.col(key).alias("key"), F.col(item).alias("item")).dtypes)
+    slim = scores.select(F.col(key).alias("key"), F.col(item).alias("item"), F.col(logit).cast("double").alias("x"))
+    schema = f"key {kinds['key']}, top double, total double, xs array<double>, items array<{kinds['item']}>"
+    part = F.struct("top", "total", F.zip_with("xs", "items", lambda x, i: F.struct((-x).alias("less"), i.alias("item"))).alias("head"))
+    merged = slim.where("x is not null").mapInPandas(parts, schema).groupBy("key").agg(F.collect_list(part).alias("parts"))
+
+    merged = merged.select(
+        "key", "parts", F.array_max("parts.top").alias("top"), F.slice(F.array_sort(F.flatten("parts.head")), 1, top_k).alias("head")
     )
-    return (
-        head.join(tops, key)
-        .join(norms, key)
-        .select(key, item, "rank", prob.alias("prob"))
-        .withColumn("mass_before", F.coalesce(before, F.lit(0.0)))
-        .filter(F.col("mass_before") < top_p)
+    norm = F.aggregate("parts", F.lit(0.0), lambda s, p: s + p["total"] * F.exp(p["top"] - F.col("top")))
+    merged = merged.withColumn("norm", norm)
+    merged = merged.select("key", "head", F.transform("head", lambda h: F.exp(-h["less"] - F.col("top")) / F.col("norm")).alias("probs"))
+    merged = merged.withColumn("mass", running(F.col("probs"), lambda x, y: x + y))
+    rows = merged.select(
+        "key", "mass", F.posexplode(F.arrays_zip("head", "probs")).alias("at", "c")
+    ).withColumn("mass_before", F.coalesce(F.get("mass", F.col("at") - 1), F.lit(0.0)))
+    return rows.where(F.col("mass_before") < top_p).select(
+        F.col("key").alias(key), F.col("c.head.item").alias(item), (F.col("at") + 1).alias("rank"), F.col("c.probs").alias("prob"), "mass_before"
     )
 
 

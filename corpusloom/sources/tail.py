@@ -9,18 +9,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
+from corpusloom.sources.files import hidden, opened
+
 SCHEMA = "file string, offset bigint, line string"
 #: Bytes of a file that one task reads, and bytes looked at or sent on at once.
 RANGE, BLOCK = 64 << 20, 1 << 16
 
 
-def opened(path: str) -> tuple[pa.fs.FileSystem, str]:
-    """The file system of a path or URI, and the path in it."""
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
-
-
 def whole_lines(source: pa.NativeFile, size: int, known: int) -> int:
     """Where the last whole line ends; looked for backwards, not beyond what is ``known`` to be whole."""
     at = size
@@ -65,7 +60,7 @@ class TailReader(DataSourceStreamReader):
         else:
             found = [info]
         for file in found:
-            if file.type != fs.FileType.File or file.base_name.startswith((".", "_")):
+            if file.type != fs.FileType.File or hidden(file.path, base):
                 continue
             known = self.known.get(file.path, 0)
             if file.size > known:

@@ -285,13 +285,15 @@ def join_with_pauses(t):
     return placed(t).select("request", "vec_id", "pause", "first_sample")
 
 
-@query(PAUSES + f"""
-SELECT request, {sql_csv('flatten(list(embedding || list_transform(range(pause), lambda i: 0) ORDER BY first_sample))', 1000)} AS samples
-FROM a JOIN embeddings USING (vec_id) GROUP BY request
+@query(PAUSES + f""",
+j AS (SELECT request, flatten(list(embedding || list_transform(range(pause), lambda i: 0) ORDER BY first_sample)) AS x
+  FROM a JOIN embeddings USING (vec_id) GROUP BY request),
+b AS (SELECT request, unnest(range((len(x) + 255) // 256)) AS block_no, x FROM j)
+SELECT request, block_no, {sql_csv('x[block_no * 256 + 1:block_no * 256 + 256]', 1000)} AS samples FROM b
 """)
 def assemble_pieces(t):
-    out = G.collect_audio(placed(t), "request")
-    return out.select("request", csv(F.col("samples"), 1000).alias("samples"))
+    out = G.audio_blocks(placed(t), "request", 256)
+    return out.select("request", "block_no", csv(F.col("samples"), 1000).alias("samples"))
 
 
 @query("""

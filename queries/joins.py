@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusloom.functions.markers import marker_names, marker_vocabulary
+from corpusloom.functions.markers import marker_names, marker_vocabulary, syllable_phones
 from corpusloom.functions.text import WHITESPACE
 from corpusloom.operators import catalogue as C
 from corpusloom.operators import joins as J
+from corpusloom.session import shared_dir
 from queries import query
 from queries.sqltext import words_list
 from queries.stats import csv, sql_csv
+from queries.texts import HAN, LATIN, mixed
 
 
 @query(f"""
@@ -63,29 +65,49 @@ HASH = "CAST('0x' || substr(md5(doc_id || '|{0}|42'), 1, 8) AS BIGINT)"
 MARKERS = words_list(marker_names())
 
 
+#: Characters of the mixed texts with their syllables, and the phones these have.
+SYLLABLES = {"中": "zhong1", "文": "wen2", "音": "yin1", "频": "pin2", "道": "dao4"}
+ZH_PHONES = {"中": "[zh][ōng]", "文": "[w][én]", "音": "[y][īn]", "频": "[p][ín]", "道": "[d][ào]"}
+ZH_MAP = "MAP {" + ", ".join(f"'{c}': ' {p} '" for c, p in ZH_PHONES.items()) + "}"
+
+
+def swapped(source, pattern, least, rep):
+    """SQL of two picked matches of a pattern in ``source (doc_id, text)`` replaced by ``rep``'s."""
+    return f"""
+d AS (SELECT doc_id, text, regexp_extract_all(text, '{pattern}') AS f, string_split_regex(text, '{pattern}') AS g FROM {source}),
+p AS (SELECT *, CASE WHEN len(f) >= {least} THEN {HASH.format('a')} % len(f) END AS one,
+  CASE WHEN len(f) >= 2 THEN {HASH.format('b')} % (len(f) - 1) END AS other FROM d),
+q AS (SELECT *, other + CASE WHEN other >= one THEN 1 ELSE 0 END AS two FROM p),
+{rep}
+SELECT doc_id, r1 IS NOT NULL OR r2 IS NOT NULL AS changed, CASE WHEN r1 IS NULL AND r2 IS NULL THEN text
+  ELSE array_to_string(list_transform(range(len(g)), lambda i: g[i + 1] || CASE WHEN i = one AND r1 IS NOT NULL THEN r1
+  WHEN i = two AND r2 IS NOT NULL THEN r2 ELSE coalesce(f[i + 1], '') END), '') END AS text FROM j"""
+
+
+EN_REP = """j AS (SELECT q.*, r1.r AS r1, r2.r AS r2 FROM q LEFT JOIN rep r1 ON r1.w = lower(f[one + 1])
+  LEFT JOIN rep r2 ON r2.w = lower(f[two + 1]))"""
+ZH_REP = f"j AS (SELECT q.*, {ZH_MAP}[f[one + 1]] AS r1, {ZH_MAP}[f[two + 1]] AS r2 FROM q)"
+
+
 @query(f"""
-WITH lex AS (SELECT DISTINCT lower(unnest(regexp_extract_all(text, '[A-Za-z]+(?:''[A-Za-z]+)?'))) AS w FROM benchmark),
+WITH mixed AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN translate(text, '{LATIN}', '{HAN}') ELSE text END AS text FROM documents),
+lex AS (SELECT DISTINCT lower(unnest(regexp_extract_all(text, '[A-Za-z]+(?:''[A-Za-z]+)?'))) AS w FROM benchmark),
 ph AS (SELECT w, list_filter(list_transform(string_split(upper(w), ''), lambda c: '[' || c || ']'),
   lambda m: list_contains({MARKERS}, m)) AS m FROM lex),
 rep AS (SELECT w, ' ' || array_to_string(m, '') || ' ' AS r FROM ph WHERE len(m) > 0),
-d AS (SELECT doc_id, text, regexp_extract_all(text, '[A-Za-z]+(?:''[A-Za-z]+)?') AS f,
-  string_split_regex(text, '[A-Za-z]+(?:''[A-Za-z]+)?') AS g FROM documents),
-p AS (SELECT *, CASE WHEN len(f) >= 1 THEN {HASH.format('a')} % len(f) END AS one,
-  CASE WHEN len(f) >= 2 THEN {HASH.format('b')} % (len(f) - 1) END AS other FROM d),
-q AS (SELECT *, other + CASE WHEN other >= one THEN 1 ELSE 0 END AS two FROM p),
-j AS (SELECT q.*, r1.r AS r1, r2.r AS r2 FROM q LEFT JOIN rep r1 ON r1.w = lower(f[one + 1])
-  LEFT JOIN rep r2 ON r2.w = lower(f[two + 1]))
-SELECT doc_id, CASE WHEN r1 IS NULL AND r2 IS NULL THEN text ELSE array_to_string(list_transform(range(len(g)), lambda i:
-  g[i + 1] || CASE WHEN i = one AND r1 IS NOT NULL THEN r1 WHEN i = two AND r2 IS NOT NULL THEN r2
-    ELSE coalesce(f[i + 1], '') END), '') END AS text FROM j
+en AS (WITH {swapped("mixed", "[A-Za-z]+(?:''[A-Za-z]+)?", 1, EN_REP)}),
+rest AS (SELECT doc_id, text FROM en WHERE NOT changed),
+zh AS (WITH {swapped("rest", "[一-鿿]", 2, ZH_REP)})
+SELECT doc_id, text FROM en WHERE changed UNION ALL SELECT doc_id, text FROM zh
 """)
 def phone_substitution(t):
     words = F.explode(F.regexp_extract_all("text", F.lit(J.EN_WORD), F.lit(0)))
     lexicon = t.benchmark.select(words.alias("word")).select(F.lower("word").alias("word")).distinct()
     lexicon = lexicon.withColumn("phones", F.split(F.upper("word"), ""))
-    out = J.phone_substitution(
-        t.texts("doc_id", "text"), lexicon, marker_vocabulary(t.spark), "doc_id"
-    )
+    syllables = t.spark.createDataFrame(list(SYLLABLES.items()), "word string, syllable string")
+    zh_lexicon = syllables.select("word", syllable_phones(F.col("syllable")).alias("phones"))
+    texts = mixed(t).select("doc_id", "text")
+    out = J.phone_substitution(texts, lexicon, marker_vocabulary(t.spark), "doc_id", zh_lexicon=zh_lexicon)
     return out.select("doc_id", "text")
 
 
@@ -107,8 +129,27 @@ def pair_preferences(t):
 SELECT lang, source, text FROM documents UNION ALL SELECT role AS lang, 'chat' AS source, text FROM conversations
 """)
 def merge_datasets(t):
-    chat = t.conversations.withColumn("lang", F.col("role")).withColumn("source", F.lit("chat"))
-    return C.merge_datasets([t.documents, chat.drop("role")])
+    """Documents stored in two splits, conversations without any, and a folder that cannot be read."""
+    return C.merge_stored(t.spark, stored(t))[0]
+
+
+def stored(t):
+    base = shared_dir(t.spark)
+    for split, part in (("train", "doc_id % 5 <> 0"), ("test", "doc_id % 5 = 0")):
+        t.documents.where(part).write.parquet(f"{base}/documents/{split}")
+    chat = t.conversations.withColumns({"lang": F.col("role"), "source": F.lit("chat")}).drop("role")
+    chat.write.parquet(f"{base}/chat")
+    t.benchmark.select("text").write.text(f"{base}/broken")
+    return [f"{base}/{name}" for name in ("documents", "chat", "broken", "nowhere")]
+
+
+@query("""
+SELECT 'documents' AS folder, 2 AS splits, count(*) AS "rows", true AS readable FROM documents UNION ALL
+SELECT 'chat', 1, count(*), true FROM conversations UNION ALL SELECT 'broken', 1, 0, false UNION ALL SELECT 'nowhere', 1, 0, false
+""")
+def merge_report(t):
+    report = C.merge_stored(t.spark, stored(t))[1]
+    return report.select(F.substring_index("folder", "/", -1).alias("folder"), "splits", "rows", F.col("error").isNull().alias("readable"))
 
 
 @query("SELECT doc_id, text FROM documents UNION ALL SELECT item_id, text FROM benchmark")

@@ -85,6 +85,31 @@ def read_shards(t):
     )
 
 
+def shards(t):
+    """A shard per language, one that is no parquet, one that is not there."""
+    base = shared_dir(t.spark)
+    t.documents.select("doc_id", F.col("lang").alias("part"), "n_chars").write.partitionBy("part").parquet(f"{base}/shards")
+    t.benchmark.select("text").coalesce(1).write.text(f"{base}/broken")
+    parts = [r.part for r in t.documents.select(F.col("lang").alias("part")).distinct().collect()]
+    return [*[f"{base}/shards/part={p}" for p in parts], f"{base}/broken", f"{base}/nowhere"]
+
+
+@query("SELECT doc_id, lang FROM documents")
+def read_reported(t):
+    rows, _ = S.read_reported(t.spark, shards(t))
+    return rows.select("doc_id", F.regexp_extract("src", "part=([^/]+)/", 1).alias("lang"))
+
+
+@query("""
+SELECT lang AS shard, count(*) AS "rows", true AS readable FROM documents GROUP BY 1 UNION ALL
+SELECT 'broken', 0, false UNION ALL SELECT 'nowhere', 0, false
+""")
+def shard_report(t):
+    _, report = S.read_reported(t.spark, shards(t))
+    found = report.groupBy(F.regexp_extract("path", "([^/=]+)$", 1).alias("shard"))
+    return found.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), (F.count("error") == 0).alias("readable"))
+
+
 @query("""
 SELECT doc_id AS utt, source, turn AS tts_index, c.text AS tts_text FROM documents JOIN conversations c ON conv_id = doc_id
 """)

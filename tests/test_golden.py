@@ -264,3 +264,18 @@ def test_chinese_phones(spark):
     marks = spark.createDataFrame([("[n]",), ("[W]",), ("[N]",)], "marker string")
     got = {r.id: r.text for r in joins.phone_substitution(text, en, marks, "id", zh_lexicon=zh).collect()}
     assert got[1].count(" [n] ") == 2 and got[2] == " [W][N]  你好" and got[3] == "你"
+
+
+def test_syllables_split_into_initial_and_toned_final(spark):
+    from corpusloom.functions.markers import marker_names, syllable_phones
+
+    want = {
+        "zhong1": ["zh", "ōng"], "wen2": ["w", "én"], "er2": ["ér"], "xiong2": ["x", "ióng"], "liu4": ["l", "iù"], "gui4": ["g", "uì"],
+        "Lü4": ["l", "ǜ"], "lve4": ["l", "vè"], "hao3": ["h", "ǎo"], "zou3": ["z", "ǒu"], "duo1": ["d", "uō"], "ma5": ["m", "a"], "a": ["a"],
+        "shi0": ["sh", "i"], "jiang3": ["j", "iǎng"], "n2": ["n"], "": [], "中": [],
+    }
+    rows = spark.createDataFrame([*[(s,) for s in want], (None,)], "s string").select("s", syllable_phones(F.col("s")).alias("p")).collect()
+    assert {r.s: r.p for r in rows if r.s is not None} == want
+    names = marker_names()
+    assert len(names) == len(set(names)) and {"[zh]", "[iòng]", "[ér]", "[ǘ]", "[ZH]", "[AA2]", "[mn]"} <= set(names)
+    assert not {"[ēr]", "[ǖ]", "[vé]"} & set(names)

@@ -8,7 +8,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.operators import segments
+from corpusloom.operators import catalogue, segments
 from corpusloom.sources import media, tables, tail
 from corpusloom.streaming import jobs, tokens
 
@@ -258,3 +258,58 @@ def test_late_rows_are_told(spark, tmp_path):
     live = jobs.match_with_timeout(jobs.stream_table(spark, str(tmp_path / "q"), schema, 1), ends, late="10 seconds")
     with pytest.raises(ValueError, match="later than the watermark"):
         jobs.run_available(live)
+
+
+def test_unreadable_files_are_told(spark, tmp_path):
+    """Footers of good, broken, empty and missing shards; a file whose pages are broken shows as a shortfall."""
+    good = spark.range(10).select("id", F.lit("a b%").alias("odd name"))
+    good.repartition(2).write.parquet(f"{tmp_path}/good one")
+    spark.range(5).select("id", F.lit(1).alias("more")).coalesce(1).write.parquet(f"{tmp_path}/other")
+    touch(tmp_path / "bad" / "part-0.parquet", "not parquet at all")
+    touch(tmp_path / "bad" / "_hidden", "passed over")
+    (tmp_path / "empty").mkdir()
+    paths = [f"{tmp_path}/{n}" for n in ("good one", "bad", "empty", "nowhere")] + [f"file:{tmp_path}/other"]
+    rows, report = tables.read_reported(spark, paths)
+    told = {}
+    for r in report.collect():
+        told.setdefault(r.path.rsplit("/", 1)[1], []).append((r.rows, r.error is None))
+    assert sum(n for n, fine in told.pop("good one") if fine) == 10
+    assert told == {"bad": [(None, False)], "empty": [(None, False)], "nowhere": [(None, False)], "other": [(5, True)]}
+    assert rows.count() == 15 and set(rows.columns) == {"id", "odd name", "more", "src"}
+    short = {r.file.rsplit("/", 1)[1]: r.rows_read for r in tables.shortfall(rows, report).collect()}
+    assert short == {"part-0.parquet": 0, "empty": 0, "nowhere": 0}
+    part = next((tmp_path / "other").glob("part-*.parquet"))
+    body = bytearray(part.read_bytes())
+    body[4:40] = b"\0" * 36
+    part.write_bytes(body)
+    next((tmp_path / "other").glob(".part-*.crc")).unlink()
+    rows, report = tables.read_reported(spark, paths)
+    assert (part.name, 5, 0) in {(r.file.rsplit("/", 1)[1], r.rows, r.rows_read) for r in tables.shortfall(rows, report).collect()}
+    with pytest.raises(ValueError, match="no shard"):
+        tables.read_reported(spark, [f"{tmp_path}/bad"])
+
+
+def test_stored_datasets_are_flattened(spark, tmp_path):
+    ids = spark.range(12)
+    ids.where("id < 8").withColumn("text", F.lit("x")).write.parquet(f"{tmp_path}/split/train")
+    ids.where("id >= 8").withColumn("text", F.lit("y")).write.parquet(f"{tmp_path}/split/test")
+    ids.selectExpr("id + 100 as id", "'z' as text", "id % 2 as k", "1 as extra").write.partitionBy("k").parquet(f"{tmp_path}/parted")
+    ids.write.parquet(f"{tmp_path}/half")
+    touch(tmp_path / "half" / "part-broken.parquet", "no")
+    merged, report = catalogue.merge_stored(spark, [f"{tmp_path}/{n}" for n in ("split/", "parted", "half", "nowhere")])
+    assert merged.columns == ["id", "text"]
+    assert sorted(map(tuple, merged.collect())) == sorted([(i, "x" if i < 8 else "y") for i in range(12)] + [(100 + i, "z") for i in range(12)])
+    told = {r.folder.rsplit("/", 1)[1]: (r.splits, r.rows, r.error is None) for r in report.collect()}
+    assert told == {"split": (2, 12, True), "parted": (1, 12, True), "half": (1, 12, False), "nowhere": (1, 0, False)}
+    with pytest.raises(ValueError, match="no dataset"):
+        catalogue.merge_stored(spark, [f"{tmp_path}/half"])
+
+
+def test_audio_comes_in_blocks(spark):
+    rows = [("r", 0, [1.0] * 7, 3), ("r", 10, [], 5), ("r", 15, [2.0] * 4, 0), ("s", 0, [3.0], 0), ("none", 0, [], 0)]
+    placed = spark.createDataFrame(rows, "request string, first_sample bigint, samples array<double>, pause bigint")
+    whole = [1.0] * 7 + [0.0] * 8 + [2.0] * 4
+    for block in (1, 4, 6, 100):
+        got = segments.audio_blocks(placed, "request", block).orderBy("request", "block_no").collect()
+        want = [("r", b, whole[b * block : (b + 1) * block]) for b in range(-(-len(whole) // block))] + [("s", 0, [3.0])]
+        assert [tuple(r) for r in got] == want

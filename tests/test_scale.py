@@ -376,3 +376,29 @@ def test_brackets_without_a_stack(spark):
     assert "Python" not in parsed._jdf.queryExecution().toString()
     for r in parsed.collect():
         assert (None if r.s is None else [tuple(x) for x in r.s]) == (None if texts[r.i] is None else stacked(texts[r.i])), texts[r.i]
+
+
+@pytest.mark.parametrize("held", [10, 1 << 19])
+def test_nucleus_of_a_hot_key(spark, monkeypatch, held):
+    """Parts of a key from many tasks, ties, null keys and logits, logits that overflow a power."""
+    import math
+
+    monkeypatch.setattr(stats, "HELD", held)
+    rng = random.Random(11)
+    rows = [(rng.choice(["hot", "hot", "a", None]), i, rng.choice([None, float(rng.randrange(4)), 900.0 + rng.randrange(3)])) for i in range(3000)]
+    df = spark.createDataFrame(rows, "key string, item int, x double").repartition(7)
+    got = {}
+    for r in stats.nucleus_candidates(df, "key", "item", "x", 0.8, 25).collect():
+        got.setdefault(r.key, []).append((r.rank, r.item, r.prob, r.mass_before))
+    for key in {k for k, _, _ in rows}:
+        own = sorted(((x, i) for k, i, x in rows if k == key and x is not None), key=lambda r: (-r[0], r[1]))
+        norm = math.fsum(math.exp(x - own[0][0]) for x, _ in own)
+        before, want = 0.0, []
+        for rank, (x, i) in enumerate(own[:25], 1):
+            if before >= 0.8:
+                break
+            prob = math.exp(x - own[0][0]) / norm
+            want.append((rank, i, prob, before))
+            before += prob
+        assert [r[:2] for r in sorted(got[key])] == [w[:2] for w in want]
+        assert all(abs(a - b) < 1e-9 for r, w in zip(sorted(got[key]), want) for a, b in zip(r[2:], w[2:]))
