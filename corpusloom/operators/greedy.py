@@ -26,6 +26,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,6 +35,8 @@ from corpusloom.operators.ordered import with_ordinal
 
 SPAN = 1 << 18
 FAN = 1 << 10
+#: Rows that a rule looks at first for the end of a group; twice as many each time it is not there.
+AHEAD = 32
 
 
 class PaddedBudget:
@@ -50,6 +53,12 @@ class PaddedBudget:
         rows, longest = state[0] + 1, max(state[1], row[0])
         return None if longest * rows > self.budget else (rows, float(longest))
 
+    def grown(self, state, columns, at, stop):
+        """Whether each of some rows can't join any more, and the states if they do."""
+        rows = state[0] + np.arange(1, stop - at + 1)
+        longest = np.fmax(np.fmax.accumulate(columns[0][at:stop]), state[1])
+        return longest * rows > self.budget, rows, longest
+
 
 class ShortSegments:
     """Append a short segment to the open one while the two durations stay under a limit."""
@@ -66,31 +75,48 @@ class ShortSegments:
             return None
         return (state[0], float(row[1]))
 
-
-def _rows(pdf: pd.DataFrame, order: str, fields: list[str]) -> list[tuple]:
-    pdf.sort_values(order, inplace=True)
-    return list(zip(*[pdf[f].tolist() for f in fields]))
+    def grown(self, state, columns, at, stop):
+        start, end = columns[0][at:stop], columns[1][at:stop]
+        length, before = end - start, np.concatenate([[state[1]], end[:-1]])
+        return (length >= self.short) | ((before - state[0]) + length >= self.limit), np.full(stop - at, state[0]), end
 
 
-def _run(rows: list[tuple], rule, state, at: int) -> tuple[int, tuple]:
-    """Advance an open group from row ``at``; returns the cut position and the last state."""
-    while at < len(rows):
-        grown = rule.add(state, rows[at])
+def _run(lines: list[tuple], rule, state, at: int) -> tuple[int, tuple]:
+    """Advance an open group from line ``at``; returns the cut position and the last state."""
+    while at < len(lines):
+        grown = rule.add(state, lines[at])
         if grown is None:
             return at, state
         state, at = grown, at + 1
     return at, state
 
 
-def _leave(rows: list[tuple], rule, start: int, known: dict) -> tuple[tuple, int]:
+def _gallop(columns: list[np.ndarray], rule, state, at: int, end: int) -> tuple[int, tuple]:
+    """The same on arrays, for rows ``at`` to ``end``: running values of ever more rows at once."""
+    ahead = AHEAD
+    while at < end:
+        stop = min(at + ahead, end)
+        over, *states = rule.grown(state, columns, at, stop)
+        cut = int(over.argmax())
+        whole = not over[cut]
+        last = stop - at - 1 if whole else cut - 1
+        if last >= 0:
+            state = tuple(float(s[last]) for s in states)
+        if not whole:
+            return at + cut, state
+        at, ahead = stop, 2 * ahead
+    return end, state
+
+
+def _leave(columns: list[np.ndarray], rule, start: int, known: dict) -> tuple[tuple, int]:
     """State at the end of the chunk, and later cuts in it, if ``start`` opens a group."""
-    trail = []
+    trail, n = [], len(columns[0])
     while start not in known:
         trail.append(start)
-        cut, state = _run(rows, rule, rule.open(rows[start]), start + 1)
-        if cut == len(rows):
+        cut, state = _gallop(columns, rule, rule.open([c[start] for c in columns]), start + 1, n)
+        if cut == n:
             known[start] = (state, 0)
-        start = cut if cut < len(rows) else start
+        start = cut if cut < n else start
     for s in reversed(trail):
         if s not in known:
             state, cuts = known[start]
@@ -165,7 +191,7 @@ def greedy_groups(
     ``order``: columns, unique inside a key, the first of them an integer. A key's first chunk is
     entered without a group; what enters a later chunk comes from the summaries of those before,
     so a key of one chunk has nothing to summarise. The numbering pass streams over sorted rows and
-    keeps only the open group's state.
+    keeps only the open group's state; rules look at rows in arrays, ever more until a group ends.
     """
     by = [order] if isinstance(order, str) else order
     kept = list(dict.fromkeys([*by, *fields]))
@@ -179,13 +205,14 @@ def greedy_groups(
     entry_columns = [*keys, "_cut", "_open", "_e0", "_e1", "_number"]
 
     def summarise(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = _rows(pdf, "_rn", fields)
-        first_cut, _ = _run(rows, rule, rule.open(rows[0]), 1)
+        pdf.sort_values("_rn", inplace=True)
+        columns = [pdf[f].to_numpy() for f in fields]
+        first_cut, _ = _gallop(columns, rule, rule.open([c[0] for c in columns]), 1, len(pdf))
         known: dict = {}
         out = []
-        for at in range(min(first_cut + 1, len(rows))):
-            state, cuts = _leave(rows, rule, at, known)
-            out.append((*group, at, *rows[at], *state, cuts))
+        for at in range(min(first_cut + 1, len(pdf))):
+            state, cuts = _leave(columns, rule, at, known)
+            out.append((*group, at, *[c[at] for c in columns], *state, cuts))
         return pd.DataFrame(out, columns=summary_columns)
 
     def lines_of(pdf: pd.DataFrame) -> list[tuple]:
@@ -222,22 +249,24 @@ def greedy_groups(
     def number_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, state, number = None, None, -1
         for pdf in frames:
-            lines = zip(
-                zip(*[pdf[c].tolist() for c in place]),
-                zip(*[pdf[c].tolist() for c in fields]),
-                zip(*[pdf[c].tolist() for c in ("_open", "_e0", "_e1", "_number")]),
-            )
-            ids = []
-            for here, row, entry in lines:
+            columns = [pdf[f].to_numpy() for f in fields]
+            parts = pdf.groupby(place, sort=False, dropna=False).ngroup().to_numpy()
+            bounds = [0, *(np.flatnonzero(parts[1:] != parts[:-1]) + 1).tolist(), len(pdf)]
+            ids = np.empty(len(pdf), np.int64)
+            for at, end in zip(bounds, bounds[1:]) if len(pdf) else []:
+                here = tuple(None if pd.isna(x) else x for x in pdf[place].iloc[at])
                 if here != current:
-                    current, number = here, entry[3]
-                    state = entry[1:3] if entry[0] else None
-                grown = rule.add(state, row) if state is not None else None
-                if grown is None:
-                    state, number = rule.open(row), number + 1
-                else:
-                    state = grown
-                ids.append(number)
+                    current, entry = here, pdf[["_open", "_e0", "_e1", "_number"]].iloc[at]
+                    state, number = (entry["_e0"], entry["_e1"]) if entry["_open"] else None, int(entry["_number"])
+                while at < end:
+                    if state is not None:
+                        cut, state = _gallop(columns, rule, state, at, end)
+                        ids[at:cut] = number
+                        at = cut
+                    if at < end:
+                        state, number = rule.open([c[at] for c in columns]), number + 1
+                        ids[at] = number
+                        at += 1
             yield pdf[[*keys, *kept]].assign(**{name: ids})
 
     place = [*keys, "_cut"]

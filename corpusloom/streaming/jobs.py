@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,7 +50,7 @@ def match_with_timeout(requests: DataFrame, results: DataFrame, late: str, secon
     Stream-stream left outer join: the time bound and the watermarks let Spark drop the state of
     requests that can no longer be answered. ``late``: how far behind the newest row of its stream a
     row may come; ``run_available`` fails if one came later still, so none is lost in silence.
-    A request still waiting when a stream ends is given out when ``closed`` ends the streams.
+    A request still waiting when a stream ends is given out when ``replay`` closes the streams.
     Works on batch tables too.
     """
     asked = requests.withWatermark("asked_at", late)
@@ -66,18 +67,35 @@ def match_with_timeout(requests: DataFrame, results: DataFrame, late: str, secon
     return matched.select(*requests.columns, "duration", "answered_at", code)
 
 
-def closed(stream: DataFrame, time: str, key: str = "id", at: str = "2200-01-01 00:00:00") -> DataFrame:
-    """The stream with a closing row, whose ``time`` lies beyond all others: it moves the watermark
-    over everything that waits once the rows read with it are done. It is for stored streams that
-    one micro-batch reads as a whole. Its ``key`` is a negative number that no other row has (a null
-    would be filtered out before the watermark), all else is null; it is never given out.
+def replay(
+    tables: list[tuple[DataFrame, str]], run: Callable[..., DataFrame], batches: int = 4, key: str = "id", after: str = "1 day"
+) -> DataFrame:
+    """All rows of ``run`` over stored tables that come as streams, in order of time.
+
+    ``tables``: each with its time column. Every batch appends the rows up to the next quantile of the
+    times and runs the query on from its checkpoint, so no micro-batch holds the whole history; null
+    times come first. At last a row of its own closes each stream: its time, ``after`` the latest of all,
+    moves the watermark over everything that waits. Its ``key`` is a negative number that no other row has
+    (a null would be filtered out before the watermark), all else is null; it is never given out.
     """
-    spark = stream.sparkSession
-    path = f"{shared_dir(spark)}/closing"
-    given = {time: at, key: -(uuid.uuid4().int >> 66)}
-    row = [F.lit(given.get(f.name)).cast(f.dataType).alias(f.name) for f in stream.schema]
-    spark.range(1).select(*row).write.parquet(path)
-    return stream.unionByName(stream_table(spark, path, stream.schema, None))
+    spark = tables[0][0].sparkSession
+    base = shared_dir(spark)
+    times = reduce(DataFrame.union, [df.select(F.unix_micros(F.col(time).cast("timestamp")).alias("t")) for df, time in tables])
+    shares = F.array(*[F.lit(i / batches) for i in range(1, batches)])
+    end = F.max(F.timestamp_micros("t")) + F.expr(f"interval {after}")
+    bounds, end = times.agg(F.percentile_approx("t", shares), F.unix_micros(F.coalesce(end, F.current_timestamp()))).first()
+    place = lambda t: F.coalesce(sum((F.unix_micros(t.cast("timestamp")) >= b).cast("int") for b in bounds or []), F.lit(0))
+    for batch in range(batches + 1):
+        for i, (df, time) in enumerate(tables):
+            if batch < batches:
+                part = df.where(place(F.col(time)) == batch)
+            else:
+                given = {time: F.timestamp_micros(F.lit(end)), key: F.lit(-(uuid.uuid4().int >> 66))}
+                part = spark.range(1).select(*[given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in df.schema])
+            part.write.mode("append").parquet(f"{base}/in{i}")
+        streams = [stream_table(spark, f"{base}/in{i}", df.schema, None) for i, (df, _) in enumerate(tables)]
+        out = run_available(run(*streams), checkpoint=f"{base}/checkpoint", out=f"{base}/out")
+    return out
 
 
 @contextmanager

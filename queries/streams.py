@@ -69,21 +69,13 @@ SELECT event_id AS id, user_id, CASE WHEN event_id % 3 <> 0 AND event_id % 120 <
   CASE WHEN event_id % 3 <> 0 AND event_id % 120 <= 60 THEN 200 ELSE 408 END AS code FROM events
 """)
 def match_with_timeout(t):
-    """Stored history, in files that need not be in order of time: one micro-batch reads both streams
-    to their ends, and closing rows let the requests that still wait time out."""
-    asked = events(t, None).select(F.col("event_id").alias("id"), "user_id", F.col("ts").cast("timestamp").alias("asked_at"))
+    """Stored history streamed in order of time, whatever the order of its files."""
+    asked = t.events.select(F.col("event_id").alias("id"), "user_id", F.col("ts").cast("timestamp").alias("asked_at"))
     delay = F.make_dt_interval(secs=(F.col("event_id") % 120).cast("decimal(18,6)"))
-    answers = (
-        events(t, None)
-        .filter("event_id % 3 <> 0")
-        .select(
-            F.col("event_id").alias("id"),
-            F.col("value").alias("duration"),
-            (F.col("ts").cast("timestamp") + delay).alias("answered_at"),
-        )
-    )
-    matched = J.match_with_timeout(J.closed(asked, "asked_at"), J.closed(answers, "answered_at"), late="10 seconds")
-    return J.run_available(matched).select("id", "user_id", "duration", "code")
+    answered = (F.col("ts").cast("timestamp") + delay).alias("answered_at")
+    answers = t.events.filter("event_id % 3 <> 0").select(F.col("event_id").alias("id"), F.col("value").alias("duration"), answered)
+    matched = J.replay([(asked, "asked_at"), (answers, "answered_at")], lambda q, a: J.match_with_timeout(q, a, late="10 seconds"))
+    return matched.select("id", "user_id", "duration", "code")
 
 
 @query("""

@@ -199,6 +199,19 @@ def test_pool_takes_few_rows_of_a_shard(spark):
         assert len(kept) <= 5 * 4 and kept[-5:] == all_[-5:]
 
 
+def test_replay_waits_for_no_one(spark):
+    """Times far apart, after 2200 and null, a table without rows: every request comes out once."""
+    times = ["1999-01-01 00:00:00", "2024-01-01 00:00:00", "2024-01-01 00:00:30", "2300-01-01 00:00:00", None]
+    asked = spark.createDataFrame([(i, x) for i, x in enumerate(times)], "id bigint, x string").selectExpr("id", "cast(x as timestamp) as asked_at")
+    answers = spark.createDataFrame([(1, 2.0, "2024-01-01 00:00:59"), (3, 3.0, "2300-01-01 00:02:00")], "id bigint, duration double, x string")
+    answers = answers.selectExpr("id", "duration", "cast(x as timestamp) as answered_at")
+    match = lambda q, a: jobs.match_with_timeout(q, a, late="10 seconds")
+    got = jobs.replay([(asked, "asked_at"), (answers, "answered_at")], match, 3).collect()
+    assert sorted((r.id, r.code) for r in got if r.id != 4) == [(0, 408), (1, 200), (2, 408), (3, 408)]
+    got = jobs.replay([(asked.where("id = 0"), "asked_at"), (answers.limit(0), "answered_at")], match, 2).collect()
+    assert [(r.id, r.code) for r in got] == [(0, 408)]
+
+
 def test_requests_time_out(spark, tmp_path):
     base = "timestamp'2024-01-01 00:00:00'"
     asked = spark.range(40).select(
@@ -254,7 +267,8 @@ def test_late_rows_are_told(spark, tmp_path):
     answers = spark.range(1).select("id", F.lit(1.5).alias("duration"), F.expr(base).alias("answered_at"))
     answers.coalesce(1).write.parquet(str(tmp_path / "a"))
     schema = spark.read.parquet(str(tmp_path / "q")).schema
-    ends = jobs.closed(jobs.stream_table(spark, str(tmp_path / "a"), answers.schema, None), "answered_at")
+    ends = jobs.stream_table(spark, str(tmp_path / "a"), answers.schema, None)
+    spark.range(1).select((-F.col("id") - 5).alias("id"), F.lit(None).cast("double").alias("duration"), F.expr(f"{base} + interval 1 year").alias("answered_at")).write.mode("append").parquet(str(tmp_path / "a"))
     live = jobs.match_with_timeout(jobs.stream_table(spark, str(tmp_path / "q"), schema, 1), ends, late="10 seconds")
     with pytest.raises(ValueError, match="later than the watermark"):
         jobs.run_available(live)
