@@ -210,13 +210,18 @@ def pad_sequences(
         top = F.max(F.size(c)).over(inside)
         longest[f"_{c}"] = round_up_length(top, halvings[c]) if c in halvings else top
     out = df.withColumns({f"{c}_len": F.size(c) for c in columns}).withColumns(longest)
+    return pad_to(out, columns)
+
+
+def pad_to(df: DataFrame, columns: dict[str, object]) -> DataFrame:
+    """Pad each array column to the length in its column of the same name after ``_``, which goes."""
     types = {f.name: f.dataType for f in df.schema}
     padded = {}
     for c, v in columns.items():
         filler = v if isinstance(v, Column) else F.lit(v).cast(types[c].elementType)
         missing = (F.col(f"_{c}") - F.size(c)).cast("int")
         padded[c] = F.concat(F.col(c), F.array_repeat(filler, missing))
-    return out.withColumns(padded).drop(*longest)
+    return df.withColumns(padded).drop(*[f"_{c}" for c in columns])
 
 
 def choose_batch_columns(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from corpusloom.functions import arrays as A
 from corpusloom.functions.text import char_length
@@ -62,14 +63,21 @@ def pad_batches(
 ) -> DataFrame:
     """Length sort, batch and pad: the last stages before training.
 
-    One row per sample with ``batch_no`` and ``in_batch``; ``collate`` makes one row per batch.
+    One row per sample with ``batch_no`` and ``in_batch``; ``collate`` makes one row per batch. All stages
+    see keys and lengths only; the arrays are shuffled once, by the join that pads them.
     """
-    sorted_rows = B.length_bucket_sort(df, shard, order, length, sort_size)
+    sizes = {f"{c}_len": F.size(c) for c in columns}
+    slim = df.select(F.col(shard), F.col(order), F.col(length), *[n.alias(c) for c, n in sizes.items()])
+    batched = B.length_bucket_sort(slim, shard, order, length, sort_size)
     if kind == "dynamic":
         options["length"] = length
-    batched = B.make_batches(sorted_rows, kind, shard, "pos", **options)
-    padded = B.pad_sequences(batched, [shard, "batch_no"], columns)
-    return B.pad_sort_order(padded, [shard, "batch_no"], length, "pos")
+    batched = B.make_batches(batched, kind, shard, "pos", **options)
+    placed = B.pad_sort_order(batched, [shard, "batch_no"], length, "pos")
+    inside = W.partitionBy(shard, "batch_no")
+    placed = placed.withColumns({f"_{c}": F.max(f"{c}_len").over(inside) for c in columns})
+    given = placed.drop(length).withColumnsRenamed({shard: "_shard", order: "_order"})
+    same = F.col(shard).eqNullSafe(F.col("_shard")) & (F.col(order) == F.col("_order"))
+    return B.pad_to(df.join(given, same).drop("_shard", "_order"), columns)
 
 
 def text_mel_batch(df: DataFrame, batch: list[str], n_spks: int = 1) -> DataFrame:
