@@ -305,8 +305,10 @@ def compared(rows: DataFrame, percent: float, every: bool) -> DataFrame:
 def verified(edges: DataFrame, facts: DataFrame, percent: float) -> DataFrame:
     """The edges with ``linked``: whether the sets overlap as much as asked."""
     pairs = edges.select("a", "b").distinct()
-    one = facts.select(F.col("cls").alias("a"), F.col("tokens").alias("x"))
-    two = facts.select(F.col("cls").alias("b"), F.col("tokens").alias("y"))
+    ends = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
+    sets = lookup(facts.select("cls", "tokens"), ends, "cls", "inner")
+    one = sets.select(F.col("cls").alias("a"), F.col("tokens").alias("x"))
+    two = sets.select(F.col("cls").alias("b"), F.col("tokens").alias("y"))
     both = pairs.join(one, "a").join(two, "b").withColumn("common", F.size(F.array_intersect("x", "y")))
     union = F.size("x") + F.size("y") - F.col("common")
     return both.select("a", "b", (F.col("common") * 100 >= union * percent).alias("linked"))

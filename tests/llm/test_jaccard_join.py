@@ -55,7 +55,7 @@ def corpus(seed, families, members, words, share):
 
 
 def found(spark, rows, **more):
-    df = spark.createDataFrame([(d, t, "x", 1) for d, t in rows], "doc_id long, text string, n long, cls int")
+    df = spark.createDataFrame([(d, t, 1, "x") for d, t in rows], "doc_id long, text string, n long, cls string")
     return sorted((tuple(r) for r in join.jaccard_components(df, **more).collect()), key=str)
 
 
