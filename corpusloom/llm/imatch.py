@@ -142,7 +142,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = pair.select("key", F.explode(F.concat(both, F.array(own))).alias("x")).select("key", "x.*")
     met = rows.join(lexicon, "term", "left").where(F.col("band").isNotNull() | F.col("meta").isNotNull())
     flagged = F.shiftleft("term", FLAGS).bitwiseOR(F.col("texts").cast("long") + 4 * F.col("band").cast("long"))
-    each = met.groupBy("key").agg(F.max("meta").alias("meta"), F.collect_list(F.when(F.col("meta").isNull(), flagged)).alias("found"))
+    each = met.groupBy("key").agg(F.max("meta").alias("meta"), F.collect_set(F.when(F.col("meta").isNull(), flagged)).alias("found"))
 
     def chosen(flag: int) -> Column:
         mine = F.filter("found", lambda t: t.bitwiseAND(F.lit(flag)) != 0)

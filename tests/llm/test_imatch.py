@@ -58,3 +58,12 @@ def test_order_with_sparse_ids(spark):
     plain_ids = [r[0] for r in ids]
     assert [r.after.id for r in got] == plain_ids[1:] + plain_ids[:1]
     assert [r.before.id for r in got] == plain_ids[-1:] + plain_ids[:-1]
+
+
+def test_repeated_rows_beside_an_equal_text(spark):
+    """How often a row is repeated is no part of its fingerprint, also where it has few band terms."""
+    rng = random.Random(5)
+    rows = [(10 + i, " ".join(rng.sample(["the", "of", "and", "to"], 3) + [f"w{rng.randint(0, 40)}" for _ in range(12)])) for i in range(390)]
+    rows += [(1, "the of and w3 w5 w7")] * 3 + [(2, "the of and w3 w5 w7")]
+    got = fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).where("doc_id in (1, 2)").collect()
+    assert len(got) == 4 and len({r.fingerprint for r in got}) == 1
