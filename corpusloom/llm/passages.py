@@ -25,6 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,6 +36,8 @@ from corpusloom.llm.common import GOLDEN, mix, powers, sliding_min, tidy, word_b
 CHUNK = 6 << 20
 #: Windows worked on at once.
 BLOCK = 1 << 17
+#: Words of more bytes get another hash: long texts of a pattern can be made to have one polynomial hash.
+LONG_WORD = 64
 NO_ID = -(1 << 63)
 _INVERSE = np.uint64(pow(int(GOLDEN), -1, 1 << 64))
 
@@ -85,6 +88,8 @@ class Chunk:
         self.raw = np.frombuffer(self.joined, np.uint8)
         self.begins, self.ends = word_bounds(self.joined)
         self.values = spans_hash(self.raw, self.begins, self.ends)
+        for i in np.flatnonzero(self.ends - self.begins > LONG_WORD).tolist():
+            self.values[i] = xxhash.xxh3_64_intdigest(self.joined[self.begins[i] : self.ends[i]])
         lens = np.array([len(b) + 1 for b in self.bodies], np.int64)
         edges = np.searchsorted(self.begins, np.concatenate([[0], np.cumsum(lens)]))
         self.firsts, self.stops = edges[:-1], edges[1:]

@@ -46,3 +46,13 @@ def test_drop_repeated_phrases(spark, seed):
 
 def test_empty_table(spark):
     assert drop_repeated_phrases(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_long_words_of_one_polynomial_hash(spark):
+    """A Thue-Morse word and its complement, of 2,048 letters, have equal polynomials modulo 2^64."""
+    word = "".join("ab"[bin(i).count("1") % 2] for i in range(2048))
+    other = word.translate(str.maketrans("ab", "ba"))
+    common = " ".join(f"w{i}" for i in range(19))
+    rows = [(d, f"{common} {word if d % 2 else other}") for d in range(2, 4)] + [(7, f"x{word} {common}")]
+    found = [(r.doc_id, r.n_words, r.n_removed, r.kept) for r in drop_repeated_phrases(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(found, key=repr) == brute(rows, 20) and all(n == 0 for _, _, n, _ in found)
