@@ -10,13 +10,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import WHITE, grams, text_of
+from corpusloom.llm.common import WHITE, grams, text_of, tidy
 
 #: A chunk ends where the rolling hash of this many bytes has zeros under the mask (1 KB on average).
 ROLL, MASK = 16, np.uint64((1 << 10) - 1)
 LEAST, MOST = 256, 8192
-#: Words and chunks a worker remembers; beyond, it forgets all and starts again (only speed changes).
-WORDS_KEPT, CHUNK_BYTES_KEPT = 600_000, 16 << 20
+#: Words, bytes of chunks and names of chunks met once that a worker remembers. Beyond, it forgets words
+#: and chunks, or chunks only, and starts again (only speed changes).
+WORDS_KEPT, CHUNK_BYTES_KEPT, CHUNKS_MET = 600_000, 8 << 20, 100_000
+#: Words that the library encodes as one text.
+TOGETHER = 2000
 
 
 def cut(body: bytes) -> list[bytes]:
@@ -52,7 +55,8 @@ class Encoder:
     text's ids are those of its words in order (``check`` proves that on every chunk join).
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, words_kept: int = WORDS_KEPT):
+        self.words_kept = words_kept
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -67,6 +71,10 @@ class Encoder:
         self.size = 0
         self.at, self.lens = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
         self.flat, self.used = np.zeros(4096, np.int32), 0
+        self.forget_chunks()
+
+    def forget_chunks(self) -> None:
+        self.met: set[int] = set()
         self.chunks: dict[bytes, np.ndarray] = {}
         self.chunk_bytes = 0
 
@@ -74,11 +82,19 @@ class Encoder:
         got = self.tok.encode_batch([t.decode("utf-8") for t in texts], add_special_tokens=False)
         return [e.ids for e in got]
 
+    def several(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words, and how many each has. They go through the library as one text, which costs
+        less than a call for each; the tokens' places tell the words they are of."""
+        texts = [w.decode("utf-8") for w in words]
+        got = self.tok.encode(" ".join(texts), add_special_tokens=False)
+        ends = np.cumsum([len(t) + 1 for t in texts])
+        cuts = np.searchsorted(np.array([begin for begin, _ in got.offsets], np.int64), ends)
+        return np.array(got.ids, np.int32), np.diff(cuts, prepend=0)
+
     def learn(self, words: list[bytes]) -> None:
         """Encode words not yet known."""
-        ids = self.library(words)
-        lens = np.array([len(i) for i in ids], np.int64)
-        flat = np.array([x for i in ids for x in i], np.int32)
+        parts = [self.several(words[k : k + TOGETHER]) for k in range(0, len(words), TOGETHER)]
+        flat, lens = (np.concatenate(x) for x in zip(*parts))
         while self.size + len(words) > len(self.lens):
             self.at, self.lens = np.append(self.at, self.at * 0), np.append(self.lens, self.lens * 0)
         while self.used + len(flat) > len(self.flat):
@@ -105,8 +121,12 @@ class Encoder:
         ids = self.chunks.get(chunk)
         if ids is None:
             ids = self.words(chunk.split())
-            self.chunks[chunk] = ids
-            self.chunk_bytes += len(chunk) + ids.nbytes
+            name = hash(chunk)
+            if name in self.met:  # most chunks never come again: kept from the second time on
+                self.chunks[chunk] = ids
+                self.chunk_bytes += len(chunk) + ids.nbytes
+            else:
+                self.met.add(name)
         return ids
 
     def check(self, before: list[bytes], middle: bytes, after: list[bytes]) -> bool:
@@ -116,8 +136,10 @@ class Encoder:
 
     def encode(self, body: bytes) -> np.ndarray:
         """Ids of a whole text: its chunks', with each join re-encoded until both sides agree."""
-        if self.size > WORDS_KEPT or self.chunk_bytes > CHUNK_BYTES_KEPT:
+        if self.size > self.words_kept:
             self.forget()
+        elif self.chunk_bytes > CHUNK_BYTES_KEPT or len(self.met) > CHUNKS_MET:
+            self.forget_chunks()
         parts = cut(body)
         out: list[np.ndarray] = []
         carry = b""  # the unfinished word at the end of what is encoded
@@ -155,28 +177,29 @@ class Encoder:
         return self.tok.decode(ids.tolist(), skip_special_tokens=False)
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, words_kept: int) -> Encoder:
     """One per worker process."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    if (path, words_kept) not in _ENCODERS:
+        _ENCODERS[path, words_kept] = Encoder(path, words_kept)
+    return _ENCODERS[path, words_kept]
 
 
-def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", words_kept: int = WORDS_KEPT) -> DataFrame:
     """``(doc_id, n_tokens, ids, decoded)`` per row: the whole text's ids without special tokens
     added, and what they decode to.
 
     ``path``: the tokenizer's file, on every executor. Null and empty texts have no tokens and decode
     to the empty text. Rows are encoded where they are read: nothing is shuffled, so no key can be
     hot; each worker encodes a chunk or word it has met in any document only once while it remembers it.
+    ``words_kept`` bounds the memory of a worker (some 150 bytes a word), not the result.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        enc = encoder(path, words_kept)
         names = [enc.tok.id_to_token(i) for i in range(enc.tok.get_vocab_size())] if enc.joined else None
         for big in batches:
             for at in range(0, big.num_rows, 500):
@@ -189,6 +212,7 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
                 )
                 back = pa.array([enc.decode(i, names) for i in ids], pa.string())
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(lens), lists, back], schema=schema)
+        tidy()
 
     return text_of(df, id_col, text_col).mapInArrow(
         run, "doc_id long, n_tokens long, ids array<int>, decoded string"
