@@ -36,8 +36,6 @@ from corpusloom.llm.common import GOLDEN, mix, powers, sliding_min, tidy, word_b
 CHUNK = 6 << 20
 #: Windows worked on at once.
 BLOCK = 1 << 17
-#: Words of more bytes get another hash: long texts of a pattern can be made to have one polynomial hash.
-LONG_WORD = 64
 NO_ID = -(1 << 63)
 _INVERSE = np.uint64(pow(int(GOLDEN), -1, 1 << 64))
 
@@ -83,32 +81,20 @@ class Chunk:
         self.firsts = self.stops - lens
 
     def as_words(self) -> None:
-        """Units are words; ``begins`` and ``ends`` are their places in ``joined``."""
+        """Units are words; ``begins`` and ``ends`` are their places in ``joined``, ``codes`` their numbers
+        in the chunk. A polynomial of a word's bytes would give words made for it one hash."""
         self.joined = b" ".join(self.bodies)
         self.raw = np.frombuffer(self.joined, np.uint8)
         self.begins, self.ends = word_bounds(self.joined)
-        self.values = spans_hash(self.raw, self.begins, self.ends)
-        for i in np.flatnonzero(self.ends - self.begins > LONG_WORD).tolist():
-            self.values[i] = xxhash.xxh3_64_intdigest(self.joined[self.begins[i] : self.ends[i]])
+        self.words = self.joined.split()
+        numbers: dict[bytes, int] = {}
+        self.codes = np.fromiter((numbers.setdefault(w, len(numbers)) for w in self.words), np.int64, len(self.words))
+        self.values = np.fromiter(map(xxhash.xxh3_64_intdigest, numbers), np.uint64, len(numbers))[self.codes]
         lens = np.array([len(b) + 1 for b in self.bodies], np.int64)
         edges = np.searchsorted(self.begins, np.concatenate([[0], np.cumsum(lens)]))
         self.firsts, self.stops = edges[:-1], edges[1:]
 
 
-def spans_hash(raw: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each span of bytes; spans are in order and do not overlap."""
-    out = np.empty(len(begins), np.uint64)
-    a, n = 0, len(begins)
-    while a < n:
-        b = max(a + 1, int(np.searchsorted(ends, begins[a] + BLOCK, "right")))
-        base = begins[a]
-        sums, power = sums_of(raw[base : ends[b - 1]].astype(np.uint64) + np.uint64(1))
-        s, e = begins[a:b] - base, ends[a:b] - base
-        out[a:b] = mix((sums[e] - sums[s]) * power[s] + (e - s).astype(np.uint64))
-        a = b
-    return out
-
-
 _POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -129,20 +115,23 @@ def sums_of(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Runs:
-    """Runs of windows with one key: the key, a hash of the whole segment, first unit, windows."""
+    """Runs of windows with one key: the key, a hash of the whole segment, first unit, windows, and
+    whether windows of the run itself may be equal."""
 
     key: np.ndarray
     content: np.ndarray
     first: np.ndarray
     n: np.ndarray
+    again: np.ndarray
 
 
-def runs(chunk: Chunk, k: int, depth: int) -> Runs:
-    """All windows of the chunk, as runs of at most ``depth - k + 1`` windows."""
+def runs(chunk: Chunk, k: int, depth: int, within: bool = False) -> Runs:
+    """All windows of the chunk, as runs of at most ``depth - k + 1`` windows. ``within``: whether equal
+    windows of one run are looked for; they have a gram that is met again less than that further on."""
     w, total = depth - k + 1, len(chunk.values) - depth + 1
     if total <= 0:
         empty = np.empty(0, np.uint64)
-        return Runs(empty, empty, np.empty(0, np.int64), np.empty(0, np.int64))
+        return Runs(empty, empty, np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool))
     inside = np.ones(total, bool)
     for first, stop in zip(chunk.firsts.tolist(), chunk.stops.tolist()):
         inside[max(first, stop - depth + 1) : stop] = False
@@ -165,7 +154,14 @@ def runs(chunk: Chunk, k: int, depth: int) -> Runs:
             first, n = np.repeat(first, pieces) + nth * w, np.minimum(np.repeat(n, pieces) - nth * w, w)
         key = key[first]
         content = mix((sums[first + n + depth - 1] - sums[first]) * power[first] + mix(key + n.astype(np.uint64)))
-        out.append((key, content, first + a, n))
+        again = np.zeros(len(n), bool)
+        if within:
+            met = np.zeros(len(grams) + 1, np.int64)
+            for far in range(1, min(w, len(grams))):
+                met[1:-far] |= grams[:-far] == grams[far:]
+            met = np.cumsum(met)
+            again = (n > 1) & (met[first + n + w - 1] > met[first])
+        out.append((key, content, first + a, n, again))
     return Runs(*(np.concatenate(x) for x in zip(*out)))
 
 
@@ -180,9 +176,9 @@ def slices(part: np.ndarray) -> Iterator[tuple[int, int, int]]:
         yield int(part[a]), int(a), int(b)
 
 
-def sent_keys(key: np.ndarray, owner: np.ndarray | None, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def sent_keys(key: np.ndarray, owner: np.ndarray | None, parts: int, alone: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The chunk's distinct keys by bucket, the buckets, and which recur within the chunk: in
-    different owners, or at all where ``owner`` is None."""
+    different owners, or at all where ``owner`` is None, or within one of the runs (``alone``)."""
     order = np.argsort(key, kind="stable")
     key = key[order]
     heads = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, np.int64)
@@ -193,6 +189,8 @@ def sent_keys(key: np.ndarray, owner: np.ndarray | None, parts: int) -> tuple[np
         again = np.minimum.reduceat(owner, heads) != np.maximum.reduceat(owner, heads)
     else:
         again = np.empty(0, bool)
+    if len(key):
+        again = again | np.maximum.reduceat(alone[order], heads)
     key = key[heads]
     part = bucket(key, parts)
     by_part = np.argsort(part, kind="stable")
@@ -228,7 +226,7 @@ class Exchange:
         """The chunk, its runs, and the number of each run's document."""
         chunk = Chunk(table)
         self.units(chunk)
-        found = runs(chunk, self.k, self.depth)
+        found = runs(chunk, self.k, self.depth, not self.by_document)
         return chunk, found, np.searchsorted(chunk.stops, found.first, "right")
 
     def ask(self, docs: DataFrame, solve: Callable[[dict[str, np.ndarray], list[bytes]], dict[str, np.ndarray]]) -> DataFrame:
@@ -238,7 +236,7 @@ class Exchange:
 
         def send_keys(table: pa.Table) -> pa.Table:
             chunk, found, doc = self.open(table)
-            key, part, again = sent_keys(found.key, chunk.ids[doc] if self.by_document else None, parts)
+            key, part, again = sent_keys(found.key, chunk.ids[doc] if self.by_document else None, parts, found.again)
             asked = short(key)
             rows = [(chunk.chunk, p, np.sort(np.repeat(asked[a:b], 1 + again[a:b])).tobytes()) for p, a, b in slices(part)]
             return table_of(rows, "chunk int, part int, keys binary")
@@ -253,7 +251,7 @@ class Exchange:
             if not table.num_rows:
                 return table_of([], self.SEGMENT)
             chunk, found, doc = self.open(table)
-            key, part, _ = sent_keys(found.key, None, parts)
+            key, part, _ = sent_keys(found.key, None, parts, found.again)
             bits = dict(zip(replies["part"].to_pylist(), replies["bits"].to_pylist()))
             recurs = np.zeros(len(key), bool)
             for p, a, b in slices(part):
@@ -261,7 +259,9 @@ class Exchange:
                 recurs[a:b] = np.unpackbits(np.frombuffer(bits[p], np.uint8), count=len(asked))[place] > 0
             wanted = np.sort(key[recurs])
             mine = np.flatnonzero(is_in(found.key, wanted))
-            mine = mine[np.lexsort((found.first[mine], found.content[mine]))]
+            own = doc[mine]
+            # rows of one id are one document: the first place is not always the first in the chunk
+            mine = mine[np.lexsort((found.first[mine] - chunk.firsts[own], chunk.ids[own], found.content[mine]))]
             content = found.content[mine]
             heads = np.flatnonzero(np.concatenate([[True], content[1:] != content[:-1]])) if len(mine) else mine
             if self.by_document and len(mine):

@@ -73,7 +73,7 @@ def _confirm(length: int):
 def passages(begin: np.ndarray, n: np.ndarray, doc: np.ndarray, start: np.ndarray, own: np.ndarray, place: np.ndarray):
     """Stretches of recurring windows that stand somewhere after their first place: where in the
     chunk each begins, its windows, and its first place. Neighbours that continue each other here
-    and there are one passage, of at most LONGEST windows; equal passages are one."""
+    and there are one passage, of at most LONGEST windows."""
     late = (doc < own) | ((doc == own) & (start < place))
     order = np.flatnonzero(late)[np.argsort(begin[late], kind="stable")]
     begin, n, doc, start = begin[order], n[order], doc[order], start[order]
@@ -87,15 +87,11 @@ def passages(begin: np.ndarray, n: np.ndarray, doc: np.ndarray, start: np.ndarra
     nth = (np.arange(int(parts.sum())) - np.repeat(np.cumsum(parts) - parts, parts)) * LONGEST
     begin, doc, start = np.repeat(begin, parts) + nth, np.repeat(doc, parts), np.repeat(start, parts) + nth
     n = np.minimum(np.repeat(n, parts) - nth, LONGEST)
-    order = np.lexsort((n, start, doc))
-    begin, n, doc, start = begin[order], n[order], doc[order], start[order]
-    new = np.ones(len(order), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (start[1:] != start[:-1]) | (n[1:] != n[:-1])
-    return begin[new], n[new], (doc[new], start[new])
+    return begin, n, (doc, start)
 
 
 def occurrences(sequences: list[tuple[int, ...]], text: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
-    """Every place where one of the sequences stands in ``text``: last element, number of the sequence."""
+    """Every place where one of the different sequences stands in ``text``: last element, number of the sequence."""
     automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
     for i, s in enumerate(sequences):
         automaton.add_word(s, i)
@@ -134,9 +130,7 @@ def drop_repeated_phrases(df: DataFrame, id_col: str = "doc_id", text_col: str =
     def finish(table: pa.Table, replies: pa.Table) -> pa.Table:
         chunk, found, doc = exchange.open(table)
         got = exchange.answered(replies)
-        words = chunk.joined.split()
-        numbers: dict[bytes, int] = {}
-        text = tuple([numbers.setdefault(w, len(numbers)) for w in words])
+        words, text = chunk.words, tuple(chunk.codes.tolist())
         lo = np.searchsorted(got["content"], found.content)
         many = np.searchsorted(got["content"], found.content, "right") - lo
         run = np.repeat(np.arange(len(many)), many)
@@ -146,7 +140,12 @@ def drop_repeated_phrases(df: DataFrame, id_col: str = "doc_id", text_col: str =
             chunk.ids[doc[run]], found.first[run] + got["at"][piece] - chunk.firsts[doc[run]],
         )
         size = size + (length - 1)
-        sequences = [text[x : x + n] for x, n in zip(begin.tolist(), size.tolist())]
+        # equal passages have one first place; rows of one id may have different ones at the same place
+        distinct: dict[tuple[int, ...], int] = {}
+        for i, (x, n) in enumerate(zip(begin.tolist(), size.tolist())):
+            distinct.setdefault(text[x : x + n], i)
+        sequences, of = list(distinct), np.fromiter(distinct.values(), np.int64, len(distinct))
+        size, origin = size[of], (origin[0][of], origin[1][of])
         last, which = occurrences(sequences, text)
         first = last - size[which] + 1
         owner = np.searchsorted(chunk.stops, first, "right")

@@ -56,3 +56,23 @@ def test_long_words_of_one_polynomial_hash(spark):
     rows = [(d, f"{common} {word if d % 2 else other}") for d in range(2, 4)] + [(7, f"x{word} {common}")]
     found = [(r.doc_id, r.n_words, r.n_removed, r.kept) for r in drop_repeated_phrases(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
     assert sorted(found, key=repr) == brute(rows, 20) and all(n == 0 for _, _, n, _ in found)
+
+
+def test_rows_of_one_id_with_different_texts(spark):
+    """Different passages may begin at one place of one id, and an id's first place may be in any of its rows."""
+    rng = random.Random(5)
+    prose = lambda n: " ".join(rng.choice("abcdefgh") + str(rng.randrange(40)) for _ in range(n))
+    shared = [prose(30) for _ in range(40)]
+    rows = [(5, s) for s in shared] + [(100 + i, f"{prose(3)} {s}") for i, s in enumerate(shared)]
+    rows += [(50, f"{prose(rng.randrange(9))} {late} {prose(2)}") for late in [prose(25) for _ in range(30)] for _ in range(6)]
+    rows += [(None, s) for s in shared[:3]] + [(None, f"x {s}") for s in shared[:6]]
+    rng.shuffle(rows)
+    found = [(r.doc_id, r.n_words, r.n_removed, r.kept) for r in drop_repeated_phrases(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(found, key=repr) == brute(rows, 20)
+
+
+def test_windows_that_recur_within_one_run(spark):
+    """A few words again and again, in one place of the whole table: the windows share one key there only."""
+    rows = [(1, "one " * 23), (2, "x y z " + "two three " * 13 + "u v w"), (3, " ".join(f"w{i}" for i in range(40)) + " four" * 21), (4, "five " * 20)]
+    found = [(r.doc_id, r.n_words, r.n_removed, r.kept) for r in drop_repeated_phrases(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(found, key=repr) == brute(rows, 20) and [n for _, _, n, _ in sorted(found)] == [22, 24, 20, 0]
