@@ -89,21 +89,21 @@ SELECT CAST(doc_id AS VARCHAR) AS request_id, CAST(i AS INTEGER) AS chunk_no, CA
 def chunk_token_stream(t):
     """Words' lengths as tokens, 64 to a row; later rows of a request come in later micro-batches."""
     words = F.concat(F.transform(F.split("text", " "), F.length), F.array().cast("array<int>"))
-    starts = F.sequence(F.lit(0), F.ceil(F.size("words") / 64).cast("int") - 1)
+    parts = F.expr("transform(sequence(0, int(ceil(size(words) / 64)) - 1), i -> slice(words, i * 64 + 1, 64))")
     rows = t.documents.select("doc_id", words.alias("words")).select(
-        F.col("doc_id").cast("string").alias("request_id"), "words", F.explode(starts).alias("seq")
+        F.col("doc_id").cast("string").alias("request_id"), F.size("words").alias("n"), F.posexplode(parts).alias("seq", "tokens")
     )
     rows = rows.select(
-        "request_id", "seq", F.slice("words", F.col("seq") * 64 + 1, 64).alias("tokens"),
-        ((F.col("seq") + 1) * 64 >= F.size("words")).alias("is_end"), F.timestamp_seconds(F.col("seq") + 1_700_000_000).alias("at"),
+        "request_id", "seq", "tokens", ((F.col("seq") + 1) * 64 >= F.col("n")).alias("is_end"),
+        F.timestamp_seconds(F.col("seq") + 1_700_000_000).alias("at"),
     )
     base = shared_dir(t.spark)
-    for batch in range(BATCHES):
-        due = F.least("seq", F.lit(BATCHES - 1)) == batch
-        rows.filter(due).coalesce(1).write.mode("append").parquet(f"{base}/tokens")
-    cells = J.stream_table(t.spark, f"{base}/tokens", t.spark.read.parquet(f"{base}/tokens").schema, 1)
     with J.rocksdb_state(t.spark):
-        out = J.run_available(K.chunk_token_stream(cells))
+        for batch in range(BATCHES):
+            due = F.least("seq", F.lit(BATCHES - 1)) == batch
+            rows.filter(due).write.mode("append").parquet(f"{base}/tokens")
+            cells = J.stream_table(t.spark, f"{base}/tokens", rows.schema, None)
+            out = J.run_available(K.chunk_token_stream(cells), checkpoint=f"{base}/checkpoint", out=f"{base}/out")
     return out.withColumn("tokens", F.array_join("tokens", ",")).drop("expired")
 
 

@@ -327,3 +327,20 @@ def test_audio_comes_in_blocks(spark):
         got = segments.audio_blocks(placed, "request", block).orderBy("request", "block_no").collect()
         want = [("r", b, whole[b * block : (b + 1) * block]) for b in range(-(-len(whole) // block))] + [("s", 0, [3.0])]
         assert [tuple(r) for r in got] == want
+
+
+def test_token_rows_are_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    """No task writes or reads all tokens of a micro-batch, and long texts are cut once."""
+    from queries import Tables, streams
+
+    docs = [(i, "a bb ccc " * (50 * i)) for i in range(8)]
+    spark.createDataFrame(docs, "doc_id long, text string").repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    files, plain = [], jobs.stream_table
+    monkeypatch.setattr(jobs, "stream_table", lambda s, path, *more: (files.append(len(spark.read.parquet(path).inputFiles())), plain(s, path, *more))[1])
+    out = streams.chunk_token_stream(Tables(spark, str(tmp_path)))
+    got = {(r.request_id, r.chunk_no): r.tokens for r in out.collect()}
+    assert files[-1] > streams.BATCHES
+    for i, text in docs:
+        want, n = [len(w) for w in text.split(" ")], len([k for k in got if k[0] == str(i)])
+        for k in range(n):
+            assert got[str(i), k] == ",".join(map(str, want[25 * k : 25 * k + 28] if k < n - 1 else want[25 * k :]))
