@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusloom.functions.bind import bind, running
+from corpusloom.functions.bind import bind, prefixes
 from corpusloom.functions.text import strip
 
 # Symbols, words and affixes that tell phonetic notes, pinyin and English apart.
@@ -65,13 +65,10 @@ def is_phonetic(c: Column) -> Column:
 
 
 def is_english(c: Column) -> Column:
-    common = F.array(*[F.lit(w) for w in COMMON_WORDS.split()])
-    phrase = F.array(*[F.lit(w) for w in PHRASE_WORDS.split()])
-
     def readable(words: Column) -> Column:
         single = (F.size(words) == 1) & (F.length(words[0]) > 2) & words[0].rlike(ENGLISH_AFFIX)
-        several = (F.size(words) > 1) & F.arrays_overlap(words, phrase)
-        return (F.size(F.array_except(words, common)) == 0) | single | several
+        several = (F.size(words) > 1) & F.exists(words, lambda w: w.isin(PHRASE_WORDS.split()))
+        return F.forall(words, lambda w: w.isin(COMMON_WORDS.split())) | single | several
 
     def english(text: Column) -> Column:
         words = F.split(F.lower(text), "\\s+")
@@ -82,14 +79,12 @@ def is_english(c: Column) -> Column:
 
 def is_pinyin(c: Column) -> Column:
     """Letters with an optional tone digit, decided by the first word that settles it."""
-    known = F.array(*[F.lit(s) for s in SYLLABLES.split()])
-
     def verdict(w: Column) -> Column:
         base = F.regexp_replace(w, "[1-5]$", "")
         return (
             F.when(F.length(base) > 6, False)
             .when(w.rlike("[1-5]$"), True)
-            .when(F.array_contains(known, F.lower(base)), True)
+            .when(F.lower(base).isin(SYLLABLES.split()), True)
         )
 
     def pinyin(text: Column) -> Column:
@@ -105,31 +100,39 @@ def classify_annotation(c: Column) -> Column:
     return F.when(is_phonetic(c), "phonetic").when(is_pinyin(c), "pinyin").otherwise("text")
 
 
-def _flat(c: Column) -> Column:
-    """Segments of a text whose brackets are balanced and not nested: contents are every second part."""
-    parts = F.transform(F.split(c, "[()（）]"), lambda s, i: F.struct(s.alias("segment"), (i % 2 == 1).alias("leaf")))
-    return F.filter(parts, lambda p: p["segment"] != "")
+#: Between a bracket and what stands beside it. A split there passes each character once; runs of a
+#: negated class are many times slower.
+JOINTS = "(?<=[()（）])|(?=[()（）])"
+
 
+def _flat(t: Column) -> Column:
+    """Segments of a text whose brackets are balanced and not nested: contents follow an opening one."""
+    parts = F.transform(t, lambda s, i: F.struct(s.alias("segment"), F.coalesce(F.get(t, i - 1).isin("(", "（"), F.lit(False)).alias("leaf")))
+    return F.filter(parts, lambda p: ~p["segment"].isin("(", "（", ")", "）", ""))
 
-def _nested(c: Column) -> Column:
+
+def _segments(c: Column) -> Column:
     """Segments of any text, from the depths of its brackets.
 
     The depth before the first bracket is 0 and goes below it where closing brackets have no opening
     one: there it reaches a new least depth. An opening bracket has its closing one if the depth later
     falls below the bracket's own. Such pairs cut and go; an opening bracket alone cuts and stays.
     """
-    tokens = F.regexp_extract_all(c, F.lit("[(（]|[)）]|[^()（）]+"), F.lit(0))
 
     def placed(t: Column) -> Column:
-        at = F.filter(F.sequence(F.lit(0), F.size(t) - 1), lambda i: F.get(t, i).rlike("[()（）]"))
-        steps = F.transform(at, lambda i: F.when(F.get(t, i).rlike("[(（]"), 1).otherwise(-1))
-        return bind(F.struct(t.alias("t"), at.alias("at"), steps.alias("step")), depths)
+        at = F.filter(F.sequence(F.lit(0), F.size(t) - 1), lambda i: F.get(t, i).isin("(", "（", ")", "）"))
+        steps = F.transform(at, lambda i: F.when(F.get(t, i).isin("(", "（"), 1).otherwise(-1))
+        return bind(F.struct(t.alias("t"), at.alias("at"), steps.alias("step")), shaped)
+
+    def shaped(s: Column) -> Column:
+        turns = F.forall(F.transform(s["step"], lambda x, k: x == 1 - 2 * (k % 2)), lambda x: x)
+        return F.when(turns & (F.size(s["step"]) % 2 == 0), _flat(s["t"])).otherwise(depths(s))
 
     def depths(s: Column) -> Column:
-        depth = running(s["step"], lambda x, y: x + y)
+        depth = prefixes(s["step"], lambda x, y: x + y)
         return bind(depth, lambda d: bind(F.struct(
             s["t"].alias("t"), s["at"].alias("at"), s["step"].alias("step"), d.alias("depth"),
-            running(d, F.least).alias("least"), F.reverse(running(F.reverse(d), F.least)).alias("later"),
+            prefixes(d, F.least).alias("least"), F.reverse(prefixes(F.reverse(d), F.least)).alias("later"),
         ), cuts))
 
     def cuts(s: Column) -> Column:
@@ -155,19 +158,17 @@ def _nested(c: Column) -> Column:
         made = F.transform(F.sequence(F.lit(0), F.size(s["bounds"]) - 2), segment)
         return F.filter(made, lambda p: p["segment"] != "")
 
-    return bind(tokens, placed)
+    return bind(F.split(c, JOINTS), placed)
 
 
 def parse_annotations(c: Column) -> Column:
     """Array of ``(segment, leaf)`` in order; ``leaf`` marks innermost bracket contents. Null for null."""
     bracketed = c.rlike("[(（]")
     plain = F.array(F.struct(c.alias("segment"), F.lit(False).alias("leaf")))
-    flat = c.rlike("\\A[^()（）]*+(?:[(（][^()（）]*+[)）][^()（）]*+)*+\\z")
     return (
         F.when(c == "", F.array().cast(SEGMENTS))
         .when(~bracketed, plain)
-        .when(flat, _flat(c))
-        .when(c.isNotNull(), _nested(c))
+        .when(c.isNotNull(), _segments(c))
     )
 
 

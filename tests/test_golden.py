@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from corpusloom.functions import arrays as A
 from corpusloom.functions import numbers as N
 from corpusloom.functions import symbols as S
 from corpusloom.functions import text as T
+from corpusloom.functions.bind import prefixes
 from corpusloom.operators import annotations, batching, catalogue, joins, quality, runs, segments, stats
 from corpusloom.operators import targets as G
 
@@ -23,6 +26,45 @@ def value(spark):
     return get
 
 
+def test_prefixes(value):
+    """Over several blocks, as a plain loop has it."""
+    for n in (0, 1, 63, 64, 65, 128, 500):
+        steps = [(7 * i * i) % 11 - 5 for i in range(n)]
+        array = F.array(*[F.lit(x) for x in steps]).cast("array<int>")
+        assert value(prefixes(array, lambda x, y: x + y)) == list(accumulate(steps))
+        assert value(prefixes(array, F.least)) == list(accumulate(steps, min))
+
+
+def test_segments_of_many_brackets(spark):
+    """Many and deep brackets, alone and in pairs, against a stack; texts are split, not matched by runs."""
+    import random
+
+    rng = random.Random(4)
+    texts = ["", "(", ")", "()", "(a", "a)", "a(b)c", "（a)(b）", "((a))", "a(b(c)d)e)f(g", "(" * 200 + "x" + ")" * 150]
+    texts += ["".join(rng.choice(["(", ")", "（", "）", "a", "bc ", "你"]) for _ in range(rng.randrange(400))) for _ in range(60)]
+
+    def plain(text):
+        stack, cuts = [], {}
+        for i, c in enumerate(text):
+            if c in "(（":
+                stack.append(i)
+                cuts[i] = "alone"
+            elif c in ")）" and stack:
+                cuts[stack.pop()], cuts[i] = "open", "close"
+        out, begin, kind = [], 0, None
+        for i in [*sorted(cuts), len(text)]:
+            end = cuts.get(i)
+            if text[begin:i]:
+                out.append((text[begin:i], kind == "open" and end == "close"))
+            begin, kind = (i if end == "alone" else i + 1), end
+        return out
+
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string").select("id", annotations.parse_annotations(F.col("text")).alias("s"))
+    assert "regexp_extract_all" not in df._jdf.queryExecution().toString()
+    got = {r.id: [tuple(x) for x in r.s] for r in df.collect()}
+    assert all(got[i] == plain(t) for i, t in enumerate(texts))
+
+
 def ints(*xs):
     return F.array(*[F.lit(x) for x in xs]).cast("array<int>")
 
