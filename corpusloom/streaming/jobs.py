@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from concurrent.futures import ThreadPoolExecutor
+from contextlib import AbstractContextManager, contextmanager
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -68,48 +69,66 @@ def match_with_timeout(requests: DataFrame, results: DataFrame, late: str, secon
 
 
 def replay(
-    tables: list[tuple[DataFrame, str]], run: Callable[..., DataFrame], batches: int = 4, key: str = "id", after: str = "1 day"
-) -> DataFrame:
+    tables: list[tuple[DataFrame, str]], run: Callable[..., DataFrame], batches: int = 4, key: str = "id", after: str = "1 day",
+    rows: int = 4_000_000,
+) -> DataFrame:
     """All rows of ``run`` over stored tables that come as streams, in order of time.
 
-    ``tables``: each with its time column. Every batch appends the rows up to the next quantile of the
-    times and runs the query on from its checkpoint, so no micro-batch holds the whole history; null
-    times come first. At last a row of its own closes each stream: its time, ``after`` the latest of all,
+    ``tables``: each with its time column. The rows between two quantiles of all times are a part: there are
+    ``batches`` parts, or more, so that none has many more than ``rows`` rows (rows of one time are one part).
+    Each table is dealt into its parts once; a part is a file, and the files are given to the stream one after
+    the other, so a micro-batch gets one part of each table and no state is read again. Null times come first.
+    At last a row of its own closes each stream: its time, ``after`` the latest of all,
     moves the watermark over everything that waits. Its ``key`` is a negative number that no other row has
     (a null would be filtered out before the watermark), all else is null; it is never given out.
     """
     spark = tables[0][0].sparkSession
     base = shared_dir(spark)
     times = reduce(DataFrame.union, [df.select(F.unix_micros(F.col(time).cast("timestamp")).alias("t")) for df, time in tables])
-    shares = F.array(*[F.lit(i / batches) for i in range(1, batches)])
     end = F.max(F.timestamp_micros("t")) + F.expr(f"interval {after}")
-    bounds, end = times.agg(F.percentile_approx("t", shares), F.unix_micros(F.coalesce(end, F.current_timestamp()))).first()
+    total, end = times.agg(F.count("*"), F.unix_micros(F.coalesce(end, F.current_timestamp()))).first()
+    batches = max(batches, -(-total // rows))
+    shares = F.array(*[F.lit(i / batches) for i in range(1, batches)])
+    bounds = times.agg(F.percentile_approx("t", shares)).first()[0] if batches > 1 else None
     place = lambda t: F.coalesce(sum((F.unix_micros(t.cast("timestamp")) >= b).cast("int") for b in bounds or []), F.lit(0))
-    for batch in range(batches + 1):
-        for i, (df, time) in enumerate(tables):
-            if batch < batches:
-                part = df.where(place(F.col(time)) == batch)
-            else:
-                given = {time: F.timestamp_micros(F.lit(end)), key: F.lit(-(uuid.uuid4().int >> 66))}
-                part = spark.range(1).select(*[given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in df.schema])
-            part.write.mode("append").parquet(f"{base}/in{i}")
-        streams = [stream_table(spark, f"{base}/in{i}", df.schema, None) for i, (df, _) in enumerate(tables)]
-        out = run_available(run(*streams), checkpoint=f"{base}/checkpoint", out=f"{base}/out")
-    return out
+
+    def deal(i: int) -> None:
+        df, time = tables[i]
+        part = f"part_{uuid.uuid4().hex}"
+        dealt = df.withColumn(part, place(F.col(time))).repartition(batches, part)
+        dealt.write.partitionBy(part).parquet(f"{base}/parts{i}")
+        given = {time: F.timestamp_micros(F.lit(end)), key: F.lit(-(uuid.uuid4().int >> 66))}
+        last = spark.range(1).select(*[given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in df.schema])
+        stored = spark.read.schema(T.StructType([*df.schema.fields, T.StructField(part, T.IntegerType())])).parquet(f"{base}/parts{i}")
+        for batch in range(batches + 1):
+            # one partition is one file, also of no rows; the stream takes files by the time they were written
+            one = stored.where(F.col(part) == batch).drop(part) if batch < batches else last
+            one.coalesce(1).write.mode("append").parquet(f"{base}/in{i}")
+
+    with ThreadPoolExecutor(len(tables)) as pool:
+        list(pool.map(deal, range(len(tables))))
+    streams = [stream_table(spark, f"{base}/in{i}", df.schema, 1) for i, (df, _) in enumerate(tables)]
+    with setting(spark, "spark.sql.streaming.numRecentProgressUpdates", 4 * batches + 100):  # none is forgotten before it is looked at
+        return run_available(run(*streams), checkpoint=f"{base}/checkpoint", out=f"{base}/out")
 
 
 @contextmanager
-def rocksdb_state(spark: SparkSession) -> Iterator[None]:
-    """Queries started inside keep their state in RocksDB, which list states and timers need."""
-    name = "spark.sql.streaming.stateStore.providerClass"
+def setting(spark: SparkSession, name: str, value: object) -> Iterator[None]:
+    """Queries started inside run with this setting."""
     before = spark.conf.get(name, None)
-    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    spark.conf.set(name, str(value))
     try:
         yield
     finally:
         spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
+def rocksdb_state(spark: SparkSession) -> AbstractContextManager[None]:
+    """Queries started inside keep their state in RocksDB, which list states and timers need."""
+    provider = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    return setting(spark, "spark.sql.streaming.stateStore.providerClass", provider)
+
+
 def run_available(
     stream: DataFrame, mode: str = "append", checkpoint: str | None = None, out: str | None = None
 ) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 from datetime import datetime, timedelta
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -212,6 +213,33 @@ def test_replay_waits_for_no_one(spark):
     assert [(r.id, r.code) for r in got] == [(0, 408)]
 
 
+def test_replay_is_one_run_of_bounded_parts(spark, monkeypatch):
+    """Parts grow in number with the rows; one run reads them in order of time, each part a file, empty ones too."""
+    asked = spark.range(400).select("id", F.timestamp_seconds(F.lit(1_700_000_000) + (F.col("id") * 7 % 400) * 20).alias("asked_at"))
+    later = F.when(F.col("id") % 4 == 0, 30).otherwise(90)
+    answers = asked.filter("id % 2 = 0 and id > 390 or id % 10 = 0").select("id", F.lit(1.0).alias("duration"), F.timestamp_seconds(F.unix_seconds("asked_at") + later).alias("answered_at"))
+    runs, run_available = [], jobs.run_available
+
+    def watched(stream, **options):
+        out = run_available(stream, **options)
+        runs.append(options["checkpoint"].rsplit("/", 1)[0])
+        return out
+
+    monkeypatch.setattr(jobs, "run_available", watched)
+    match = lambda q, a: jobs.match_with_timeout(q, a, late="10 seconds")
+    got = jobs.replay([(asked, "asked_at"), (answers, "answered_at")], match, 2, rows=40)
+    assert sorted((r.id, r.code) for r in got.collect()) == sorted((r.id, r.code) for r in match(asked, answers).collect())
+    (base,) = runs
+    root = Path(base.removeprefix("file://").removeprefix("file:"))
+    for i, (df, total) in enumerate([(asked, 400), (answers, answers.count())]):
+        files = sorted((root / f"in{i}").glob("*.parquet"), key=lambda f: f.stat().st_mtime_ns)
+        parts = [spark.read.parquet(str(f)).agg(F.count("*"), F.min(df.columns[-1]), F.max(df.columns[-1])).first() for f in files]
+        assert len(parts) == -(-(400 + answers.count()) // 40) + 1 and parts[-1][0] == 1
+        assert sum(p[0] for p in parts) == total + 1 and max(p[0] for p in parts) <= 80
+        spans = [(p[1], p[2]) for p in parts if p[0]]
+        assert spans == sorted(spans) and all(a[1] < b[0] for a, b in zip(spans, spans[1:]))
+
+
 def test_requests_time_out(spark, tmp_path):
     base = "timestamp'2024-01-01 00:00:00'"
     asked = spark.range(40).select(
