@@ -164,12 +164,12 @@ def duration_path(durations: Column, frames: Column) -> Column:
     owners = F.slice(expand_durations(durations), F.lit(1), frames)
 
     def rows(owner: Column) -> Column:
-        return F.transform(
-            durations,
-            lambda n, i: F.transform(owner, lambda o: F.coalesce((o == i).cast("int"), F.lit(0))),
-        )
+        # a position that owns no frame is not compared with them
+        none = F.array_repeat(F.lit(0), frames.cast("int"))
+        row = lambda i: F.transform(owner, lambda o: (o == i).cast("int"))
+        return F.transform(durations, lambda n, i: F.when((n <= 0) & owner.isNotNull(), none).otherwise(row(i)))
 
-    return bind(pad_to(owners, frames, None), rows)
+    return bind(pad_to(owners, frames, -1), rows)
 
 
 def time_stretch(x: Column, speed: Column) -> Column:

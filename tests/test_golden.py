@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from itertools import accumulate
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from corpusloom.functions import text as T
 from corpusloom.functions.bind import prefixes
 from corpusloom.operators import annotations, batching, catalogue, joins, quality, runs, segments, stats
 from corpusloom.operators import targets as G
+from queries import arrays
 
 
 @pytest.fixture(scope="module")
@@ -69,6 +71,30 @@ def ints(*xs):
     return F.array(*[F.lit(x) for x in xs]).cast("array<int>")
 
 
+def test_duration_path_rows(spark):
+    """Positions without frames, cut paths and nulls against plain Python; parts are cut before they are exploded."""
+    given = [([2, 0, 1], 4), ([0, -1, 3], 2), ([1, 1], 0), ([], 3), ([0, 0], 2), ([5, 1], 3), (None, 3), ([1, None, 0], 2)]
+
+    def plain(d, frames):
+        if d is None or None in d:
+            return d and [None] * len(d)
+        owners = [i for i, n in enumerate(d) for _ in range(n)][:frames]
+        return [[int(o == i) for o in owners + [-1] * (frames - len(owners))] for i in range(len(d))]
+
+    df = spark.createDataFrame([(i, d, n) for i, (d, n) in enumerate(given)], "id int, d array<int>, n int")
+    got = {r.id: r.path for r in df.select("id", A.duration_path(F.col("d"), F.col("n")).alias("path")).collect()}
+    assert got == {i: plain(d, n) for i, (d, n) in enumerate(given)}
+    texts = ["a bb ccc dddd", " ".join("x" * (i % 7) for i in range(1000)), "", " ", None, 'q" [é,]\\']
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    out = arrays.duration_path(SimpleNamespace(documents=docs))
+    want = []
+    for i, t in enumerate(texts):
+        d = [len(w) % 4 for w in t.split(" ")] if t is not None else []
+        want += [(i, k // 12, " ".join("".join(map(str, row)) for row in plain(d[k : k + 12], 36))) for k in range(0, len(d), 12)]
+    assert sorted(map(tuple, out.collect())) == want
+    assert "explode(sequence" not in out._jdf.queryExecution().analyzed().toString()
+
+
 def test_arrays(value):
     assert value(A.pad_to(ints(1, 1), F.lit(4), 0)) == [1, 1, 0, 0]
     assert value(A.pad_mask(F.lit(3), F.lit(5))) == [False, False, False, True, True]
