@@ -310,7 +310,7 @@ class Exchange:
 
         sent = groups(docs, "chunk", send_keys, "chunk int, part int, keys binary")
         bits = groups(sent.repartition(parts, "part"), "part", recurring, "chunk int, part int, bits binary")
-        segments = docs.groupBy("chunk").cogroup(bits.groupBy("chunk")).applyInArrow(send_segments, self.SEGMENT)
+        segments = docs.groupBy("chunk").cogroup(bits.groupBy("chunk")).applyInArrow(tidied(send_segments), self.SEGMENT)
         return groups(segments.repartition(parts, "part"), "part", answers, self.ANSWER)
 
     def body(self, chunk: Chunk, first: int, stop: int) -> bytes:
@@ -353,6 +353,17 @@ def groups(df: DataFrame, key: str, fn: Callable[[pa.Table], pa.Table], schema:
     return df.mapInArrow(run, schema)
 
 
+def tidied(fn: Callable[[pa.Table, pa.Table], pa.Table]) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """``fn`` for cogrouped tables; after each group the worker gives its memory back."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = fn(left, right)
+        tidy()
+        return out
+
+    return run
+
+
 _ARROW = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
 
 

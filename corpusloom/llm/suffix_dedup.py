@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from corpusloom.llm.collection_bwt import CollectionBwt
-from corpusloom.llm.passages import Chunk, Exchange, dealt
+from corpusloom.llm.passages import Chunk, Exchange, dealt, tidied
 
 #: Segments in one suffix list, on average (a key's segments stay together).
 LIST = 1 << 16
@@ -75,20 +75,30 @@ def _least_documents(length: int):
     return solve
 
 
-def counted(flags: np.ndarray, firsts: np.ndarray, stops: np.ndarray) -> np.ndarray:
-    """Flags set in each stretch; stretches follow each other."""
-    sums = np.zeros(len(flags) + 1, np.int32)
-    np.cumsum(flags, out=sums[1:])
-    return sums[stops].astype(np.int64) - sums[firsts]
-
-
-def whole_characters(raw: np.ndarray, removed: np.ndarray) -> np.ndarray:
-    """``removed`` without the bytes of characters that are cut into."""
-    heads = np.flatnonzero((raw & 0xC0) != 0x80)
-    if not len(heads):
-        return removed
-    gone = np.logical_and.reduceat(removed, heads)
-    return np.repeat(gone, np.diff(np.append(heads, len(raw))))
+def joined(begin: np.ndarray, end: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The maximal stretches that the given ones cover, in order; stretches of different owners stay apart."""
+    order = np.argsort(begin, kind="stable")
+    begin, owner = begin[order], owner[order]
+    reach = np.maximum.accumulate(end[order])
+    head = np.ones(len(order), bool)
+    head[1:] = (begin[1:] > reach[:-1]) | (owner[1:] != owner[:-1])
+    heads = np.flatnonzero(head)
+    return begin[heads], reach[np.append(heads[1:], len(order)) - 1] if len(heads) else heads, owner[heads]
+
+
+def whole_characters(raw: np.ndarray, begin: np.ndarray, end: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stretches without the bytes of characters that are cut into; ``last``: where each one's text ends.
+    Only the ends of a stretch can cut into one, so the bytes between them are not looked at."""
+    begin, end = begin.copy(), end.copy()
+    into = np.flatnonzero(begin < end)
+    while len(into := into[(raw[begin[into]] & 0xC0) == 0x80]):
+        begin[into] += 1
+        into = into[begin[into] < end[into]]
+    into = np.flatnonzero((begin < end) & (end < last))
+    while len(into := into[(raw[end[into]] & 0xC0) == 0x80]):
+        end[into] -= 1
+        into = into[begin[into] < end[into]]
+    return begin, end
 
 
 def drop_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, k: int = 20,
@@ -126,26 +136,25 @@ def drop_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         piece = np.arange(len(run)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(lo, many)
         gone = got["doc"][piece] < chunk.ids[doc[run]]
         run, piece = run[gone], piece[gone]
-        change = np.zeros(len(chunk.raw) + 1, np.int32)
         begin = found.first[run] + got["at"][piece]
-        np.add.at(change, begin, 1)
-        np.add.at(change, begin + got["n"][piece] + (length - 1), -1)
-        np.cumsum(change, out=change)
-        removed = change[:-1] > 0
-        del change
+        begin, end, owner = joined(begin, begin + got["n"][piece] + (length - 1), doc[run])
         if characters:
-            removed = whole_characters(chunk.raw, removed)
-        spans = removed.copy()
-        spans[1:] &= ~removed[:-1]
-        spans[chunk.firsts[chunk.firsts < len(removed)]] = removed[chunk.firsts[chunk.firsts < len(removed)]]
-        n_removed, n_spans = (counted(x, chunk.firsts, chunk.stops) for x in (removed, spans))
-        kept = []
-        for i, (a, b) in enumerate(zip(chunk.firsts.tolist(), chunk.stops.tolist())):
-            kept.append(chunk.raw[a:b][~removed[a:b]].tobytes() if n_removed[i] else chunk.bodies[i])
+            begin, end = whole_characters(chunk.raw, begin, end, chunk.stops[owner])
+            some = begin < end
+            begin, end, owner = begin[some], end[some], owner[some]
+        n_spans = np.bincount(owner, minlength=len(chunk.ids))
+        total = np.concatenate([[0], np.cumsum(end - begin)])
+        edges = np.concatenate([[0], np.cumsum(n_spans)])
+        n_removed = total[edges[1:]] - total[edges[:-1]]
+        kept = list(chunk.bodies)
+        for i in np.flatnonzero(n_spans).tolist():
+            body, own = kept[i], slice(int(edges[i]), int(edges[i + 1]))
+            cuts = zip([0, *(end[own] - chunk.firsts[i]).tolist()], [*(begin[own] - chunk.firsts[i]).tolist(), len(body)])
+            kept[i] = b"".join([body[a:b] for a, b in cuts])
         return pa.table({
             "doc_id": pa.array(chunk.ids, mask=np.array(chunk.table["doc_id"].is_null())), "n_bytes": chunk.stops - chunk.firsts,
             "n_removed": n_removed.astype(np.int64), "n_spans": n_spans.astype(np.int64), "kept": pa.array(kept, pa.binary()),
             "rest": chunk.table["rest"],
         })
 
-    return docs.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(finish, schema)
+    return docs.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(tidied(finish), schema)

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.llm.collection_bwt import CollectionBwt
-from corpusloom.llm.suffix_dedup import drop_repeats
+from corpusloom.llm.suffix_dedup import drop_repeats, joined, whole_characters
 
 
 def brute(rows: list[tuple], length: int) -> list[tuple]:
@@ -53,6 +54,36 @@ def test_drop_repeats(spark, seed):
     assert {"chunk", "body", "doc_id"} == set(got.schema["rest"].dataType.names)
 
 
+def test_removed_stretches_take_no_memory_by_byte():
+    """Stretches joined within a text and drawn back to whole characters, against a flag for every byte."""
+    rng = random.Random(3)
+    bodies = [("".join(rng.choice(["a", "é", "漢", "𝄞"]) for _ in range(n))).encode() for n in (0, 40, 1, 0, 300, 80)]
+    raw, stops = np.frombuffer(b"".join(bodies), np.uint8), np.cumsum([len(b) for b in bodies])
+    for _ in range(200):
+        own = rng.choices([1, 2, 4, 5], k=rng.randrange(12))
+        cuts = [sorted(rng.sample(range(stops[i - 1], stops[i] + 1), 2)) if len(bodies[i]) else None for i in own]
+        begin, end = (np.array([c[k] for c in cuts], np.int64) for k in (0, 1))
+        flags, head = np.zeros(len(raw), bool), (raw & 0xC0) != 0x80
+        for a, b in cuts:
+            flags[a:b] = True
+        char = np.cumsum(head) - 1
+        whole = np.array([flags[char == char[i]].all() for i in range(len(raw))], bool)
+        begin, end, owner = joined(begin, end, np.array(own, np.int64))
+        edge = set(stops.tolist())
+        assert all(b < a or b in edge for b, a in zip(end, begin[1:])) and (np.diff(owner) >= 0).all()
+        assert sorted(i for a, b in zip(begin, end) for i in range(a, b)) == np.flatnonzero(flags).tolist()
+        begin, end = whole_characters(raw, begin, end, stops[owner])
+        assert sorted(i for a, b in zip(begin, end) for i in range(a, b)) == np.flatnonzero(whole).tolist()
+    raw = np.full(4 << 20, 0x61, np.uint8)
+    begin = np.arange(0, 4 << 20, 1 << 12)
+    tracemalloc.start()
+    begin, end, owner = joined(begin, begin + 100, begin >> 20)
+    whole_characters(raw, begin, end, (owner + 1) << 20)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < len(raw) // 4
+
+
 def test_whole_characters_and_empty_table(spark):
     rows = [(1, "é" * 60), (2, "x" + "é" * 60 + "y"), (3, "z" * 10)]
     got = {r.doc_id: bytes(r.kept).decode() for r in drop_repeats(spark.createDataFrame(rows, "doc_id long, text string"), characters=True).collect()}
