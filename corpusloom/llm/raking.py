@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import checkpointed, mix, uniform, word_hashes
+from corpusloom.llm.common import checkpointed, mix, tidy, uniform, word_hashes
 
 #: Topics that ``with_topics`` tells apart.
 TOPICS = 8
@@ -28,14 +28,20 @@ def tokens_and_topic(text: str, topics: int = TOPICS) -> tuple[int, int]:
 
 
 def measured(text_col: str = "text") -> Column:
-    """``struct(n_tokens, topic)`` of a text; null texts are empty."""
+    """``struct(n_tokens, topic)`` of a text; null texts are empty.
+
+    Marked as not deterministic, though it is: a filter on the topic (a join on it brings one) would
+    else be pushed below and measure each text a second time, in a second worker beside the task's first.
+    """
 
     @F.pandas_udf("n_tokens long, topic int")
-    def measure(texts: pd.Series) -> pd.DataFrame:
-        got = np.array([tokens_and_topic(t) for t in texts], np.int64).reshape(-1, 2)
-        return pd.DataFrame({"n_tokens": got[:, 0], "topic": got[:, 1].astype(np.int32)})
+    def measure(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            got = np.array([tokens_and_topic(t) for t in texts], np.int64).reshape(-1, 2)
+            yield pd.DataFrame({"n_tokens": got[:, 0], "topic": got[:, 1].astype(np.int32)})
+        tidy()
 
-    return measure(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
+    return measure.asNondeterministic()(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
 
 
 def targets(cells: DataFrame, margin: str, keep: float, power: float) -> DataFrame:

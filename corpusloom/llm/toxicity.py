@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import mix, powers, text_of
+from corpusloom.llm.common import mix, powers, text_of, tidy
 
 #: Hash buckets of words, and of their first bytes (inflected forms share those).
 BITS, STEM = 18, 5
@@ -230,8 +230,10 @@ def drop_toxic(documents: DataFrame, model: Model, text_col: str = "text", thres
     """The rows whose text scores below ``threshold``, with all their columns."""
 
     @F.pandas_udf("double")
-    def toxicity(texts: pd.Series) -> pd.Series:
-        return texts.fillna("").map(model.score)
+    def toxicity(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield texts.fillna("").map(model.score)
+        tidy()
 
     return documents.where(toxicity(F.col(f"`{text_col}`")) < threshold)
 

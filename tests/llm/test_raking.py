@@ -90,3 +90,10 @@ def test_tokens_and_topic():
 def test_repeated_rows_share_a_draw(spark):
     df = spark.createDataFrame([(1, "some text here", "en", "a")] * 20, "doc_id long, text string, lang string, source string")
     assert mixed(df).select(F.countDistinct("kept")).first()[0] == 1
+
+
+def test_texts_are_measured_once_a_task(spark):
+    """The join on the topic asks for a topic that is not null; that filter must not measure the texts again."""
+    rows = [(i, "house river stone", "en", "a", 17) for i in range(20)]
+    drawn = sample(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int"))
+    assert drawn._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
