@@ -202,7 +202,10 @@ def train(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     rows = rows.withColumn("words", F.sum("n").over(order)).where(F.col("words") <= sample_words)
     got = sorted(rows.select("doc_id", "bucket", "sentence", "label").toArrow().to_pylist(), key=lambda r: (r["doc_id"], r["bucket"]))
     docs = [(np.frombuffer(r["bucket"], np.int32), np.frombuffer(r["sentence"], np.int32)) for r in got]
-    return train_from(docs, np.array([r["label"] for r in got], np.int64), counts[1] / counts[0])
+    model = train_from(docs, np.array([r["label"] for r in got], np.int64), counts[1] / counts[0])
+    del got, docs
+    tidy()  # the driver has other stages to run
+    return model
 
 
 def score(documents: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text",
