@@ -3,15 +3,21 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import tempfile
+import time
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
+#: Seconds at least from one time the driver gives memory back to the next.
+PAUSE = 5
+_RELIEVED = [0.0]
 MIX_A, MIX_B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -27,9 +33,37 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read from there."""
+    """``df`` written to the shared folder and read from there. The driver gives back what the plan took."""
     shared_folder(df.sparkSession)
-    return df.checkpoint()
+    out = df.checkpoint()
+    if time.monotonic() - _RELIEVED[0] >= PAUSE:
+        relieve(df.sparkSession)
+        _RELIEVED[0] = time.monotonic()
+    return out
+
+
+def relieve(spark: SparkSession) -> None:
+    """The driver drops what earlier plans left and gives the memory back to the system.
+
+    Jobs of many rounds leave plans, task results, shuffles and broadcasts of rounds that are over. Spark
+    forgets a shuffle or a broadcast when the driver's JVM collects its garbage, and a JVM with room left
+    takes more memory instead; what compiling took outside the heap it never gives back by itself.
+    """
+    gc.collect()
+    tidy()
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    kinds = gateway.new_array(jvm.java.lang.Class, 4)
+    for i, name in enumerate(("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")):
+        kinds[i] = jvm.java.lang.Class.forName(name)
+    values = gateway.new_array(jvm.java.lang.Object, 4)
+    values[0], values[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+    jvm.System.gc()
+    try:
+        # py4j finds no method for null arguments by itself
+        invoke = jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethod("invoke", kinds)
+        invoke.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), values)
+    except Py4JError:
+        pass  # a JVM without this command
 
 
 def text_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
